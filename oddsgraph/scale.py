@@ -72,25 +72,22 @@ def next_row(
 
     (keys, order) must be unique. Null on the last row of a key.
     """
-    limits = order_limits(df, F.col(order), buckets)
     keys = list(keys)
-    nxt = F.struct(*[F.col(c) for c in carry])
+    limits = order_limits(df, F.col(order), buckets)
+    following = F.struct(*[F.col(c) for c in carry])
     if not limits:
         w = Window.partitionBy(*keys).orderBy(order)
-        out = df.withColumn("__next", F.lead(nxt).over(w))
+        out = df.withColumn("__next", F.lead(following).over(w))
     else:
-        cut_df = _bucketed(df, F.col(order), limits)
-        first = F.min_by(nxt, F.col(order)).alias("__first")
-        heads = cut_df.groupBy(*keys, _B).agg(first)
-        heads = heads.withColumn(
-            "__after", F.lead("__first").over(Window.partitionBy(*keys).orderBy(_B))
-        ).drop("__first")
+        parts = _bucketed(df, F.col(order), limits)
+        # One row per key and bucket: the first row of each bucket, then the one after it.
+        heads = parts.groupBy(*keys, _B).agg(F.min_by(following, F.col(order)).alias("__first"))
+        after = F.lead("__first").over(Window.partitionBy(*keys).orderBy(_B)).alias("__after")
+        heads = _renamed_keys(heads.select(*keys, _B, after), [*keys, _B])
         w = Window.partitionBy(*keys, _B).orderBy(order)
-        inner = cut_df.withColumn("__next", F.lead(nxt).over(w))
-        cond = [inner[k].eqNullSafe(heads[k]) for k in keys] + [inner[_B] == heads[_B]]
-        out = inner.join(heads.drop(), cond, "left").select(
-            *[inner[c] for c in df.columns], F.coalesce(inner["__next"], heads["__after"]).alias("__next")
-        )
+        inner = parts.withColumn("__in", F.lead(following).over(w))
+        out = inner.join(heads, _same_keys([*keys, _B]), "left")
+        out = out.withColumn("__next", F.coalesce("__in", "__after"))
     return out.select(*df.columns, *[F.col("__next")[c].alias(prefix + c) for c in carry])
 
 
@@ -100,42 +97,55 @@ def running_totals(
     order: str,
     measures: Sequence[str],
     prefix: str = "cum_",
+    total_prefix: str | None = None,
     buckets: int | None = None,
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` per key in ``order``.
 
-    (keys, order) must be unique. Keys may be empty: one global order.
+    (keys, order) must be unique. With ``total_prefix`` the sum over the whole key
+    is added too, from the same pass.
     """
-    limits = order_limits(df, F.col(order), buckets)
     keys = list(keys)
-    if not limits and keys:
-        w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        return df.select("*", *[F.sum(m).over(w).alias(prefix + m) for m in measures])
-    cut_df = _bucketed(df, F.col(order), limits)
-    totals = cut_df.groupBy(*keys, _B).agg(*[F.sum(m).alias("__t_" + m) for m in measures])
-    before = (
-        Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-        if keys
-        else Window.partitionBy(F.lit(0)).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    )
-    # At most one row per key and bucket reaches this window.
-    totals = totals.select(
+    limits = order_limits(df, F.col(order), buckets)
+    if not limits:
+        running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        extra = [F.sum(m).over(running).alias(prefix + m) for m in measures]
+        if total_prefix is not None:
+            whole = Window.partitionBy(*keys)
+            extra += [F.sum(m).over(whole).alias(total_prefix + m) for m in measures]
+        return df.select("*", *extra)
+    parts = _bucketed(df, F.col(order), limits)
+    heads = parts.groupBy(*keys, _B).agg(*[F.sum(m).alias("__t_" + m) for m in measures])
+    # At most one row per key and bucket reaches these windows.
+    before = Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    heads = heads.select(
         *keys,
-        F.col(_B).alias("__hb"),
+        _B,
         *[F.coalesce(F.sum("__t_" + m).over(before), F.lit(0)).alias("__o_" + m) for m in measures],
+        *[F.sum("__t_" + m).over(whole).alias("__w_" + m) for m in measures],
     )
-    for k in keys:
-        totals = totals.withColumnRenamed(k, "__k_" + k)
+    heads = _renamed_keys(heads, [*keys, _B])
     w = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    inner = cut_df.select("*", *[F.sum(m).over(w).alias("__c_" + m) for m in measures])
-    cond = F.col(_B) == F.col("__hb")
+    inner = parts.select("*", *[F.sum(m).over(w).alias("__c_" + m) for m in measures])
+    joined = inner.join(heads, _same_keys([*keys, _B]), "left")
+    extra = [(F.col("__c_" + m) + F.col("__o_" + m)).alias(prefix + m) for m in measures]
+    if total_prefix is not None:
+        extra += [F.col("__w_" + m).alias(total_prefix + m) for m in measures]
+    return joined.select(*df.columns, *extra)
+
+
+def _renamed_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    for k in keys:
+        df = df.withColumnRenamed(k, "__k_" + k)
+    return df
+
+
+def _same_keys(keys: Sequence[str]) -> Column:
+    cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).eqNullSafe(F.col("__k_" + k))
-    joined = inner.join(totals, cond, "left")
-    return joined.select(
-        *df.columns,
-        *[(F.col("__c_" + m) + F.col("__o_" + m)).alias(prefix + m) for m in measures],
-    )
+    return cond
 
 
 def distribution(
@@ -148,16 +158,14 @@ def distribution(
     """
     groups = list(groups)
     counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
-    running = running_totals(counts, groups, value, ["n"], "cum_", buckets)
-    totals = counts.groupBy(*groups).agg(F.sum("n").alias("total"))
-    out = running.withColumn("below", F.col("cum_n") - F.col("n")).drop("cum_n")
+    keys = groups
     if not groups:
-        return out.join(F.broadcast(totals))  # exactly one row
-    renamed = totals
-    for g in groups:
-        renamed = renamed.withColumnRenamed(g, "__g_" + g)
-    cond = None
-    for g in groups:
-        c = F.col(g).eqNullSafe(F.col("__g_" + g))
-        cond = c if cond is None else cond & c
-    return out.join(renamed, cond, "inner").drop(*["__g_" + g for g in groups])
+        counts, keys = counts.withColumn("__all", F.lit(1)), ["__all"]
+    out = running_totals(counts, keys, value, ["n"], "cum_", "total_", buckets)
+    return out.select(
+        *groups,
+        value,
+        "n",
+        (F.col("cum_n") - F.col("n")).alias("below"),
+        F.col("total_n").alias("total"),
+    )
