@@ -21,19 +21,24 @@ from pyspark.sql import functions as F
 
 BUCKET_BYTES = 128 << 20
 MAX_BUCKETS = 4096
+UNKNOWN_BYTES = 1 << 60
 _B = "__bucket"
 _V = "__order_value"
 
 
-def input_bytes(df: DataFrame) -> int:
-    """Bytes of all leaf relations below ``df``, from the optimiser's statistics."""
+def input_bytes(df: DataFrame) -> int | None:
+    """Bytes of all leaf relations below ``df`` by the optimiser's statistics; None if unknown."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    return sum(int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.size()))
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    return None if any(size >= UNKNOWN_BYTES for size in sizes) else sum(sizes)
 
 
 def bucket_count(df: DataFrame) -> int:
-    """How many order buckets the inputs of ``df`` call for; 1 when they are small."""
-    return max(1, min(MAX_BUCKETS, input_bytes(df) // BUCKET_BYTES))
+    """How many order buckets the inputs of ``df`` call for; 1 when they are known to be small."""
+    size = input_bytes(df)
+    if size is None:
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(MAX_BUCKETS, size // BUCKET_BYTES))
 
 
 def order_limits(df: DataFrame, order: Column, buckets: int | None = None) -> list[float]:
