@@ -72,24 +72,25 @@ def next_row(
     carry: Sequence[str],
     prefix: str = "next_",
     buckets: int | None = None,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add ``prefix + c`` for each carried column, from the next row of the same key.
 
-    (keys, order) must be unique. Null on the last row of a key.
+    (keys, order, tie) must be unique. Null on the last row of a key.
     """
     keys = list(keys)
     limits = order_limits(df, F.col(order), buckets)
     following = F.struct(*[F.col(c) for c in carry])
     if not limits:
-        w = Window.partitionBy(*keys).orderBy(order)
+        w = Window.partitionBy(*keys).orderBy(order, *tie)
         out = df.withColumn("__next", F.lead(following).over(w))
     else:
         parts = _bucketed(df, F.col(order), limits)
         # One row per key and bucket: the first row of each bucket, then the one after it.
-        heads = parts.groupBy(*keys, _B).agg(F.min_by(following, F.col(order)).alias("__first"))
+        heads = parts.groupBy(*keys, _B).agg(F.min_by(following, F.struct(order, *tie)).alias("__first"))
         after = F.lead("__first").over(Window.partitionBy(*keys).orderBy(_B)).alias("__after")
         heads = _renamed_keys(heads.select(*keys, _B, after), [*keys, _B])
-        w = Window.partitionBy(*keys, _B).orderBy(order)
+        w = Window.partitionBy(*keys, _B).orderBy(order, *tie)
         inner = parts.withColumn("__in", F.lead(following).over(w))
         out = inner.join(heads, _same_keys([*keys, _B]), "left")
         out = out.withColumn("__next", F.coalesce("__in", "__after"))
@@ -104,16 +105,17 @@ def running_totals(
     prefix: str = "cum_",
     total_prefix: str | None = None,
     buckets: int | None = None,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """Add inclusive running sums of ``measures`` per key in ``order``.
 
-    (keys, order) must be unique. With ``total_prefix`` the sum over the whole key
+    (keys, order, tie) must be unique. With ``total_prefix`` the sum over the whole key
     is added too, from the same pass.
     """
     keys = list(keys)
     limits = order_limits(df, F.col(order), buckets)
     if not limits:
-        running = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        running = Window.partitionBy(*keys).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
         extra = [F.sum(m).over(running).alias(prefix + m) for m in measures]
         if total_prefix is not None:
             whole = Window.partitionBy(*keys)
@@ -131,7 +133,7 @@ def running_totals(
         *[F.sum("__t_" + m).over(whole).alias("__w_" + m) for m in measures],
     )
     heads = _renamed_keys(heads, [*keys, _B])
-    w = Window.partitionBy(*keys, _B).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    w = Window.partitionBy(*keys, _B).orderBy(order, *tie).rowsBetween(Window.unboundedPreceding, 0)
     inner = parts.select("*", *[F.sum(m).over(w).alias("__c_" + m) for m in measures])
     joined = inner.join(heads, _same_keys([*keys, _B]), "left")
     extra = [(F.col("__c_" + m) + F.col("__o_" + m)).alias(prefix + m) for m in measures]
