@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from oddsgraph.functions.text import collapse_spaces
 from oddsgraph.operators.graph import implication_edges, reach_index, reachable
 from oddsgraph.operators.relations import canonical_pair, one_row
+from oddsgraph.session import cut
 
 # Similarity floor and neighbours per market.
 THRESHOLD = 0.82
@@ -136,7 +137,7 @@ def nearest_neighbours(
     targets = targets.join(reps, ["scope", "embedding"]).select("scope", "rep", F.col("condition_id").alias("target_id"))
     members = vectors.join(reps, ["scope", "embedding"]).select("scope", "rep", F.col("condition_id").alias("source_id"))
 
-    blocks = _blocks(reps, block_rows)
+    blocks = cut(_blocks(reps, block_rows))  # read by four branches below
     tags = blocks.select("scope", F.struct("cell", "part").alias("b"), "centre", "radius")
     left = tags.select("scope", F.col("b").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
     reach = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-6
