@@ -60,7 +60,9 @@ class WatchProcessor(StatefulProcessor):
         for r in batch.itertuples(index=False):
             price = None if pd.isna(r.mid) else float(r.mid)
             ts = int(r.received_ms) if pd.isna(r.ts_ms) else int(r.ts_ms)
-            self.prices.updateValue((r.condition_id,), (int(r.pos), price, ts))
+            held = self.prices.getValue((r.condition_id,))
+            if held is None or held[2] <= ts:  # late rows never move a price back
+                self.prices.updateValue((r.condition_id,), (int(r.pos), price, ts))
         held = [v for _, v in self.prices.iterator()]
         if len(held) < need or any(v[1] is None for v in held):
             return

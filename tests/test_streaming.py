@@ -1,4 +1,5 @@
 import json
+import os
 import random
 from datetime import datetime, timedelta
 
@@ -53,6 +54,7 @@ def test_stream_books_match_the_batch_state(spark, tmp_path):
     src.mkdir()
     for part in range(3):
         (src / f"{part}.txt").write_text("\n".join(json.dumps(x) for x in lines[part * 100 : part * 100 + 100]))
+        os.utime(src / f"{part}.txt", (1_700_000_000 + part, 1_700_000_000 + part))
     stream = frames.book_events(frames.route_frames(frames.read_frames(spark, str(src))))
     out = run(books.stream_books(stream), "book_updates", "update", tmp_path)
     events = frames.book_events(frames.route_frames(frames.read_frames(spark, str(src), streaming=False)))
@@ -79,6 +81,7 @@ def test_detections_fire_on_transitions_only(spark, tmp_path):
     ]
     for i, step in enumerate(steps):
         (src / f"{i}.json").write_text("\n".join(json.dumps({"token_id": t, "mid": m, "ts_ms": x, "received_ms": x + 40}) for t, m, x in step))
+        os.utime(src / f"{i}.json", (1_700_000_000 + i, 1_700_000_000 + i))
     schema = "token_id string, mid double, ts_ms long, received_ms long"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).json(str(src))
     index = spark.createDataFrame([("a", "k", "implies", 0, "A", 2), ("b", "k", "implies", 1, "B", 2)], "token_id string, constraint_key string, kind string, pos int, condition_id string, need int")
