@@ -78,7 +78,7 @@ def canonical_proposals(proposals: DataFrame, arrival: str) -> DataFrame:
 
 
 def proposal_id() -> Column:
-    return F.substring(F.sha2(F.concat_ws("\u0000", *PAIR), 256), 1, 32)
+    return F.substring(F.sha2(F.concat_ws("|", *PAIR), 256), 1, 32)
 
 
 def save_proposals(stored: DataFrame, proposals: DataFrame, arrival: str) -> tuple[DataFrame, DataFrame]:

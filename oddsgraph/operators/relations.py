@@ -317,7 +317,7 @@ def extract_relations(
 def relation_id() -> Column:
     """Stable id of a relation: the same edge has the same id in every run."""
     return F.substring(
-        F.sha2(F.concat_ws("\u0000", "from_condition_id", "to_condition_id", "type"), 256), 1, 32
+        F.sha2(F.concat_ws("|", "from_condition_id", "to_condition_id", "type"), 256), 1, 32
     )
 
 
