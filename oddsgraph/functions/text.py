@@ -124,6 +124,15 @@ CATEGORIES = [
 # ------------------------------------------------------------------------------
 
 
+def _settled(value: Column) -> Column:
+    """The value as a generated column: one row in, one row out.
+
+    Filters on a projected column are rewritten into the expressions behind it, and a
+    long chain of text steps would be copied into every filter. They stop here.
+    """
+    return F.explode(F.array(value))
+
+
 def tidy(text: Column) -> Column:
     """Straight quotes, single spaces, no outer spaces."""
     out = F.regexp_replace(text, "[‘’]", "'")
@@ -266,7 +275,7 @@ def parse_thresholds(df: DataFrame, question: str = "question", description: str
         F.when(F.col("__date") != "", date_text).alias("date_text"),
     )
     ok = F.col("__subject").isNotNull() & ~F.col("__subject").rlike(RESIDUAL)
-    return out.select(*keep, F.when(ok, parse).alias("parse"))
+    return out.select(*keep, _settled(F.when(ok, parse)).alias("parse"))
 
 
 def parse_deadlines(df: DataFrame, question: str = "question") -> DataFrame:
@@ -283,7 +292,7 @@ def parse_deadlines(df: DataFrame, question: str = "question") -> DataFrame:
     when_text = F.lower(tidy(F.regexp_extract("__text", DEADLINE_CLAUSE, 1)))
     ok = (F.col("__subject") != "") & ~F.col("__subject").rlike(INSTANT)
     parse = F.struct(F.col("__subject").alias("subject"), when_text.alias("deadline_text"))
-    return out.select(*keep, F.when(ok, parse).alias("deadline"))
+    return out.select(*keep, _settled(F.when(ok, parse)).alias("deadline"))
 
 
 def parse_bands(df: DataFrame, question: str = "question") -> DataFrame:
@@ -304,7 +313,7 @@ def parse_bands(df: DataFrame, question: str = "question") -> DataFrame:
         F.col("__low").alias("low"),
         F.col("__high").alias("high"),
     )
-    return out.select(*keep, F.when(F.col("__low") < F.col("__high"), band).alias("band"))
+    return out.select(*keep, _settled(F.when(F.col("__low") < F.col("__high"), band)).alias("band"))
 
 
 def bands_disjoint(a: Column, b: Column) -> Column:

@@ -47,7 +47,7 @@ def validate_answers(answers: DataFrame, column: str = "answer") -> DataFrame:
         & F.length(rationale).between(1, MAX_RATIONALE)
         & numeric & confidence.between(0.0, 1.0)
     )
-    out = answers.withColumn("__doc", F.try_parse_json(json_of_answer(F.col(column))))
+    out = answers.select("*", F.explode(F.array(F.try_parse_json(json_of_answer(F.col(column))))).alias("__doc"))
     out = out.withColumn("valid", F.coalesce(ok, F.lit(False)))
     v = F.col("valid")
     return out.select(
