@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -108,7 +109,10 @@ PROJECTIONS = {
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    """A driver table; its zone-less timestamps are UTC instants."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    zoneless = [name for name, kind in df.dtypes if kind == "timestamp_ntz"]
+    return df.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else df
 
 
 def project(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

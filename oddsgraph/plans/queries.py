@@ -211,7 +211,7 @@ def ladder_edges(spark, sf):
 
 @query(
     """select (select count(*) from markets) as considered, (select count(*) from markets) as parsed,
-       (select sum(n) from (select count(*) n from markets group by event_id, p_type having count(*) > 1)) as in_ladders,
+       (select cast(sum(n) as bigint) from (select count(*) n from markets group by event_id, p_type having count(*) > 1)) as in_ladders,
        (select count(*) from (select 1 from markets group by event_id, p_type having count(*) > 1)) as ladders,
        (select count(*) from ladder) as edges""",
     "markets", extra=LADDER_CTES,
@@ -689,13 +689,13 @@ def top_of_book(spark, sf):
 
 @query(
     """select c.token_id, c.side, round(max(least(c.size + c.before, case when q <= t + abs(t) * 0.05 then c.size + c.before else (q * before - spent) / (q - (t + abs(t) * 0.05)) end))
-         filter (where q <= t + abs(t) * 0.05 or (q * before - spent) / (q - (t + abs(t) * 0.05)) >= before), 4) as size
+         filter (where q <= t + abs(t) * 0.05 or (q * before - spent) / (q - (t + abs(t) * 0.05)) >= before), 6) as size
        from (select *, case when side = 'ask' then price else -price end as q, coalesce(sum(size * case when side = 'ask' then price else -price end) over (partition by token_id, side order by case when side = 'ask' then price else -price end rows between unbounded preceding and 1 preceding), 0) as spent,
          min(case when side = 'ask' then price else -price end) over (partition by token_id, side) as t from cum) c group by 1, 2""",
     "levels", extra=BOOK_CTES,
 )
 def size_within_slippage(spark, sf):
-    return pricing.size_within_slippage(project(spark, sf, "levels"), 0.05).select("token_id", "side", F.round("size", 4).alias("size"))
+    return pricing.size_within_slippage(project(spark, sf, "levels"), 0.05).select("token_id", "side", r6("size"))
 
 
 def stored_books(levels: DataFrame) -> DataFrame:
@@ -758,8 +758,8 @@ TRADE_CTES = LADDER_CTES + IMPLIES_EVAL + [
 @query(
     """select b.k as constraint_key, case when missing > 0 then 'missing' when ceiling < 5 then 'below-min-size' when p.floor_profit <= 0 then 'negative-edge'
        when p.profit < 1 or p.profit / p.n < 0.005 then 'immaterial-edge' else 'none' end as failure,
-       round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.n end, 4) as size,
-       round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.profit end, 4) as net_profit
+       round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.n end, 6) as size,
+       round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.profit end, 6) as net_profit
        from basket b left join pick p on p.k = b.k""",
     "markets", "cheap_levels", extra=TRADE_CTES,
 )
@@ -771,7 +771,7 @@ def correcting_trades(spark, sf):
     legs = pricing.locate_legs(screen.basket_legs(screen.promote(e, None), members), market_tokens(markets), meta)
     trades, _ = pricing.price_baskets(legs, levels)
     failure = F.coalesce(F.when(F.col("failure").startswith("missing") | (F.col("failure") == "empty-book"), "missing").otherwise(F.col("failure")), F.lit("none"))
-    return trades.select("constraint_key", failure.alias("failure"), F.round("size", 4).alias("size"), F.round("net_profit", 4).alias("net_profit"))
+    return trades.select("constraint_key", failure.alias("failure"), r6("size"), r6("net_profit"))
 
 
 @query()
@@ -793,7 +793,7 @@ def coherence_check(spark, sf):
 CRAWL_CTES = [
     ("b", "select condition_id, arg_max(question, arrival) as question, arg_max(description, arrival) as description, arg_max(closed, arrival) as closed from crawl_before group by 1"),
     ("a", "select condition_id, arg_max(question, arrival) as question, arg_max(description, arrival) as description, arg_max(closed, arrival) as closed from crawl_after group by 1"),
-    ("both", """select coalesce(a.condition_id, b.condition_id) as condition_id, a.question as nq, b.question as oq, a.description as nd, b.description as od, a.closed as nc, b.closed as oc,
+    ("crawl", """select coalesce(a.condition_id, b.condition_id) as condition_id, a.question as nq, b.question as oq, a.description as nd, b.description as od, a.closed as nc, b.closed as oc,
         case when a.condition_id is null then 'absent' when b.condition_id is null then 'created' when a.question = b.question and a.description = b.description and a.closed = b.closed then 'unchanged' else 'updated' end as outcome
         from b full join a on a.condition_id = b.condition_id"""),
 ]
@@ -810,14 +810,14 @@ def crawls(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return reconcile.classify(stored, incoming), incoming
 
 
-@query("select condition_id, outcome from both", "crawl_before", "crawl_after", extra=CRAWL_CTES)
+@query("select condition_id, outcome from crawl", "crawl_before", "crawl_after", extra=CRAWL_CTES)
 def catalog_outcomes(spark, sf):
     return crawls(spark, sf)[0].select("condition_id", "outcome")
 
 
-REVISION_SQL = """select condition_id, 'question' as field, concat('"', oq, '"') as old_value, concat('"', nq, '"') as new_value from both where outcome = 'updated' and oq <> nq
-    union all select condition_id, 'description', concat('"', od, '"'), concat('"', nd, '"') from both where outcome = 'updated' and od <> nd
-    union all select condition_id, 'closed', cast(oc as string), cast(nc as string) from both where outcome = 'updated' and oc <> nc"""
+REVISION_SQL = """select condition_id, 'question' as field, concat('"', oq, '"') as old_value, concat('"', nq, '"') as new_value from crawl where outcome = 'updated' and oq <> nq
+    union all select condition_id, 'description', concat('"', od, '"'), concat('"', nd, '"') from crawl where outcome = 'updated' and od <> nd
+    union all select condition_id, 'closed', cast(oc as string), cast(nc as string) from crawl where outcome = 'updated' and oc <> nc"""
 
 
 @query(REVISION_SQL, "crawl_before", "crawl_after", extra=CRAWL_CTES)
@@ -826,7 +826,7 @@ def catalog_revisions(spark, sf):
 
 
 @query(
-    """select condition_id, case when outcome = 'absent' then oq else nq end as question, outcome = 'absent' as missing from both""",
+    """select condition_id, case when outcome = 'absent' then oq else nq end as question, outcome = 'absent' as missing from crawl""",
     "crawl_before", "crawl_after", extra=CRAWL_CTES,
 )
 def catalog_merged(spark, sf):
@@ -837,7 +837,7 @@ def catalog_merged(spark, sf):
 
 @query(
     f"""select count(*) filter (where outcome <> 'absent') as seen, 0 as skipped, count(*) filter (where outcome = 'created') as created, count(*) filter (where outcome = 'updated') as updated,
-       count(*) filter (where outcome = 'unchanged') as unchanged, count(*) filter (where outcome = 'absent') as absent, (select count(*) from ({REVISION_SQL})) as revisions from both""",
+       count(*) filter (where outcome = 'unchanged') as unchanged, count(*) filter (where outcome = 'absent') as absent, (select count(*) from ({REVISION_SQL})) as revisions from crawl""",
     "crawl_before", "crawl_after", extra=CRAWL_CTES,
 )
 def catalog_summary(spark, sf):
