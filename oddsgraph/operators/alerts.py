@@ -207,14 +207,14 @@ def digests_by_hour(all_episodes: DataFrame) -> DataFrame:
 
 
 def system_findings(samples: DataFrame, buckets: int | None = None) -> DataFrame:
-    """(source, at, name, severity, value) from cumulative counters.
+    """(source, sampled_at, name, severity, value) from cumulative counters.
 
-    ``samples``: source, at, last_ingest_at, rate_limit_hits, queue_depth, records,
+    ``samples``: source, sampled_at, last_ingest_at, rate_limit_hits, queue_depth, records,
     parse_issues. Each sample is compared with the one before it.
     """
-    cols = ["at", "rate_limit_hits", "queue_depth", "records", "parse_issues", "last_ingest_at"]
-    steps = next_row(samples, ["source"], "at", cols, "to_", buckets)
-    elapsed = (F.unix_micros("to_at") - F.unix_micros("at")) / 1e6
+    cols = ["sampled_at", "rate_limit_hits", "queue_depth", "records", "parse_issues", "last_ingest_at"]
+    steps = next_row(samples, ["source"], "sampled_at", cols, "to_", buckets)
+    elapsed = (F.unix_micros("to_sampled_at") - F.unix_micros("sampled_at")) / 1e6
     hits = F.greatest(F.lit(0), F.col("to_rate_limit_hits") - F.col("rate_limit_hits")) / elapsed * RATE_LIMIT_WINDOW_SECONDS
     grown = (F.col("to_queue_depth") > QUEUE_DEPTH) & (F.col("to_queue_depth") > F.col("queue_depth"))
     records = F.col("to_records") - F.col("records")
@@ -226,12 +226,12 @@ def system_findings(samples: DataFrame, buckets: int | None = None) -> DataFrame
             _finding((records >= PARSE_FAILURE_MIN_SAMPLE) & (rate > PARSE_FAILURE_RATE), "parse-failures", "critical", rate),
         )
     )
-    moved = steps.where(F.col("to_at").isNotNull() & (elapsed > 0)).select(
-        "source", F.col("to_at").alias("at"), F.inline(found)
+    moved = steps.where(F.col("to_sampled_at").isNotNull() & (elapsed > 0)).select(
+        "source", F.col("to_sampled_at").alias("sampled_at"), F.inline(found)
     )
-    silent = (F.unix_micros("at") - F.unix_micros("last_ingest_at")) / 1e6
+    silent = (F.unix_micros("sampled_at") - F.unix_micros("last_ingest_at")) / 1e6
     stale = samples.where(silent > INGEST_STALE_SECONDS).select(
-        "source", "at", F.lit("ingest-stale").alias("name"), F.lit("critical").alias("severity"), silent.alias("value")
+        "source", "sampled_at", F.lit("ingest-stale").alias("name"), F.lit("critical").alias("severity"), silent.alias("value")
     )
     return stale.unionByName(moved)
 

@@ -7,8 +7,8 @@ is a small *skeleton* of junctions with one edge per chain. Reachability inside
 chain compares positions, between chains it walks the skeleton, so no table of
 all reachable pairs is ever built and storage stays linear in the edges.
 
-Fixpoint loops bring only counts to the driver and cut lineage with a reliable
-checkpoint.
+Fixpoint loops bring only counts to the driver and cut lineage with a table
+in the shared checkpoint folder.
 """
 
 from __future__ import annotations

@@ -101,7 +101,7 @@ PROJECTIONS = {
         from {documents} d left join {labels} l on d.doc_id = l.doc_id""",
     # Cumulative counters of a service, one sample per event.
     "samples": """
-        select cast(user_id as string) as source, ts as at, date_trunc('hour', ts) as last_ingest_at,
+        select cast(user_id as string) as source, ts as sampled_at, date_trunc('hour', ts) as last_ingest_at,
                event_id + cast(floor(value) as bigint) as rate_limit_hits, cast(floor(value / 10) as bigint) as queue_depth,
                event_id * 50 as records, event_id * 2 + cast(floor(value * 10) as bigint) as parse_issues, event_id
         from {events}""",

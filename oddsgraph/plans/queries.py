@@ -1026,16 +1026,16 @@ def hourly_digests(spark, sf):
 
 
 @query(
-    """select source, epoch_us(at) as at, name, round(value, 4) as value from (
-       select source, at, 'ingest-stale' as name, (epoch_us(at) - epoch_us(last_ingest_at)) / 1e6 as value from samples where epoch_us(at) - epoch_us(last_ingest_at) > 1800e6
-       union all select source, at, 'rate-limit-spike', v from (select *, greatest(0, rate_limit_hits - lag(rate_limit_hits) over w) / ((epoch_us(at) - epoch_us(lag(at) over w)) / 1e6) * 600 as v from samples window w as (partition by source order by at, event_id)) where v > 50
-       union all select source, at, 'queue-depth-growing', queue_depth from (select *, lag(queue_depth) over (partition by source order by at, event_id) as p from samples) where queue_depth > 5 and queue_depth > p
-       union all select source, at, 'parse-failures', i / r from (select *, greatest(0, parse_issues - lag(parse_issues) over w) as i, records - lag(records) over w as r from samples window w as (partition by source order by at, event_id)) where r >= 200 and i / r > 0.05)""",
+    """select source, epoch_us(sampled_at) as sampled_at, name, round(value, 9) as value from (
+       select source, sampled_at, 'ingest-stale' as name, (epoch_us(sampled_at) - epoch_us(last_ingest_at)) / 1e6 as value from samples where epoch_us(sampled_at) - epoch_us(last_ingest_at) > 1800e6
+       union all select source, sampled_at, 'rate-limit-spike', v from (select *, greatest(0, rate_limit_hits - lag(rate_limit_hits) over w) / ((epoch_us(sampled_at) - epoch_us(lag(sampled_at) over w)) / 1e6) * 600 as v from samples window w as (partition by source order by sampled_at, event_id)) where v > 50
+       union all select source, sampled_at, 'queue-depth-growing', queue_depth from (select *, lag(queue_depth) over (partition by source order by sampled_at, event_id) as p from samples) where queue_depth > 5 and queue_depth > p
+       union all select source, sampled_at, 'parse-failures', i / r from (select *, greatest(0, parse_issues - lag(parse_issues) over w) as i, records - lag(records) over w as r from samples window w as (partition by source order by sampled_at, event_id)) where r >= 200 and i / r > 0.05)""",
     "samples",
 )
 def system_findings(spark, sf):
     out = alerts.system_findings(project(spark, sf, "samples"))
-    return out.select("source", us("at"), "name", F.round("value", 4).alias("value"))
+    return out.select("source", us("sampled_at"), "name", F.round("value", 9).alias("value"))
 
 
 # --- analytics ------------------------------------------------------------------------------

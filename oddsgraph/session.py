@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,23 +27,25 @@ def build_session(app: str = "oddsgraph", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
-    context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        master = context.master
-        if not master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        named = tempfile.mkdtemp(prefix="spark-checkpoint-")
-    context.setCheckpointDir(named)
-    return named
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder; a local one only in local mode where none is named."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+    folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage of an iterative plan with a reliable checkpoint."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Cut the lineage of an iterative plan: write the rows to the shared folder, read them back.
+
+    One execution (a checkpoint computes its plan twice), survives lost executors, and
+    leaves neither growing constraints nor unknown sizes in the next plan.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
