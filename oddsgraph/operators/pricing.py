@@ -21,6 +21,7 @@ from oddsgraph.functions.fees import (
     unit_cost,
 )
 from oddsgraph.scale import next_row, running_totals
+from oddsgraph.session import cut
 
 # What counts as a meaningful trade.
 MIN_NET_PROFIT = 1.0
@@ -259,13 +260,16 @@ def price_baskets(
     constraint; running sums of the changes give profit and slope at every
     breakpoint, and the best and the largest profitable size are aggregates.
     """
+    legs = cut(legs)  # legs, levels and sizes are each read by several branches below
     wanted_tokens = legs.select("token_id").distinct()
     offered = levels.where("side = 'ask'").join(wanted_tokens, "token_id", "left_semi")
     asks = cumulative_levels(offered)
     asks = next_row(asks, ["token_id", "side"], "rank_price", ["price"], buckets=buckets)
-    asks = asks.select(
-        "token_id", "price", "size", F.col("cum_size").alias("cum"), "next_price",
-        F.col("total_size").alias("depth"),
+    asks = cut(
+        asks.select(
+            "token_id", "price", "size", F.col("cum_size").alias("cum"), "next_price",
+            F.col("total_size").alias("depth"),
+        )
     )
     depths = asks.groupBy("token_id").agg(F.max("depth").alias("depth"), F.min("price").alias("touch"))
     placed = legs.join(depths, "token_id", "left")
@@ -343,6 +347,7 @@ def price_baskets(
         "constraint_key", max_size.alias("max_size"), (floor_profit / F.col("floor")).alias("floor_edge"),
         F.greatest("floor", F.least("cap", F.coalesce("peak", "cap"))).alias("best"),
     ).withColumn("size", F.when(F.col("max_size") > 0, F.least("best", "max_size")))
+    sized = cut(sized)
 
     # Exact cost of the chosen size, level by level, with the fee rounding.
     chosen = placed.join(sized.where("size is not null").select("constraint_key", "size"), "constraint_key")

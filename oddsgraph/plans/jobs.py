@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsgraph.operators import candidates, episodes, pricing, reconcile, screen
 from oddsgraph.operators.relations import one_row
+from oddsgraph.session import cut
 from oddsgraph.sources.pages import Catalog
 
 
@@ -33,7 +34,7 @@ def coherence_check(
     in_constraints = screen.constraint_members(relations, groups, members, markets)
     prices = screen.screen_prices(markets, quotes, live_mids)
     evaluations = screen.evaluate(screen.attach_prices(in_constraints, prices), epsilon)
-    promoted = screen.promote(evaluations, budget)
+    promoted = cut(screen.promote(evaluations, budget))  # read by pricing, live mids and confirmation
     legs = pricing.locate_legs(screen.basket_legs(promoted, in_constraints), markets, book_meta)
     trades, leg_rows = pricing.price_baskets(legs, levels)
     live = pricing.live_magnitude(promoted, in_constraints, markets, levels)
