@@ -6,6 +6,7 @@ columns it needs first, so extra columns, whatever their names, never meet its o
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -69,7 +70,7 @@ def over_slices(
 
 
 def file_system(path: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(path)
+    return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
 
 
 def drop_folder(path: str) -> None:

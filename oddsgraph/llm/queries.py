@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from oddsgraph.llm.bitpack import op1_bitpack
+from oddsgraph.llm.packing import op6_packing
 from oddsgraph.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op1_bitpack": op1_bitpack,
+    "op6_packing": op6_packing,
     "op10_simhash": op10_simhash,
 }
 
