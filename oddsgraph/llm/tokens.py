@@ -10,7 +10,7 @@ from functools import lru_cache
 import public_tokenizers
 
 BYTE_BPE = "byte_bpe_50k.json"
-GENERATION = 250_000
+GENERATION = 500_000
 """Words in each of the two cache generations of a worker."""
 LONGEST_KEPT = 48
 _CUT = re.compile(r" (?=\S)")

@@ -24,7 +24,7 @@ def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-@pytest.mark.parametrize("generation", [250_000, 3])
+@pytest.mark.parametrize("generation", [500_000, 3])
 def test_encoder_equals_the_tokenizer(plain, monkeypatch, generation):
     monkeypatch.setattr("oddsgraph.llm.tokens.GENERATION", generation)
     rng = random.Random(5)
