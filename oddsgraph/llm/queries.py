@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oddsgraph.llm.bitpack import op1_bitpack
+from oddsgraph.llm.decontaminate import op2_decontaminate
 from oddsgraph.llm.langid import op3_langid
 from oddsgraph.llm.packing import op6_packing
 from oddsgraph.llm.secrets import op9_secrets
@@ -10,6 +11,7 @@ from oddsgraph.llm.simhash import op10_simhash
 
 QUERIES = {
     "op1_bitpack": op1_bitpack,
+    "op2_decontaminate": op2_decontaminate,
     "op3_langid": op3_langid,
     "op6_packing": op6_packing,
     "op9_secrets": op9_secrets,

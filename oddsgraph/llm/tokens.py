@@ -14,6 +14,9 @@ GENERATION = 500_000
 """Words in each of the two cache generations of a worker."""
 LONGEST_KEPT = 48
 _CUT = re.compile(r" (?=\S)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+_RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
+_MIXED = re.compile(rf"(?:[{_LETTERS}]+|[\x00-@\[-`{{-\x7f]*[\x00-\x1f!-&(-@\[-`{{-\x7f])(?:[{_LETTERS}]+|[\x00-@\[-`{{-\x7f]*[\x00-\x1f!-&(-@\[-`{{-\x7f])+")
 
 
 class Encoder:
