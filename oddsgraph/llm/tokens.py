@@ -7,6 +7,7 @@ import re
 from array import array
 from functools import lru_cache
 
+import numpy as np
 import public_tokenizers
 
 BYTE_BPE = "byte_bpe_50k.json"
@@ -14,9 +15,28 @@ GENERATION = 500_000
 """Words in each of the two cache generations of a worker."""
 LONGEST_KEPT = 48
 _CUT = re.compile(r" (?=\S)")
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
-_RUNS = re.compile(f"[{_LETTERS}]+|[^{_LETTERS}]+")
-_MIXED = re.compile(rf"(?:[{_LETTERS}]+|[\x00-@\[-`{{-\x7f]*[\x00-\x1f!-&(-@\[-`{{-\x7f])(?:[{_LETTERS}]+|[\x00-@\[-`{{-\x7f]*[\x00-\x1f!-&(-@\[-`{{-\x7f])+")
+_AT_ONCE = 64
+_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
+_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
+
+
+def _runs(word: str) -> list[str] | None:
+    """Letters and other characters in turn, if the tokenizer is sure to cut between them.
+
+    It isn't where a space or an apostrophe (as in ``'s``) joins the letters behind it,
+    where white space runs on, or beyond ASCII, where more letters might follow.
+    """
+    runs = _RUNS.findall(word)
+    if len(runs) < 2:
+        return None
+    first = 1 if _LETTER.match(word) else 0
+    for k in range(first, len(runs), 2):
+        other = runs[k]
+        if not other.isascii():
+            return None
+        if k + 1 < len(runs) and (other[-1] in " '" or other[-2:].isspace() and len(other) > 1):
+            return None
+    return runs
 
 
 class Encoder:
@@ -24,8 +44,9 @@ class Encoder:
 
     A byte-level tokenizer never merges across a space that a visible character follows,
     so texts are cut there and each word goes through the tokenizer once while it stays
-    in the cache. The cache holds two generations of bounded size; very long words are
-    never kept.
+    in the cache. A new word with punctuation is put together from its parts where that is
+    sure to be the same. The cache holds two generations of bounded size; very long words
+    are never kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -35,12 +56,27 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self._opens = np.zeros(self.vocabulary, bool)  # tokens that begin with a space
+        self._opens[[k for token, k in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
+        self._inner: dict[str, bytes] = {}
 
     def _tokenize(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
+    def _tokenize_words(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space; many at a call, told apart by the tokens that begin with one."""
+        if not words or any(" " in w for w in words):
+            return self._tokenize([" " + w for w in words])
+        calls = [" " + " ".join(words[k : k + _AT_ONCE]) for k in range(0, len(words), _AT_ONCE)]
+        data = b"".join(self._tokenize(calls))
+        starts = np.flatnonzero(self._opens[np.frombuffer(data, np.uint32)]) * 4
+        if len(starts) != len(words):
+            return self._tokenize([" " + w for w in words])
+        places = starts.tolist()
+        return [data[a:b] for a, b in zip(places, [*places[1:], len(data)], strict=True)]
+
     def encode(self, bodies: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
         heads, words = [], []
@@ -59,11 +95,21 @@ class Encoder:
             known[p] = self._old[p]
             missing.remove(p)
         fresh = list(missing)
-        known.update(zip(fresh, self._tokenize([" " + p for p in fresh]), strict=True))
+        split = {p: runs for p in fresh if (runs := _runs(p))}
+        inner = self._inner
+        plain = {p for p in fresh if p not in split} | {r[0] for r in split.values() if r[0] not in known}
+        within = {x for r in split.values() for x in r[1:]}.difference(inner)
+        plain = list(plain)
+        known.update(zip(plain, self._tokenize_words(plain), strict=True))
+        inner.update(zip(within, self._tokenize(list(within)), strict=True))
+        for p, (first, *rest) in split.items():
+            known[p] = b"".join([known[first], *map(inner.__getitem__, rest)])
         out = [b"".join([h, *map(known.__getitem__, rest)]) for h, rest in zip(self._tokenize(heads), words, strict=True)]
-        for p in fresh:
+        for p in {*fresh, *plain}:
             if len(p) > LONGEST_KEPT:
                 del known[p]
+        if len(inner) > GENERATION // 5:
+            inner.clear()
         if len(known) > GENERATION:
             self._old, self._young = known, {}
         return out
