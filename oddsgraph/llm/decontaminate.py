@@ -95,6 +95,12 @@ def _bounded(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def _parts(anchors: DataFrame) -> list[DataFrame]:
+    """The anchors in parts small enough to broadcast. A benchmark of any size costs a pass for each million."""
+    n = max(1, -(-anchors.count() // BROADCAST_ROWS))
+    return [anchors.where(F.pmod("h", F.lit(n)) == k) for k in range(n)]
+
+
 def benchmark_index(items: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(items with shingles, their distinct shingles by length, fingerprint blocks with their Hamming balls)."""
     base = items.select(F.col("item_id").cast("long").alias("item_id"), shingles(F.col("text")).alias("part"))
@@ -124,21 +130,19 @@ def contaminated(docs: DataFrame, items: DataFrame, similarity: float = SIMILARI
     """
     goals, anchors, index = benchmark_index(items)
     base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_hash"), F.col("text").alias("text"))
-    places = base.select("doc_id", "text_hash", F.posexplode(shingles(F.col("text"))).alias("pos", "h"))
-    hits = places.join(_bounded(anchors), "h").select("doc_id", "text_hash", "m", "pos").distinct()
-    # A window belongs to the first hit in it: those that begin after the hit before.
+    # The shingles of a row stay beside each of its places, unread unless an anchor matches there.
+    settled = base.select("doc_id", "text_hash", F.explode(F.array(shingles(F.col("text")))).alias("all"))
+    places = settled.select("*", F.posexplode("all").alias("pos", "h"))
+    m, first = F.col("m"), F.greatest(F.col("pos") - F.col("m") + 1, F.lit(0))
+    around = F.slice("all", first + 1, F.col("pos") + m - first)
+    hits = reduce(DataFrame.union, [places.join(F.broadcast(part), "h").select("doc_id", "text_hash", "m", "pos", first.alias("first"), around.alias("some"), F.size("all").alias("n")) for part in _parts(anchors)])
+    # A window belongs to the first hit in it: those that begin after the hit before. A repeated row brings none.
     before = F.lag("pos").over(Window.partitionBy("doc_id", "text_hash", "m").orderBy("pos"))
-    runs = hits.select("doc_id", "text_hash", "m", F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("pos") - F.col("m") + 1).alias("low"), F.col("pos").alias("high"))
-    runs = cut(runs.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("m", "low", "high")).alias("runs")))
-    keyed = runs.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "runs")
-    found = base.join(keyed, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("text_hash") == F.col("__hash")))
-    found = found.dropDuplicates(["doc_id", "text_hash"]).select("doc_id", "text_hash", "runs", shingles(F.col("text")).alias("all"))
-    segment = lambda r: F.struct(r["m"].alias("m"), r["low"].alias("low"), r["high"].alias("high"), F.slice("all", r["low"] + 1, r["high"] - r["low"] + r["m"]).alias("some"), F.size("all").alias("n"))
-    parts = found.select("doc_id", "text_hash", F.explode(F.transform("runs", segment)).alias("r")).select("doc_id", "text_hash", "r.*")
+    parts = hits.withColumn("low", F.greatest(F.coalesce(before + 1, F.lit(0)), F.col("first")))
     # The last window ends with the document; one window if the document is shorter than the item.
-    last = F.least(F.col("high"), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
+    last = F.least(F.col("pos"), F.greatest(F.col("n") - F.col("m"), F.lit(0)))
     starts = F.when(F.col("low") <= last, F.sequence(F.col("low"), last)).otherwise(F.array().cast("array<int>"))
-    window = lambda s: F.struct(s.alias("start"), F.slice("some", s - F.col("low") + 1, F.col("m")).alias("part"))
+    window = lambda s: F.struct(s.alias("start"), F.slice("some", s - F.col("first") + 1, F.col("m")).alias("part"))
     windows = parts.select("doc_id", "text_hash", "m", F.explode(F.transform(starts, window)).alias("w"))
     windows = _fingerprinted(windows.select("doc_id", "text_hash", "m", "w.start", "w.part"))
     keys = F.array(*[F.struct(F.lit(k).alias("block"), _block(F.col("fp"), k).alias("value")) for k in range(len(BLOCKS))])
