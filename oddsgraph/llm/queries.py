@@ -8,6 +8,7 @@ from oddsgraph.llm.langid import op3_langid
 from oddsgraph.llm.order_minhash import op4_order_minhash
 from oddsgraph.llm.packing import op6_packing
 from oddsgraph.llm.ppm import op5_ppm
+from oddsgraph.llm.resample import op8_resample
 from oddsgraph.llm.secrets import op9_secrets
 from oddsgraph.llm.simhash import op10_simhash
 
@@ -18,6 +19,7 @@ QUERIES = {
     "op4_order_minhash": op4_order_minhash,
     "op5_ppm": op5_ppm,
     "op6_packing": op6_packing,
+    "op8_resample": op8_resample,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
 }
