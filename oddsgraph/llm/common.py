@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -73,6 +74,15 @@ def file_system(path: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
 
 
+def read_files(files: tuple[str, ...]) -> pa.Table:
+    """Parquet files of a written table, in a task."""
+    parts = []
+    for path in files:
+        store, inner = file_system(path)
+        parts.append(pq.read_table(inner, filesystem=store))
+    return pa.concat_tables(parts)
+
+
 def drop_folder(path: str) -> None:
     """Delete a folder of intermediate rows that nothing reads any more."""
     store, inner = file_system(path)
@@ -87,4 +97,4 @@ def drop_cut(df: DataFrame) -> None:
         drop_folder(files[0].rsplit("/", 1)[0])
 
 
-__all__ = ["LOWER", "cut", "drop_cut", "drop_folder", "file_system", "let", "over_slices", "read_documents", "slices", "texts", "utf8"]
+__all__ = ["LOWER", "cut", "drop_cut", "drop_folder", "file_system", "let", "over_slices", "read_documents", "read_files", "slices", "texts", "utf8"]

@@ -19,6 +19,7 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsgraph.llm.common import LOWER, cut, read_documents, slices, texts, utf8
+from oddsgraph.llm.common import LOWER, cut, read_documents, read_files, slices, texts, utf8
 from oddsgraph.llm.langid import held_out
 
 ORDER = 5
@@ -159,6 +160,14 @@ def _commonest(table: DataFrame, by: str, most: int) -> DataFrame:
     return table.where(F.col(by) > table.approxQuantile(by, [1 - most / n], 0.05 * most / n)[0])
 
 
+@lru_cache(maxsize=1)
+def _commonest_of(grams_: tuple[str, ...], words: tuple[str, ...]) -> tuple[np.ndarray, np.ndarray, dict[bytes, float]]:
+    """The commonest entries, read once by a worker from the shared folder; they don't go through the driver."""
+    table, named = read_files(grams_).sort_by("pair"), read_files(words)
+    known = dict(zip(named.column("word").cast(pa.binary()).to_pylist(), named.column("log").to_pylist(), strict=True))
+    return table.column("pair").to_numpy(), table.column("log").to_numpy(), known
+
+
 def gram_scores(wanted: DataFrame, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """(gram, log) of the distinct ``gram`` of ``wanted``, from every level of the trie."""
     keys = wanted.select("gram").distinct().select("gram", F.explode(F.sequence(F.lit(0), F.lit(ORDER))).alias("level"))
@@ -189,7 +198,6 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     With nothing to learn from all symbols are equally likely. Repeated rows count and come
     out as often as they occur.
     """
-    spark = docs.sparkSession
     rows = texts(docs, training.alias("learn"))
     words, gram_counts = count(rows.where("learn"))
     pairs, nodes = trie(gram_counts)
@@ -198,14 +206,12 @@ def score(docs: DataFrame, training: Column) -> DataFrame:
     whole = math.log10(everything + distinct + 1)
     seen = pairs.where(F.col("level") == ORDER).join(nodes.where(F.col("level") == ORDER).select("ctx", "total", "followers"), "ctx")
     hot = _commonest(pairs.where(F.col("level") == ORDER), "c", HOT_GRAMS).select("pair").join(seen, "pair")
-    hot = hot.select("pair", F.log10(F.col("c") / (F.col("total") + F.col("followers"))).alias("log")).toPandas().sort_values("pair")
-    hot_words = _commonest(words, "n", HOT_WORDS).select("word", F.log10(F.col("n") + 1).alias("log")).toPandas()
-    shared = spark.sparkContext.broadcast(
-        (hot["pair"].to_numpy(np.int64), hot["log"].to_numpy(np.float64), dict(zip(hot_words["word"].str.encode("utf-8"), hot_words["log"], strict=True)))
-    )
+    hot = cut(hot.select("pair", F.log10(F.col("c") / (F.col("total") + F.col("followers"))).alias("log")))
+    hot_words = cut(_commonest(words, "n", HOT_WORDS).select("word", F.log10(F.col("n") + 1).alias("log")))
+    files = tuple(hot.inputFiles()), tuple(hot_words.inputFiles())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, logs, known = shared.value
+        keys, logs, known = _commonest_of(*files)
         row = TaskContext.get().partitionId() << 40
         for batch in batches:
             column, ids, learn = batch.column("text"), batch.column("doc_id"), batch.column("learn")
