@@ -11,6 +11,7 @@ from oddsgraph.llm.ppm import op5_ppm
 from oddsgraph.llm.resample import op8_resample
 from oddsgraph.llm.secrets import op9_secrets
 from oddsgraph.llm.simhash import op10_simhash
+from oddsgraph.llm.suffixes import op7_suffixes
 
 QUERIES = {
     "op1_bitpack": op1_bitpack,
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_order_minhash": op4_order_minhash,
     "op5_ppm": op5_ppm,
     "op6_packing": op6_packing,
+    "op7_suffixes": op7_suffixes,
     "op8_resample": op8_resample,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
