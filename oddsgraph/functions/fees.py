@@ -24,7 +24,6 @@ MIN_FEE = 0.00001
 FALLBACK_MIN_ORDER_SIZE = 5.0
 FALLBACK_TICK_SIZE = 0.01
 MAX_BOOK_AGE_MS = 5_000
-SNAPSHOT_DEPTH = 10
 # (name, value, unit, source, enforced)
 COST_REGISTER = [
     ("Taker fee rate (applied)", "0.07", "fraction", "highest published band", True),

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsgraph.operators.relations import one_row
-from oddsgraph.scale import next_row
+from oddsgraph.scale import next_row, top
 
 # --- fixed values -------------------------------------------------------------
 COOLDOWN_SECONDS = 30 * 60
 ESCALATION_FACTOR = 2.0
 RESOLUTION_LOOKBACK_HOURS = 24
-RESOLUTION_LIMIT = 100
-DIGEST_LIMIT = 500
 DIGEST_WORST = 5
 INGEST_STALE_SECONDS = 30 * 60
 RATE_LIMIT_HITS = 50
@@ -30,7 +30,6 @@ REASON_CLASSES = [
     ("no order book", "no order book for a leg"),
     ("already closed", "stale screen quote; gap had closed"),
 ]
-REASON_WIDTH = 90
 # ------------------------------------------------------------------------------
 
 
@@ -102,14 +101,14 @@ def confirmed_decisions(
     )
 
 
-def recently_resolved(all_episodes: DataFrame, deliveries: DataFrame, now: Column, hours: int = RESOLUTION_LOOKBACK_HOURS, limit: int | None = RESOLUTION_LIMIT) -> DataFrame:
+def recently_resolved(all_episodes: DataFrame, deliveries: DataFrame, now: Column, hours: int = RESOLUTION_LOOKBACK_HOURS, limit: int | None = None) -> DataFrame:
     """Confirmed episodes closed within the lookback whose ending was announced to nobody yet."""
     waiting = deliveries.where(F.col("resolved_notified_at").isNull()).select("alert_key")
     recent = all_episodes.where(
         F.col("ever_confirmed") & (F.col("resolved_at") >= now - F.expr(f"interval {int(hours)} hours"))
     ).withColumn("alert_key", violation_key(F.col("episode_id")))
     out = recent.join(waiting, "alert_key", "left_semi")
-    return out if limit is None else out.orderBy(F.desc("resolved_at"), "episode_id").limit(limit)
+    return top(out, limit, F.desc("resolved_at"), "episode_id")
 
 
 def resolution_decisions(resolved: DataFrame, deliveries: DataFrame, now: Column) -> DataFrame:
@@ -172,8 +171,7 @@ def reason_class(reason: Column) -> Column:
     out = F.when(reason.isNull() | (F.trim(reason) == ""), "unknown")
     for marker, name in REASON_CLASSES:
         out = out.when(reason.contains(marker), name)
-    short = F.when(F.length(reason) > REASON_WIDTH, F.concat(F.substring(reason, 1, REASON_WIDTH - 1), F.lit("…")))
-    return out.otherwise(F.coalesce(short, reason))
+    return out.otherwise(reason)
 
 
 def digest_window(now: Column) -> tuple[Column, Column]:
@@ -182,16 +180,16 @@ def digest_window(now: Column) -> tuple[Column, Column]:
     return end - F.expr("interval 1 hour"), end
 
 
-def hourly_digest(all_episodes: DataFrame, start: Column, end: Column, limit: int = DIGEST_LIMIT) -> dict[str, DataFrame]:
-    """One hour's digest: totals, counts by reason class, and the worst gaps."""
+def hourly_digest(all_episodes: DataFrame, start: Column, end: Column, worst: int = DIGEST_WORST) -> dict[str, DataFrame]:
+    """One hour's digest: totals and counts by reason class over all entries, and the ``worst`` gaps."""
     window = all_episodes.where((F.col("detected_at") >= start) & (F.col("detected_at") < end))
-    entries = window.where(~F.col("ever_confirmed")).orderBy(F.desc_nulls_last("screen_magnitude"), "episode_id").limit(limit)
+    entries = window.where(~F.col("ever_confirmed"))
     by_reason = entries.groupBy(reason_class(F.col("reason")).alias("reason")).agg(F.count("*").alias("n"))
-    worst = entries.where(F.col("screen_magnitude").isNotNull()).orderBy(F.desc("screen_magnitude"), "episode_id").limit(DIGEST_WORST)
+    gaps = top(entries.where(F.col("screen_magnitude").isNotNull()), worst, F.desc("screen_magnitude"), "episode_id")
     totals = one_row(
         entries.agg(F.count("*").alias("apparent")), window.agg(F.count_if("ever_confirmed").alias("confirmed"))
     )
-    return {"totals": totals, "by_reason": by_reason, "worst": worst}
+    return {"totals": totals, "by_reason": by_reason, "worst": gaps}
 
 
 def digests_by_hour(all_episodes: DataFrame) -> DataFrame:
@@ -206,14 +204,15 @@ def digests_by_hour(all_episodes: DataFrame) -> DataFrame:
 # --- system signals -------------------------------------------------------------------------
 
 
-def system_findings(samples: DataFrame, buckets: int | None = None) -> DataFrame:
+def system_findings(samples: DataFrame, buckets: int | None = None, tie: Sequence[str] = ()) -> DataFrame:
     """(source, sampled_at, name, severity, value) from cumulative counters.
 
     ``samples``: source, sampled_at, last_ingest_at, rate_limit_hits, queue_depth, records,
-    parse_issues. Each sample is compared with the one before it.
+    parse_issues. Each sample is compared with the one before it; ``tie`` orders samples of
+    a source at one time and is needed where there are such.
     """
     cols = ["sampled_at", "rate_limit_hits", "queue_depth", "records", "parse_issues", "last_ingest_at"]
-    steps = next_row(samples, ["source"], "sampled_at", cols, "to_", buckets)
+    steps = next_row(samples, ["source"], "sampled_at", cols, "to_", buckets, tie)
     elapsed = (F.unix_micros("to_sampled_at") - F.unix_micros("sampled_at")) / 1e6
     hits = F.greatest(F.lit(0), F.col("to_rate_limit_hits") - F.col("rate_limit_hits")) / elapsed * RATE_LIMIT_WINDOW_SECONDS
     grown = (F.col("to_queue_depth") > QUEUE_DEPTH) & (F.col("to_queue_depth") > F.col("queue_depth"))

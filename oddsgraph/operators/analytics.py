@@ -13,11 +13,9 @@ from oddsgraph.functions.text import category
 from oddsgraph.operators.episodes import with_lifetime
 from oddsgraph.operators.relations import live_markets, one_row
 from oddsgraph.operators.screen import DEFAULT_EPSILON
+from oddsgraph.scale import top
 
-# --- fixed values: report order and row limits --------------------------------
-MAX_VIOLATION_ROWS = 500
-MAX_RELATION_ROWS = 2_000
-LIFETIME_SAMPLE = 20_000
+# --- fixed values: report order -----------------------------------------------
 FLOOR_SECONDS = 120
 CATEGORY_ORDER = ["politics", "sports", "crypto", "economics", "other"]
 # ------------------------------------------------------------------------------
@@ -69,37 +67,35 @@ def _question(all_episodes: DataFrame, markets: DataFrame) -> DataFrame:
     return all_episodes.join(m, "first_condition_id", "left")
 
 
-def open_violations(all_episodes: DataFrame, markets: DataFrame, now: Column, limit: int = 50) -> DataFrame:
+def open_violations(all_episodes: DataFrame, markets: DataFrame, now: Column, limit: int | None = None) -> DataFrame:
     """Confirmed first, then by edge (nulls last), then newest."""
     is_open = all_episodes.where(F.col("resolved_at").isNull())
-    top = is_open.orderBy(
-        F.desc("ever_confirmed"), F.desc_nulls_last("peak_net_edge"), F.desc("detected_at"), "episode_id"
-    ).limit(limit)
+    rows = top(is_open, limit, F.desc("ever_confirmed"), F.desc_nulls_last("peak_net_edge"), F.desc("detected_at"), "episode_id")
     age = (F.unix_micros(now) - F.unix_micros("detected_at")) / 1e6
-    return _question(top, markets).withColumn("age_seconds", age)
+    return _question(rows, markets).withColumn("age_seconds", age)
 
 
-def violation_feed(all_episodes: DataFrame, markets: DataFrame, now: Column, which: str = "all", limit: int = MAX_VIOLATION_ROWS) -> DataFrame:
+def violation_feed(all_episodes: DataFrame, markets: DataFrame, now: Column, which: str = "all", limit: int | None = None) -> DataFrame:
     """Newest episodes: all, open, closed, confirmed or apparent; lifetime or age so far."""
     rules = {
         "all": F.lit(True), "open": F.col("resolved_at").isNull(), "closed": F.col("resolved_at").isNotNull(),
         "confirmed": F.col("ever_confirmed"), "apparent": ~F.col("ever_confirmed"),
     }
     rows = all_episodes.where(rules.get(which, rules["all"]))
-    top = rows.orderBy(F.desc("detected_at"), "episode_id").limit(min(max(1, limit), MAX_VIOLATION_ROWS))
+    rows = top(rows, limit, F.desc("detected_at"), "episode_id")
     life = (F.unix_micros(F.coalesce("resolved_at", now)) - F.unix_micros("detected_at")) / 1e6
-    return _question(top, markets).withColumn("lifetime_seconds", life).withColumn("open", F.col("resolved_at").isNull())
+    return _question(rows, markets).withColumn("lifetime_seconds", life).withColumn("open", F.col("resolved_at").isNull())
 
 
-def relations_feed(relations: DataFrame, markets: DataFrame, source: str | None = None, type: str | None = None, limit: int = 200) -> DataFrame:
-    """Relations with both questions, filtered by source and type."""
+def relations_feed(relations: DataFrame, markets: DataFrame, source: str | None = None, type: str | None = None, limit: int | None = None) -> DataFrame:
+    """Relations with both questions, filtered by source and type; with a limit the newest."""
     rows = relations
     if source is not None:
         rows = rows.where(F.col("source") == source)
     if type is not None:
         rows = rows.where(F.col("type") == type)
-    rows = rows.orderBy(F.desc("id")).limit(min(max(1, limit), MAX_RELATION_ROWS))
-    return with_questions(rows, markets)
+    newest = [F.desc("first_seen_at")] if "first_seen_at" in rows.columns else []
+    return with_questions(top(rows, limit, *newest, "id"), markets)
 
 
 def with_questions(relations: DataFrame, markets: DataFrame) -> DataFrame:
@@ -111,17 +107,17 @@ def with_questions(relations: DataFrame, markets: DataFrame) -> DataFrame:
 # --- families -------------------------------------------------------------------------------
 
 
-def partition_families(members: DataFrame, markets: DataFrame, limit: int | None = 300) -> DataFrame:
+def partition_families(members: DataFrame, markets: DataFrame, limit: int | None = None) -> DataFrame:
     live = live_markets(markets).select("condition_id")
     out = members.join(live, "condition_id", "left_semi").groupBy("group_id").agg(F.count("*").alias("members"))
     out = out.where("members > 1").select(
         F.concat(F.lit("group:"), F.col("group_id").cast("string")).alias("key"), F.lit("partition").alias("kind"),
         F.col("group_id").cast("string").alias("label"), "members",
     )
-    return out if limit is None else out.orderBy(F.desc("members"), "key").limit(limit)
+    return top(out, limit, F.desc("members"), "key")
 
 
-def ladder_families(relations: DataFrame, markets: DataFrame, limit: int | None = 300) -> DataFrame:
+def ladder_families(relations: DataFrame, markets: DataFrame, limit: int | None = None) -> DataFrame:
     """Events with two or more live markets on implications."""
     ends = relations.where("type = 'implies'").select(
         F.explode(F.array("from_condition_id", "to_condition_id")).alias("condition_id")
@@ -134,10 +130,10 @@ def ladder_families(relations: DataFrame, markets: DataFrame, limit: int | None
         F.concat(F.lit("event:"), F.col("event_id")).alias("key"), F.lit("ladder").alias("kind"),
         F.coalesce("label", "event_id").alias("label"), "members",
     )
-    return out if limit is None else out.orderBy(F.desc("members"), "key").limit(limit)
+    return top(out, limit, F.desc("members"), "key")
 
 
-def families(members: DataFrame, relations: DataFrame, markets: DataFrame, limit: int | None = 300) -> DataFrame:
+def families(members: DataFrame, relations: DataFrame, markets: DataFrame, limit: int | None = None) -> DataFrame:
     return partition_families(members, markets, limit).unionByName(ladder_families(relations, markets, limit))
 
 
@@ -207,11 +203,10 @@ def report_episodes(all_episodes: DataFrame, markets: DataFrame, now: Column) ->
     return out
 
 
-def lifetime_buckets(all_episodes: DataFrame, table: Sequence[B.Bucket] = tuple(B.LIFETIME_DASHBOARD), sample: int | None = LIFETIME_SAMPLE) -> DataFrame:
+def lifetime_buckets(all_episodes: DataFrame, table: Sequence[B.Bucket] = tuple(B.LIFETIME_DASHBOARD), sample: int | None = None) -> DataFrame:
     """Closed episodes and confirmed ones per lifetime bucket; empty buckets stay."""
     closed = with_lifetime(all_episodes).where(F.col("resolved_at").isNotNull())
-    if sample is not None:
-        closed = closed.orderBy(F.desc("detected_at"), "episode_id").limit(sample)
+    closed = top(closed, sample, F.desc("detected_at"), "episode_id")
     return bucketise(closed, "lifetime_seconds", table, {"confirmed": F.count_if("ever_confirmed")})
 
 

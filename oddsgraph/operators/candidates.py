@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from oddsgraph.functions.text import collapse_spaces
 from oddsgraph.operators.graph import implication_edges, reach_index, reachable
 from oddsgraph.operators.relations import canonical_pair, one_row
+from oddsgraph.scale import top
 from oddsgraph.session import cut
 
 # Similarity floor and neighbours per market.
@@ -220,12 +221,12 @@ def uncovered_pairs(pairs: DataFrame, relations: DataFrame, members: DataFrame,
     return left.join(linked.select(pair_low.alias(key[0]), pair_high.alias(key[1])).distinct(), key, "left_anti")
 
 
-def ordered_candidates(pairs: DataFrame, limit: int = 500, order: str = "similarity") -> DataFrame:
-    """Most similar first, or a uniform sample by the hash of the pair ('spread')."""
+def ordered_candidates(pairs: DataFrame, limit: int | None = None, order: str = "similarity") -> DataFrame:
+    """All pairs, or the first: most similar, or a uniform sample by the hash of the pair ('spread')."""
     key = ["low_condition_id", "high_condition_id"]
     if order == "spread":
-        return pairs.orderBy(F.md5(F.concat(*key)), *key).limit(limit)
-    return pairs.orderBy(F.desc("similarity"), *key).limit(limit)
+        return top(pairs, limit, F.md5(F.concat(*key)), *key)
+    return top(pairs, limit, F.desc("similarity"), *key)
 
 
 def embedding_counts(markets: DataFrame, pending: DataFrame) -> DataFrame:

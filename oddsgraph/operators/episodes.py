@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from oddsgraph.functions.stats import quantiles
 from oddsgraph.operators.relations import one_row
-from oddsgraph.scale import running_totals
+from oddsgraph.scale import running_totals, top
 
 EPISODE_COLUMNS = [
     "episode_id", "constraint_key", "kind", "members", "first_condition_id", "status", "reason",
@@ -162,7 +162,7 @@ def lifetime_stats(all_episodes: DataFrame, buckets: int | None = None) -> DataF
     return one_row(counts, everyone, confirmed)
 
 
-def apparent_reasons(all_episodes: DataFrame, limit: int = 10) -> DataFrame:
-    """Why unconfirmed episodes were not executable, most common first."""
+def apparent_reasons(all_episodes: DataFrame, limit: int | None = None) -> DataFrame:
+    """Why unconfirmed episodes were not executable; with a limit the most common reasons."""
     never = all_episodes.where(~F.col("ever_confirmed") & F.col("reason").isNotNull())
-    return never.groupBy("reason").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "reason").limit(limit)
+    return top(never.groupBy("reason").agg(F.count("*").alias("n")), limit, F.desc("n"), "reason")

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from oddsgraph.functions.fees import (
     DEFAULT_TAKER_FEE_RATE,
     FALLBACK_MIN_ORDER_SIZE,
-    SNAPSHOT_DEPTH,
     taker_fee,
     unit_cost,
 )
@@ -181,8 +180,8 @@ def _side_depth(side: Column) -> Column:
     return F.aggregate(F.coalesce(side, F.array()), F.lit(0.0), lambda acc, x: acc + x["size"])
 
 
-def snapshot_rows(books: DataFrame, ts: Column, depth: int = SNAPSHOT_DEPTH, source: str = "book") -> DataFrame:
-    """Books to stored rows: best ``depth`` levels per side, depth totals over the whole book."""
+def snapshot_rows(books: DataFrame, ts: Column, depth: int | None = None, source: str = "book") -> DataFrame:
+    """Books to stored rows: whole sides or their best ``depth`` levels, depth totals over the whole book."""
     top = top_of_book(F.col("bids"), F.col("asks"))
     scaled = [F.col("__top")[c].cast("decimal(18,8)").alias(c) for c in ("bid", "ask", "mid", "spread")]
     rows = books.where(F.col("condition_id").isNotNull() & (F.col("condition_id") != ""))
@@ -192,8 +191,7 @@ def snapshot_rows(books: DataFrame, ts: Column, depth: int = SNAPSHOT_DEPTH, sou
         "token_id",
         ts.alias("ts"),
         *scaled,
-        F.slice("bids", 1, depth).alias("bids"),
-        F.slice("asks", 1, depth).alias("asks"),
+        *[(F.col(side) if depth is None else F.slice(side, 1, depth)).alias(side) for side in ("bids", "asks")],
         _side_depth(F.col("bids")).cast("decimal(24,8)").alias("bid_depth"),
         _side_depth(F.col("asks")).cast("decimal(24,8)").alias("ask_depth"),
         F.col("timestamp").alias("book_ts"),

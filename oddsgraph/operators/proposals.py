@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from oddsgraph.functions import text
 from oddsgraph.functions.coerce import get, kind
 from oddsgraph.operators.relations import canonical_pair, relation_id
-from oddsgraph.scale import running_totals
+from oddsgraph.scale import running_totals, top
 
 # --- fixed values -------------------------------------------------------------
 PROPOSED_TYPES = ["implies", "implied_by", "complement", "mutually_exclusive", "unrelated"]
@@ -78,7 +78,7 @@ def canonical_proposals(proposals: DataFrame, arrival: str) -> DataFrame:
 
 
 def proposal_id() -> Column:
-    return F.substring(F.sha2(F.concat_ws("|", *PAIR), 256), 1, 32)
+    return F.sha2(F.concat_ws("|", *PAIR), 256)
 
 
 def save_proposals(stored: DataFrame, proposals: DataFrame, arrival: str) -> tuple[DataFrame, DataFrame]:
@@ -94,14 +94,14 @@ def save_proposals(stored: DataFrame, proposals: DataFrame, arrival: str) -> tup
     return fresh, counts
 
 
-def pending_proposals(stored: DataFrame, markets: DataFrame, limit: int = 200, include_unrelated: bool = False) -> DataFrame:
-    """The review queue with both questions, most confident first."""
+def pending_proposals(stored: DataFrame, markets: DataFrame, limit: int | None = None, include_unrelated: bool = False) -> DataFrame:
+    """The review queue with both questions; with a limit the most confident."""
     wanted = stored.where("status = 'pending'")
     if not include_unrelated:
         wanted = wanted.where("proposed_type <> 'unrelated'")
     low = markets.select(F.col("condition_id").alias(PAIR[0]), F.col("question").alias("low_question"))
     high = markets.select(F.col("condition_id").alias(PAIR[1]), F.col("question").alias("high_question"))
-    return wanted.join(low, PAIR[0]).join(high, PAIR[1]).orderBy(F.desc("model_confidence"), "id").limit(limit)
+    return top(wanted.join(low, PAIR[0]).join(high, PAIR[1]), limit, F.desc("model_confidence"), "id")
 
 
 def proposal_edges(proposals: DataFrame) -> DataFrame:
@@ -120,7 +120,10 @@ def proposal_edges(proposals: DataFrame) -> DataFrame:
 
 
 def parse_verdicts(lines: DataFrame) -> DataFrame:
-    """Lines ``<id> <a|r|s> [note]`` to (proposal_id, status, note, malformed); # starts a comment."""
+    """Lines ``<id> <a|r|s> [note]`` to (proposal_id, status, note, malformed, line); # starts a comment.
+
+    ``lines`` has value and, to order repeated verdicts, line.
+    """
     line = F.trim(F.col("value"))
     parts = F.split(line, r"\s+", 3)
     verdict = F.lower(F.try_element_at(parts, F.lit(2)))
@@ -130,17 +133,23 @@ def parse_verdicts(lines: DataFrame) -> DataFrame:
     return lines.where((line != "") & ~line.startswith("#")).select(
         F.element_at(parts, 1).alias("proposal_id"), status.alias("status"),
         F.when(note != "", note).alias("note"), status.isNull().alias("malformed"),
+        (F.col("line") if "line" in lines.columns else F.lit(0)).alias("line"),
     )
 
 
 def read_verdicts(spark: SparkSession, path: str) -> DataFrame:
-    return parse_verdicts(spark.read.text(path))
+    """Verdicts in order of file, block and line."""
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("n"))
+    return parse_verdicts(lines.select("value", F.struct("file_path", "file_block_start", "n").alias("line")))
 
 
 def apply_verdicts(stored: DataFrame, verdicts: DataFrame, reviewer: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(proposals′, accepted edges with ids, counts). Only pending rows change."""
+    """(proposals′, accepted edges with ids, counts). Only pending rows change.
+
+    Of several verdicts on a proposal the first line counts; the others come too late.
+    """
     usable = verdicts.where(~F.col("malformed")).groupBy("proposal_id").agg(
-        F.min(F.struct("status", "note")).alias("v")
+        F.min_by(F.struct("status", "note"), F.struct("line", "status", "note")).alias("v"), F.count("*").alias("verdicts")
     )
     both = stored.join(usable, F.col("id") == F.col("proposal_id"), "left")
     hit = F.col("v").isNotNull() & (F.col("status") == "pending")
@@ -158,7 +167,7 @@ def apply_verdicts(stored: DataFrame, verdicts: DataFrame, reviewer: str) -> tup
     edges = proposal_edges(accepted).withColumn("id", relation_id())
     counts = both.agg(
         F.count_if("__hit").alias("applied"),
-        F.count_if(F.col("v").isNotNull() & ~F.col("__hit")).alias("already_decided"),
+        F.coalesce(F.sum(F.col("verdicts") - F.col("__hit").cast("int")), F.lit(0)).alias("already_decided"),
         F.count_if(
             F.col("__hit") & (F.col("v.status") == "accepted")
             & F.col("proposed_type").isin("implies", "implied_by", "complement")

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from oddsgraph.functions.canon import HASHED_FIELDS, canonical_json, content_hash
 from oddsgraph.operators.relations import one_row
+from oddsgraph.scale import top
 
 MARKET_COLUMNS = [
     "event_id", "question", "slug", "description", "resolution_source", "outcomes",
@@ -130,10 +131,10 @@ def mark_missing(markets: DataFrame, run_started_at: Column) -> DataFrame:
     return markets.withColumn("missing_since", F.when(gone, F.col("last_seen_at")).otherwise(F.col("missing_since")))
 
 
-def missing_markets(markets: DataFrame, limit: int = 100) -> DataFrame:
+def missing_markets(markets: DataFrame, limit: int | None = None) -> DataFrame:
     cols = [c for c in ("condition_id", "question", "slug", "missing_since") if c in markets.columns]
     gone = markets.where(F.col("missing_since").isNotNull()).select(*cols)
-    return gone.orderBy(F.desc("missing_since"), "condition_id").limit(limit)
+    return top(gone, limit, F.desc("missing_since"), "condition_id")
 
 
 def market_history(all_revisions: DataFrame, condition_id: str) -> DataFrame:

@@ -316,9 +316,7 @@ def extract_relations(
 
 def relation_id() -> Column:
     """Stable id of a relation: the same edge has the same id in every run."""
-    return F.substring(
-        F.sha2(F.concat_ws("|", "from_condition_id", "to_condition_id", "type"), 256), 1, 32
-    )
+    return F.sha2(F.concat_ws("|", "from_condition_id", "to_condition_id", "type"), 256)
 
 
 def save_edges(stored: DataFrame, incoming: DataFrame, now: Column, arrival: str | None = None) -> tuple[DataFrame, DataFrame]:

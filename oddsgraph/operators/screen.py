@@ -12,10 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from oddsgraph.operators.relations import live_markets
+from oddsgraph.scale import top
 
-# Half a cent, and the confirmation budget of one check.
+# Fixed value: half a cent.
 DEFAULT_EPSILON = 0.005
-MAX_CONFIRMATIONS = 25
 
 
 def constraint_members(relations: DataFrame, groups: DataFrame, members: DataFrame, markets: DataFrame) -> DataFrame:
@@ -147,12 +147,9 @@ def screen_stats(evaluations: DataFrame) -> DataFrame:
     )
 
 
-def promote(evaluations: DataFrame, budget: int | None = MAX_CONFIRMATIONS) -> DataFrame:
-    """The worst violations, up to the confirmation budget (None: all of them)."""
-    worst = violations(evaluations)
-    if budget is None:
-        return worst
-    return worst.orderBy(F.desc("magnitude"), "constraint_key").limit(budget)
+def promote(evaluations: DataFrame, budget: int | None = None) -> DataFrame:
+    """The violations to confirm: all, or the worst ``budget`` of them."""
+    return top(violations(evaluations), budget, F.desc("magnitude"), "constraint_key")
 
 
 def basket_legs(promoted: DataFrame, members: DataFrame) -> DataFrame:

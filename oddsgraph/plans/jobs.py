@@ -25,9 +25,9 @@ class CheckResult:
 def coherence_check(
     relations: DataFrame, groups: DataFrame, members: DataFrame, markets: DataFrame, quotes: DataFrame,
     levels: DataFrame, book_meta: DataFrame, live_mids: DataFrame | None = None,
-    epsilon: float = screen.DEFAULT_EPSILON, budget: int | None = screen.MAX_CONFIRMATIONS,
+    epsilon: float = screen.DEFAULT_EPSILON, budget: int | None = None,
 ) -> CheckResult:
-    """Screen every constraint, promote the worst, price their baskets on depth.
+    """Screen every constraint, promote the violations (with a budget the worst), price their baskets on depth.
 
     Book levels are read only for tokens of promoted constraints.
     """
@@ -72,7 +72,7 @@ def ingest_catalog(catalog: Catalog, stored_events: DataFrame, stored_markets: D
 
 def propose_candidates(
     embeddings: DataFrame, relations: DataFrame, members: DataFrame, proposals: DataFrame,
-    k: int = candidates.NEIGHBOURS, threshold: float = candidates.THRESHOLD, limit: int = 500, order: str = "similarity",
+    k: int = candidates.NEIGHBOURS, threshold: float = candidates.THRESHOLD, limit: int | None = None, order: str = "similarity",
 ) -> DataFrame:
     near = candidates.nearest_neighbours(embeddings, k, threshold)
     pairs = candidates.fold_pairs(near, threshold)

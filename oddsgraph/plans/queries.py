@@ -82,7 +82,7 @@ def all_episodes(spark: SparkSession, sf: str) -> DataFrame:
 LADDER_CTES = [
     ("points", "select event_id, p_type, p_size, min(condition_id) as lo, max(condition_id) as hi from markets group by 1, 2, 3"),
     ("steps", "select *, lead(lo) over w as nlo, lead(p_size) over w as nsize from points window w as (partition by event_id, p_type order by p_size)"),
-    ("ladder", "select event_id, p_type, p_size, nsize, nlo as from_condition_id, hi as to_condition_id, substr(sha256(concat(nlo, '|', hi, '|implies')), 1, 32) as id from steps where nlo is not null"),
+    ("ladder", "select event_id, p_type, p_size, nsize, nlo as from_condition_id, hi as to_condition_id, sha256(concat(nlo, '|', hi, '|implies')) as id from steps where nlo is not null"),
 ]
 EPISODE_CTES = [
     ("ex", "select *, sum(case when violated then 0 else 1 end) over (partition by constraint_key order by check_ts, event_id rows unbounded preceding) as s from checks where not unscreenable"),
@@ -96,9 +96,6 @@ EPISODE_CTES = [
     ("episodes", """select *, concat(constraint_key, '@', epoch_us(detected_at)) as episode_id, (epoch_us(resolved_at) - epoch_us(detected_at)) / 1e6 as life,
         case when resolved_at is not null then 'closed' when ever_confirmed then 'confirmed' else 'apparent' end as status from ep0 where checks > 0"""),
 ]
-REPORT_CTES = EPISODE_CTES + [
-    ("report", "select e.*, m.question, case when m.question ilike '%none%' then '' else 'other' end as category from episodes e left join markets m on e.first_condition_id = m.condition_id"),
-]
 
 
 # --- constraint screen ----------------------------------------------------------------------
@@ -123,8 +120,7 @@ def screen_partitions(spark, sf):
 
 
 @query(
-    """select constraint_key, round(magnitude, 6) as gross_edge from e where magnitude > 0.005
-       order by round(magnitude, 9) desc, constraint_key limit 25""",
+    """select constraint_key, round(magnitude, 6) as gross_edge from e where magnitude > 0.005""",
     "partition_prices", extra=[("e", PART_EVAL)],
 )
 def screen_worst(spark, sf):
@@ -330,16 +326,18 @@ def group_upsert(spark, sf):
     return relations.save_groups(stored, stored_members, groups, fresh, now())[1]
 
 
+#: Documents with a keyword of one category, or of two (the first listed wins), by doc_id; letters beyond ASCII end no word here.
+TOPIC = """select doc_id as condition_id, concat(regexp_replace(text, '[^ -~]', 'x'{all}), ' ', case doc_id % 7 when 0 then 'the NBA playoff' when 1 then 'bitcoin halving'
+       when 2 then 'CPI inflation' when 3 then 'a senate vote' when 4 then 'bitcoin election' when 5 then 'nasdaq congress' else '' end) as text from {documents}"""
+
+
 @query(
-    """select condition_id, case when text ilike '%zzz%' then 'x' else 'other' end as category from (select doc_id as condition_id, text from documents)
-       where not regexp_matches(lower(concat(' ', text)), '(nba|nfl|mlb|nhl|ncaa|epl|uefa|fifa|ufc|atp|wta|f1|formula 1|premier league|la liga|serie a|bundesliga|super bowl|world cup|stanley cup|world series|moneyline|spread|vs|game|match|tournament|playoff|championship|soccer|football|basketball|baseball|hockey|tennis|golf|boxing|cricket|bitcoin|btc|ethereum|eth|solana|sol|xrp|ripple|doge|cardano|crypto|altcoin|stablecoin|defi|nft|binance|coinbase|satoshi|halving|memecoin|fed|fomc|powell|interest rate|rate cut|rate hike|inflation|cpi|pce|gdp|unemployment|jobs report|payroll|recession|treasury|yield|ecb|boe|boj|tariff|debt ceiling|s&p|nasdaq|dow|election|president|senat|congress|house|parliament|prime minister|chancellor|governor|mayor|nomin|primary|caucus|ballot|impeach|cabinet|secretary of|supreme court|referendum|coalition|party leader|approval rating|resign|ceasefire|sanction|nato|un security)')""",
+    "select condition_id, case " + " ".join(f"when regexp_matches(text, '{pattern}') then '{name}'" for name, pattern in text.CATEGORIES)
+    + " else 'other' end as category from (" + TOPIC.format(all=", 'g'", documents="documents") + ")",
 )
-def unclassified_documents(spark, sf):
-    """Documents holding no keyword of any category, not even inside a word."""
-    docs = read(spark, sf, "documents").select(F.col("doc_id").alias("condition_id"), "text")
-    inner = "|".join(p.replace(r"(?i)\b(", "").replace(r")\b", "").replace(r"vs\.?", "vs") for _, p in text.CATEGORIES)
-    bare = docs.where(~F.lower("text").rlike(inner))
-    return bare.select("condition_id", text.category(F.col("text"), F.lit(None).cast("string")).alias("category"))
+def document_categories(spark, sf):
+    docs = spark.sql(TOPIC.format(all="", documents="{docs}"), docs=read(spark, sf, "documents"))
+    return docs.select("condition_id", text.category(F.col("text"), F.lit(None).cast("string")).alias("category"))
 
 
 # --- graph ----------------------------------------------------------------------------------
@@ -486,11 +484,11 @@ CANDIDATE_CTES = KNN_CTES + [
     """select low_condition_id, high_condition_id, round(similarity, 6) as similarity from pair p
        where not exists (select 1 from chain where (src = low_condition_id and dst = high_condition_id) or (src = high_condition_id and dst = low_condition_id))
        and not exists (select 1 from benchmark b where cast(b.item_id as string) = low_condition_id)
-       order by similarity desc, low_condition_id, high_condition_id limit 500""",
+""",
     "vectors", extra=CANDIDATE_CTES,
 )
 def candidate_pairs(spark, sf):
-    """The 500 most similar pairs nothing explains yet. Labels below 5 form implication chains;
+    """The similar pairs nothing explains yet. Labels below 5 form implication chains;
     pairs whose low id is a benchmark item were proposed before."""
     vectors = project(spark, sf, "vectors")
     from oddsgraph.scale import next_row
@@ -504,7 +502,7 @@ def candidate_pairs(spark, sf):
     known = pairs.join(items, "low_condition_id", "left_semi")
     none = vectors.where("false").select(F.col("event_id").alias("group_id"), F.col("event_id").alias("condition_id"))
     left = candidates.uncovered_pairs(pairs, chain, none, known)
-    return candidates.ordered_candidates(left, 500).select("low_condition_id", "high_condition_id", r6("similarity"))
+    return candidates.ordered_candidates(left).select("low_condition_id", "high_condition_id", r6("similarity"))
 
 
 @query(
@@ -559,8 +557,7 @@ def proposal_edges(spark, sf):
 
 
 @query(
-    """select id, proposed_type, round(model_confidence, 6) as model_confidence from reviewed where status = 'pending' and proposed_type <> 'unrelated'
-       order by reviewed.model_confidence desc, id limit 200""",
+    """select id, proposed_type, round(model_confidence, 6) as model_confidence from reviewed where status = 'pending' and proposed_type <> 'unrelated'""",
     "reviewed",
 )
 def pending_queue(spark, sf):
@@ -654,11 +651,12 @@ BOOK_CTES = [
 
 
 @query(
-    """select order_id, action, round(sum(take), 6) as filled, round(sum(take * price), 6) as notional, round(sum(case when take * 0.07 * price * (1 - price) >= 0.00001 then take * 0.07 * price * (1 - price) else 0 end), 6) as fee,
+    """select order_id, action, round(sum(take), 6) as filled, round(max(want) - sum(take), 6) as unfilled, round(sum(take * coalesce(price, 0)), 6) as notional,
+       round(sum(case when take * 0.07 * price * (1 - price) >= 0.00001 then take * 0.07 * price * (1 - price) else 0 end), 6) as fee,
        count(*) filter (where take > 0) as levels_consumed, sum(take) > 0 and sum(take) < max(want) as partial from
-       (select o.order_id, o.action, o.size as want, c.price, greatest(0, least(c.size, o.size - c.before)) as take from
+       (select o.order_id, o.action, o.size as want, c.price, coalesce(greatest(0, least(c.size, o.size - c.before)), 0) as take from
          (select p_partkey as order_id, concat('y', lpad(cast(p_partkey as string), 8, '0')) as token_id, case when p_type like 'S%' then 'sell' else 'buy' end as action, p_size * 6.0 as size from markets) o
-         join cum c on c.token_id = o.token_id and c.side = case when o.action = 'buy' then 'ask' else 'bid' end) group by 1, 2""",
+         left join cum c on c.token_id = o.token_id and c.side = case when o.action = 'buy' then 'ask' else 'bid' end) group by 1, 2""",
     "markets", "levels", extra=BOOK_CTES,
 )
 def book_walk(spark, sf):
@@ -667,8 +665,8 @@ def book_walk(spark, sf):
         F.col("p_partkey").alias("order_id"), F.concat(F.lit("y"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("token_id"),
         F.when(F.col("p_type").startswith("S"), "sell").otherwise("buy").alias("action"), (F.col("p_size") * 6.0).alias("size"),
     )
-    out = pricing.walk_orders(orders, project(spark, sf, "levels")).where(F.col("avg_price").isNotNull())
-    return out.select("order_id", "action", r6("filled"), r6("notional"), r6("fee"), "levels_consumed", "partial")
+    out = pricing.walk_orders(orders, project(spark, sf, "levels"))
+    return out.select("order_id", "action", r6("filled"), r6("unfilled"), r6("notional"), r6("fee"), "levels_consumed", "partial")
 
 
 @query("select token_id, side, sum(size) as depth from levels group by 1, 2", "levels")
@@ -710,7 +708,7 @@ def stored_books(levels: DataFrame) -> DataFrame:
 
 
 @query(
-    """select token_id, concat('m', substr(token_id, 2)) as condition_id, least(10, count(*) filter (where side = 'bid')) as bid_levels, least(10, count(*) filter (where side = 'ask')) as ask_levels,
+    """select token_id, concat('m', substr(token_id, 2)) as condition_id, count(*) filter (where side = 'bid') as bid_levels, count(*) filter (where side = 'ask') as ask_levels,
        round(coalesce(sum(size) filter (where side = 'bid'), 0), 6) as bid_depth, round(coalesce(sum(size) filter (where side = 'ask'), 0), 6) as ask_depth,
        round(min(price) filter (where side = 'ask'), 6) as ask from merged group by 1""",
     "levels", extra=BOOK_CTES[:1],
@@ -721,18 +719,18 @@ def book_snapshots(spark, sf):
 
 
 @query(
-    """select token_id, side, count(*) as levels, round(sum(size), 6) as depth from (select *, row_number() over (partition by token_id, side order by case when side = 'ask' then price else -price end) as rn from merged) where rn <= 10 group by 1, 2""",
+    """select token_id, side, count(*) as levels, round(sum(size), 6) as depth from merged group by 1, 2""",
     "levels", extra=BOOK_CTES[:1],
 )
 def snapshot_replay(spark, sf):
-    """Stored top ten levels read back as a walkable book, as of now."""
+    """Stored levels read back as a walkable book, as of now."""
     rows = pricing.snapshot_rows(stored_books(project(spark, sf, "levels")), now())
     back = pricing.levels_of(pricing.books_as_of(rows, now()))
     return back.groupBy("token_id", "side").agg(F.count("*").alias("levels"), F.round(F.sum("size"), 6).alias("depth"))
 
 
 @query(
-    """select p_partkey, case when p_type = 'PROMO' then 0.0 else case lower(p_brand) when 'x' then 1.0 else case p_type when 'LARGE' then 0.07 when 'SMALL' then 0.05 when 'MEDIUM' then 0.04 when 'ECONOMY' then 0.05 else 0.07 end end end::double as rate from part""",
+    """select p_partkey, case when p_type = 'PROMO' then 0.0 else case p_type when 'LARGE' then 0.07 when 'SMALL' then 0.05 when 'MEDIUM' then 0.04 when 'ECONOMY' then 0.05 else 0.07 end end::double as rate from part""",
 )
 def fee_schedule(spark, sf):
     """Fee rate per part: types stand for categories, PROMO for fee-free markets."""
@@ -776,7 +774,7 @@ def correcting_trades(spark, sf):
 
 @query()
 def coherence_check(spark, sf):
-    """Screen, promote, price and confirm: the two-stage check with its budget."""
+    """Screen every constraint, price and confirm every violation."""
     from oddsgraph.plans.jobs import coherence_check as job
 
     markets = market_tokens(project(spark, sf, "markets"))
@@ -921,7 +919,7 @@ def lifetime_stats(spark, sf):
     )
 
 
-@query("select reason, count(*) as n from episodes where not ever_confirmed group by 1 order by 2 desc, 1 limit 10", "checks", extra=EPISODE_CTES)
+@query("select reason, count(*) as n from episodes where not ever_confirmed group by 1", "checks", extra=EPISODE_CTES)
 def apparent_reasons(spark, sf):
     return ep.apparent_reasons(all_episodes(spark, sf))
 
@@ -1060,7 +1058,7 @@ def status(spark, sf):
 
 @query(
     f"""select episode_id, question, round((epoch_us(timestamp '{NOW}') - epoch_us(detected_at)) / 1e6, 6) as age_seconds from episodes e left join markets m on m.condition_id = e.first_condition_id
-       where resolved_at is null order by ever_confirmed desc, peak_net_edge desc nulls last, detected_at desc, episode_id limit 50""",
+       where resolved_at is null""",
     "markets", "checks", extra=EPISODE_CTES,
 )
 def open_violations(spark, sf):
@@ -1070,7 +1068,7 @@ def open_violations(spark, sf):
 
 @query(
     f"""select episode_id, question, resolved_at is null as open, round((epoch_us(coalesce(resolved_at, timestamp '{NOW}')) - epoch_us(detected_at)) / 1e6, 6) as lifetime_seconds
-       from episodes e left join markets m on m.condition_id = e.first_condition_id order by detected_at desc, episode_id limit 500""",
+       from episodes e left join markets m on m.condition_id = e.first_condition_id""",
     "markets", "checks", extra=EPISODE_CTES,
 )
 def violation_feed(spark, sf):
@@ -1087,7 +1085,7 @@ def bucket_sql(buckets: list, value: str, source: str, extra: str = "") -> str:
 
 
 @query(
-    bucket_sql(B.LIFETIME_DASHBOARD, "life", "(select * from episodes where resolved_at is not null order by detected_at desc, episode_id limit 20000)", ", count(*) filter (where ever_confirmed) as confirmed"),
+    bucket_sql(B.LIFETIME_DASHBOARD, "life", "(select * from episodes where resolved_at is not null)", ", count(*) filter (where ever_confirmed) as confirmed"),
     "checks", extra=EPISODE_CTES,
 )
 def lifetime_buckets(spark, sf):
@@ -1111,12 +1109,12 @@ def lifetime_quantiles(spark, sf):
 
 
 @query(
-    """select id, from_condition_id, to_condition_id, f.question as from_question, t.question as to_question from (select * from ladder order by id desc limit 2000) l
+    """select id, from_condition_id, to_condition_id, f.question as from_question, t.question as to_question from ladder l
        left join markets f on f.condition_id = from_condition_id left join markets t on t.condition_id = to_condition_id""",
     "markets", extra=LADDER_CTES,
 )
 def relations_feed(spark, sf):
-    out = analytics.relations_feed(stored_ladder(spark, sf), project(spark, sf, "markets"), "ladder", "implies", 2000)
+    out = analytics.relations_feed(stored_ladder(spark, sf), project(spark, sf, "markets"), "ladder", "implies")
     return out.select("id", "from_condition_id", "to_condition_id", "from_question", "to_question")
 
 

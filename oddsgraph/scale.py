@@ -65,6 +65,11 @@ def _bucketed(df: DataFrame, order: Column, limits: Sequence[float]) -> DataFram
     return cut_points.transform(out).withColumn(_B, F.col(_B).cast("int")).drop(_V)
 
 
+def top(df: DataFrame, limit: int | None, *order: Column | str) -> DataFrame:
+    """The first ``limit`` rows in an order; all rows, in no order, where no limit is asked for."""
+    return df if limit is None else df.orderBy(*order).limit(limit)
+
+
 def next_row(
     df: DataFrame,
     keys: Sequence[str],

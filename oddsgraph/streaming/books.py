@@ -16,7 +16,6 @@ from oddsgraph.streaming.frames import BOOK, valid_change
 HASH_HISTORY = 4
 TOP_TOLERANCE = 5e-4
 LEVEL_TOLERANCE = 1e-6
-SAMPLE_LEVELS = 6
 # ------------------------------------------------------------------------------
 
 BOOK_UPDATE = (
@@ -161,18 +160,16 @@ def level_differences(live: DataFrame, rest: DataFrame) -> DataFrame:
     return both.where(~same)
 
 
-def divergence_sample(differences: DataFrame) -> DataFrame:
-    """The first differing levels of each token, as text."""
+def divergence_sample(differences: DataFrame, levels: int | None = None) -> DataFrame:
+    """The differing levels of each token as text: all, or the first ``levels``."""
     first = Window.partitionBy("token_id").orderBy("side", "price")
     what = (
         F.when(F.col("here").isNull(), F.format_string("%s %s: rest %s, missing here", "side", "price", "there"))
         .when(F.col("there").isNull(), F.format_string("%s %s: here %s, absent from rest", "side", "price", "here"))
         .otherwise(F.format_string("%s %s: rest %s, here %s", "side", "price", "there", "here"))
     )
-    return (
-        differences.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= SAMPLE_LEVELS)
-        .select("token_id", "rank", what.alias("difference"))
-    )
+    ranked = differences.withColumn("rank", F.row_number().over(first)).select("token_id", "rank", what.alias("difference"))
+    return ranked if levels is None else ranked.where(F.col("rank") <= levels)
 
 
 def reconcile(state: DataFrame, live_levels: DataFrame, rest: DataFrame, rest_levels: DataFrame, parked: DataFrame) -> DataFrame:
