@@ -851,7 +851,7 @@ def archive_dedupe(spark, sf):
 
 
 @query(
-    """select cast(event_id as string) as id, round(value, 6) as volume, event_type in ('click', 'view') as active, case event_type when 'signup' then 0 when 'error' then 3 when 'purchase' then 1 else 0 end as issues,
+    """select cast(event_id as string) as id, round(value, 6) as volume, case when event_type in ('click', 'view') then 'true' when event_type = 'error' then 'unusable' else 'false' end as active, case event_type when 'signup' then 0 when 'error' then 3 when 'purchase' then 1 else 0 end as issues,
        case event_type when 'click' then '2025-03-01' when 'view' then '2024-01-01' when 'signup' then '2025-01-01' else 'none' end as ends, case when event_type = 'error' then 0 else 2 end as outcomes from events""",
 )
 def json_coercion(spark, sf):
@@ -867,7 +867,7 @@ def json_coercion(spark, sf):
     rows = read(spark, sf, "events").select(F.parse_json(body).alias("record"))
     out = pages.normalise_markets(rows)
     return out.select(
-        "id", r6("volume"), F.coalesce("active", F.lit(False)).alias("active"), F.size("issues").alias("issues"),
+        "id", r6("volume"), F.coalesce(F.col("active").cast("string"), F.lit("unusable")).alias("active"), F.size("issues").alias("issues"),
         F.coalesce(F.date_format("endDate", "yyyy-MM-dd"), F.lit("none")).alias("ends"), F.coalesce(F.size("outcomes"), F.lit(0)).alias("outcomes"),
     )
 
