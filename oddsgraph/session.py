@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: list[str] = []
 
 _SHIPPED: set[str] = set()
 
@@ -58,6 +62,23 @@ def checkpoint_folder(spark: SparkSession) -> str:
     return spark.sparkContext.getCheckpointDir()
 
 
+def drop_folder(path: str) -> None:
+    """Delete a folder of intermediate rows."""
+    store, inner = fs.FileSystem.from_uri(re.sub("^file:/(?!/)", "file:///", path))
+    if store.get_file_info(inner).type == fs.FileType.Directory:
+        store.delete_dir(inner)
+
+
+@atexit.register
+def _drop_written() -> None:
+    """What ``cut`` wrote is of no use once the driver ends."""
+    for path in _WRITTEN:
+        try:
+            drop_folder(path)
+        except (OSError, ValueError):  # a store that only Spark reaches; its own rules clean it
+            return
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage of an iterative plan: write the rows to the shared folder, read them back.
 
@@ -66,5 +87,6 @@ def cut(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{checkpoint_folder(spark)}/cut-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
