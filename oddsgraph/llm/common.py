@@ -16,7 +16,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsgraph.session import cut
+from oddsgraph.session import cut, drop_folder
 
 SLICE_BYTES = 1 << 20
 LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
@@ -83,13 +83,6 @@ def read_files(files: tuple[str, ...]) -> pa.Table:
     return pa.concat_tables(parts)
 
 
-def drop_folder(path: str) -> None:
-    """Delete a folder of intermediate rows that nothing reads any more."""
-    store, inner = file_system(path)
-    if store.get_file_info(inner).type == fs.FileType.Directory:
-        store.delete_dir(inner)
-
-
 def drop_cut(df: DataFrame) -> None:
     """Delete what ``cut`` wrote for ``df``, once every reader has run."""
     files = df.inputFiles()
