@@ -46,7 +46,7 @@ def book_state(changes: DataFrame, seeds: DataFrame | None = None) -> DataFrame:
 class BookProcessor(StatefulProcessor):
     """Book of one token: whole books replace it, changes apply once it is seeded.
 
-    Of the changes that arrive before the seed the last one per price waits, so the
+    Of the changes that arrive before the seed the newest one per price waits, so the
     buffer is no larger than the price grid; on the seed the ones older than it are
     dropped and the rest applied.
     """
@@ -57,7 +57,7 @@ class BookProcessor(StatefulProcessor):
         self.pending = handle.getMapState("pending", "side string, price double", "size double, ts long, hash string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(["ts_ms", "received_at", "seq"], kind="stable")
+        batch = pd.concat(list(rows)).sort_values(["ts_ms", "received_at", "frame_no", "seq"], kind="stable")
         meta = list(self.meta.get()) if self.meta.exists() else None
         applied = unseeded = 0
         hint_source, touched = None, False
@@ -86,7 +86,9 @@ class BookProcessor(StatefulProcessor):
             price, size = float(e.price) if e.price == e.price else -1.0, float(e.size) if e.size == e.size else -1.0
             if meta is None:
                 unseeded += 1
-                if 0 < price <= 1 and size >= 0:
+                place = (e.side, price)
+                newer = not self.pending.containsKey(place) or self.pending.getValue(place)[1] <= (ts or 0)
+                if 0 < price <= 1 and size >= 0 and newer:
                     self.pending.updateValue((e.side, price), (size, ts or 0, e.hash))
                 continue
             if self._apply(e.side, price, size):

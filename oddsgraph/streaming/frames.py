@@ -18,17 +18,26 @@ _EVENT = (
 
 
 def read_frames(spark: SparkSession, path: str, streaming: bool = True) -> DataFrame:
-    """(frame, received_at) from landed text files, one frame per line."""
+    """(frame, received_at, frame_no) from landed text files, one frame per line.
+
+    A line may start with the number of its frame in order of arrival and a tab: files give
+    no order of lines, and frames with one timestamp are applied by this number.
+    """
     reader = spark.readStream if streaming else spark.read
     lines = reader.format("text").load(path)
+    number = F.regexp_extract("value", r"^(\d+)\t", 1)
     return lines.select(
-        F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at")
+        F.regexp_replace("value", r"^\d+\t", "").alias("frame"),
+        F.col("_metadata.file_modification_time").alias("received_at"),
+        F.when(number != "", number.try_cast("bigint")).alias("frame_no"),
     )
 
 
 def route_frames(frames: DataFrame) -> DataFrame:
     """One row per event with ``route``: book, price_change, pong, text, unparseable, unknown,
-    or the name of any other event type."""
+    or the name of any other event type. ``frame_no``, if there, is carried along."""
+    if "frame_no" not in frames.columns:
+        frames = frames.withColumn("frame_no", F.lit(None).cast("long"))
     text = F.col("frame")
     json = text.startswith("[") | text.startswith("{")
     parsed = frames.where(text != "").withColumn("__doc", F.when(json, F.try_parse_json("frame")))
@@ -37,7 +46,7 @@ def route_frames(frames: DataFrame) -> DataFrame:
         kind(doc).startswith("ARRAY"), F.try_variant_get(doc, "$", "array<variant>")
     ).otherwise(F.array(doc))
     rows = parsed.select(
-        "frame", "received_at", doc.isNull().alias("__bad"), F.posexplode(items).alias("seq", "__item")
+        "frame", "received_at", "frame_no", doc.isNull().alias("__bad"), F.posexplode(items).alias("seq", "__item")
     )
     body = F.from_json(F.to_json("__item"), _EVENT)
     name = F.try_variant_get("__item", "$.event_type", "string")
@@ -45,7 +54,7 @@ def route_frames(frames: DataFrame) -> DataFrame:
         F.when(~json & (text == "PONG"), "pong").when(~json, "text").when(F.col("__bad"), "unparseable")
         .when(name.isNull(), "unknown").otherwise(name)
     )
-    return rows.select("received_at", "seq", route.alias("route"), body.alias("event"))
+    return rows.select("received_at", "frame_no", "seq", route.alias("route"), body.alias("event"))
 
 
 def route_counts(routed: DataFrame) -> DataFrame:
@@ -64,7 +73,7 @@ def _sane_levels(levels: Column) -> Column:
 def book_events(routed: DataFrame) -> DataFrame:
     """Book and change events per token, ready for the book state.
 
-    Columns: token_id, condition_id, kind, ts_ms, received_at, seq, bids, asks, side,
+    Columns: token_id, condition_id, kind, ts_ms, received_at, frame_no, seq, bids, asks, side,
     price, size, hash, best_bid, best_ask.
     """
     e = F.col("event")
@@ -73,18 +82,18 @@ def book_events(routed: DataFrame) -> DataFrame:
     empty = none.cast("array<struct<price:double,size:double>>")
     whole = routed.where(F.col("route") == BOOK).where(e["asset_id"].isNotNull()).select(
         e["asset_id"].alias("token_id"), e["market"].alias("condition_id"), F.lit(BOOK).alias("kind"),
-        F.when(ms > 0, ms).alias("ts_ms"), "received_at", F.col("seq").cast("long").alias("seq"),
+        F.when(ms > 0, ms).alias("ts_ms"), "received_at", "frame_no", F.col("seq").cast("long").alias("seq"),
         _sane_levels(e["bids"]).alias("bids"), _sane_levels(e["asks"]).alias("asks"),
         none.cast("string").alias("side"), none.cast("double").alias("price"), none.cast("double").alias("size"),
         e["hash"].alias("hash"), none.cast("double").alias("best_bid"), none.cast("double").alias("best_ask"),
     )
     opened = routed.where(F.col("route") == CHANGE).select(
-        e["market"].alias("condition_id"), F.when(ms > 0, ms).alias("ts_ms"), "received_at", "seq",
+        e["market"].alias("condition_id"), F.when(ms > 0, ms).alias("ts_ms"), "received_at", "frame_no", "seq",
         F.posexplode(e["price_changes"]).alias("i", "c"),
     )
     c = F.col("c")
     changes = opened.select(
-        c["asset_id"].alias("token_id"), "condition_id", F.lit(CHANGE).alias("kind"), "ts_ms", "received_at",
+        c["asset_id"].alias("token_id"), "condition_id", F.lit(CHANGE).alias("kind"), "ts_ms", "received_at", "frame_no",
         (F.col("seq").cast("long") * 100_000 + F.col("i")).alias("seq"), empty.alias("bids"), empty.alias("asks"),
         F.when(F.upper(c["side"]) == "BUY", "bid").otherwise("ask").alias("side"),
         _number(c["price"]).alias("price"), _number(c["size"]).alias("size"), c["hash"].alias("hash"),

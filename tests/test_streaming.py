@@ -154,3 +154,30 @@ def test_reconcile_outcomes(spark):
     assert books.divergence_sample(books.level_differences(live, fetched)).count() == 2
     hints = spark.createDataFrame([("e",), ("d",), ("zzz",)], "token_id string")
     assert rows(books.tokens_to_check(state, hints, 3)) == [("a",), ("b",), ("d",)]
+
+
+def test_frames_of_one_millisecond_follow_their_numbers(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    lines = [book("t", [(0.3, 5)], [(0.6, 4)], 1000)] + [change("t", "BUY", 0.4, size, 2000) for size in (7, 1, 9, 2)]
+    numbered = [f"{k}\t{json.dumps(x)}" for k, x in enumerate(lines)]
+    random.Random(1).shuffle(numbered)
+    (src / "a.txt").write_text("\n".join(numbered))
+    stream = frames.book_events(frames.route_frames(frames.read_frames(spark, str(src))))
+    out = run(books.stream_books(stream), "numbered", "update", tmp_path)
+    assert [(r.bid, r.ask) for r in out.collect()] == [(0.4, 0.6)]
+    events = frames.book_events(frames.route_frames(frames.read_frames(spark, str(src), streaming=False)))
+    last = events.where("kind = 'price_change'").orderBy(F.desc("frame_no")).head()
+    assert (last.frame_no, last.size) == (4, 2.0)
+
+
+def test_the_newest_waiting_change_counts(spark, tmp_path):
+    src = tmp_path / "in"
+    src.mkdir()
+    for k, line in enumerate([change("t", "BUY", 0.4, 7, 3000), change("t", "BUY", 0.4, 0, 2500), book("t", [(0.3, 5)], [(0.6, 4)], 2000)]):
+        (src / f"{k}.txt").write_text(json.dumps(line))
+        os.utime(src / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(src))
+    landed = lines.select(F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at"))
+    out = run(books.stream_books(frames.book_events(frames.route_frames(landed))), "waiting", "update", tmp_path)
+    assert [r.bid for r in out.where("bid is not null").collect()] == [0.4]
