@@ -19,13 +19,19 @@ MARKET_COLUMNS = [
 ]
 
 
+def page_order(page: Column) -> Column:
+    """Names of pages in the order they were fetched: runs of digits compare as numbers."""
+    padded = F.regexp_replace(page, r"(\d+)", "0" * 20 + "$1")
+    return F.regexp_replace(padded, r"\d*(\d{20})(?!\d)", "$1")
+
+
 def event_rows(events: DataFrame, seen_at: Column) -> DataFrame:
     """Normalised events to stored rows; ``closed_at`` is only an initial value."""
     return events.select(
         "id", "slug", "title", F.col("negRisk").alias("neg_risk"),
         seen_at.alias("first_seen_at"), seen_at.alias("last_seen_at"),
         F.when(F.col("closed"), seen_at).alias("closed_at"),
-        F.struct("page", "position").alias("arrival"),
+        F.struct(page_order(F.col("page")).alias("page"), "position").alias("arrival"),
     )
 
 
@@ -50,7 +56,7 @@ def market_rows(markets: DataFrame) -> DataFrame:
         F.col("conditionId").alias("condition_id"), "event_id", "question", "slug", "description",
         F.col("resolutionSource").alias("resolution_source"), "outcomes",
         F.col("clobTokenIds").alias("clob_token_ids"), F.col("endDate").alias("end_date"),
-        "active", "closed", "archived", F.struct("page", "position", "nested").alias("arrival"),
+        "active", "closed", "archived", F.struct(page_order(F.col("page")).alias("page"), "position", "nested").alias("arrival"),
     )
     return with_content_hash(out)
 

@@ -4,7 +4,7 @@ from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
 
-from oddsgraph.operators import alerts, analytics, proposals, screen
+from oddsgraph.operators import alerts, analytics, proposals, reconcile, screen
 from oddsgraph.scale import top
 
 
@@ -65,3 +65,13 @@ def test_newest_relations(spark):
     markets = spark.createDataFrame([("a", "A?"), ("b", "B?")], "condition_id string, question string")
     assert sorted(r.id for r in analytics.relations_feed(relations, markets, limit=2).collect()) == ["r3", "r4"]
     assert analytics.relations_feed(relations, markets).count() == 5
+
+
+def test_later_pages_win_whatever_their_names(spark):
+    pages = ["crawl/page-2.json", "crawl/page-10.json", "crawl/page-9.json"]
+    rows = spark.createDataFrame([(p,) for p in pages], "page string")
+    assert [r.page for r in rows.orderBy(reconcile.page_order(F.col("page"))).collect()] == ["crawl/page-2.json", "crawl/page-9.json", "crawl/page-10.json"]
+    seen = F.lit(datetime(2024, 1, 1))
+    events = spark.createDataFrame([("e", p, 0, p, "t", False, False) for p in pages], "id string, page string, position int, slug string, title string, negRisk boolean, closed boolean")
+    none = reconcile.event_rows(events, seen).drop("arrival").where("false")
+    assert reconcile.upsert_events(none, reconcile.event_rows(events, seen)).head().slug == "crawl/page-10.json"
