@@ -75,14 +75,36 @@ def open_violations(all_episodes: DataFrame, markets: DataFrame, now: Column, li
     return _question(rows, markets).withColumn("age_seconds", age)
 
 
-def violation_feed(all_episodes: DataFrame, markets: DataFrame, now: Column, which: str = "all", limit: int | None = None) -> DataFrame:
-    """Newest episodes: all, open, closed, confirmed or apparent; lifetime or age so far."""
+def _of_kind(all_episodes: DataFrame, which: str) -> DataFrame:
     rules = {
         "all": F.lit(True), "open": F.col("resolved_at").isNull(), "closed": F.col("resolved_at").isNotNull(),
         "confirmed": F.col("ever_confirmed"), "apparent": ~F.col("ever_confirmed"),
     }
-    rows = all_episodes.where(rules.get(which, rules["all"]))
-    rows = top(rows, limit, F.desc("detected_at"), "episode_id")
+    return all_episodes.where(rules.get(which, rules["all"]))
+
+
+def violation_totals(all_episodes: DataFrame) -> DataFrame:
+    """Rows of the feed of every kind, whatever limit the feed is cut to."""
+    names = ["all", "open", "closed", "confirmed", "apparent"]
+    kinds = F.array_compact(
+        F.array(
+            F.lit("all"), F.when(F.col("resolved_at").isNull(), "open").otherwise("closed"),
+            F.when(F.col("ever_confirmed"), "confirmed").otherwise("apparent"),
+        )
+    )
+    counted = all_episodes.select(F.explode(kinds).alias("which")).groupBy("which").agg(F.count("*").alias("total"))
+    every = all_episodes.sparkSession.range(1).select(F.explode(F.array(*[F.lit(n) for n in names])).alias("which"))
+    return every.join(counted, "which", "left").select("which", F.coalesce("total", F.lit(0)).alias("total"))
+
+
+def relation_totals(relations: DataFrame) -> DataFrame:
+    """Rows of the relations feed by source and type."""
+    return relations.groupBy("source", "type").agg(F.count("*").alias("total"))
+
+
+def violation_feed(all_episodes: DataFrame, markets: DataFrame, now: Column, which: str = "all", limit: int | None = None) -> DataFrame:
+    """Newest episodes: all, open, closed, confirmed or apparent; lifetime or age so far."""
+    rows = top(_of_kind(all_episodes, which), limit, F.desc("detected_at"), "episode_id")
     life = (F.unix_micros(F.coalesce("resolved_at", now)) - F.unix_micros("detected_at")) / 1e6
     return _question(rows, markets).withColumn("lifetime_seconds", life).withColumn("open", F.col("resolved_at").isNull())
 

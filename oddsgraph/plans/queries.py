@@ -1076,6 +1076,21 @@ def violation_feed(spark, sf):
     return out.select("episode_id", "question", "open", r6("lifetime_seconds"))
 
 
+@query(
+    """select k.which, count(e.episode_id) as total from (select unnest(['all', 'open', 'closed', 'confirmed', 'apparent']) as which) k
+       left join episodes e on k.which = 'all' or (k.which = 'open' and resolved_at is null) or (k.which = 'closed' and resolved_at is not null)
+       or (k.which = 'confirmed' and ever_confirmed) or (k.which = 'apparent' and not ever_confirmed) group by 1""",
+    "checks", extra=EPISODE_CTES,
+)
+def violation_totals(spark, sf):
+    return analytics.violation_totals(all_episodes(spark, sf))
+
+
+@query("select 'ladder' as source, 'implies' as type, count(*) as total from ladder having count(*) > 0", "markets", extra=LADDER_CTES)
+def relation_totals(spark, sf):
+    return analytics.relation_totals(stored_ladder(spark, sf))
+
+
 def bucket_sql(buckets: list, value: str, source: str, extra: str = "") -> str:
     parts = []
     for i, (name, low, high) in enumerate(buckets):
