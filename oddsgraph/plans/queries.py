@@ -905,6 +905,56 @@ def episodes(spark, sf):
     )
 
 
+LATEST_CHECK = "2024-01-16 00:00:00"
+ONCE_CTES = [
+    ("once", f"""select * from checks where check_ts < timestamp '{LATEST_CHECK}' union all
+        select * replace (timestamp '{LATEST_CHECK}' as check_ts) from (select * from checks where check_ts >= timestamp '{LATEST_CHECK}'
+        qualify row_number() over (partition by constraint_key order by check_ts, event_id) = 1)"""),
+    *[(name, body.replace("from checks where", "from once where")) for name, body in EPISODE_CTES],
+]
+
+
+def after_latest_check(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """The episodes before a time, and the first check of each constraint from then on recorded on them."""
+    checks = project(spark, sf, "checks")
+    at = F.lit(LATEST_CHECK).cast("timestamp")
+    stored = ep.episodes(checks.where(F.col("check_ts") < at), tie=["event_id"])
+    row = F.struct(*[c for c in checks.columns if c != "constraint_key"])
+    latest = checks.where(F.col("check_ts") >= at).groupBy("constraint_key").agg(F.min_by(row, F.struct("check_ts", "event_id")).alias("r")).select("constraint_key", "r.*")
+    seen = latest.where(~F.col("unscreenable"))
+    bad = seen.where("violated").withColumn("status", F.when(F.col("confirmed"), "confirmed").otherwise("apparent"))
+    return ep.record_check(stored, bad, bad, seen, at)
+
+
+@query(
+    """select episode_id, status, checks, epoch_us(detected_at) as detected_at, coalesce(epoch_us(resolved_at), -1) as resolved_at, ever_confirmed,
+       round(screen_magnitude, 6) as screen_magnitude, round(peak_magnitude, 6) as peak_magnitude, round(peak_net_profit, 6) as peak_net_profit from episodes""",
+    "checks", extra=ONCE_CTES,
+)
+def incremental_episodes(spark, sf):
+    """One more check recorded on stored episodes equals the episodes of the whole history."""
+    after, _ = after_latest_check(spark, sf)
+    return after.select(
+        "episode_id", "status", "checks", us("detected_at"), F.coalesce(F.unix_micros("resolved_at"), F.lit(-1)).alias("resolved_at"), "ever_confirmed", r6("screen_magnitude"), r6("peak_magnitude"), r6("peak_net_profit")
+    )
+
+
+@query(
+    """select count(*) filter (where bad and not open) as opened, count(*) filter (where bad and open) as updated,
+       count(*) filter (where bad and open and confirmed and not ever) as upgraded, count(*) filter (where not bad and open) as resolved from
+       (select l.constraint_key, l.violated as bad, l.confirmed, e.episode_id is not null as open, coalesce(e.ever_confirmed, false) as ever
+        from (select * from once where check_ts = timestamp '""" + LATEST_CHECK + """' and not unscreenable) l
+        left join (select * from before_episodes where resolved_at is null) e on e.constraint_key = l.constraint_key)""",
+    "checks",
+    extra=[
+        ONCE_CTES[0],
+        *[(name if name != "episodes" else "before_episodes", body.replace("from checks where", f"from checks where check_ts < timestamp '{LATEST_CHECK}' and")) for name, body in EPISODE_CTES],
+    ],
+)
+def incremental_counts(spark, sf):
+    return after_latest_check(spark, sf)[1]
+
+
 @query(
     """select count(resolved_at) as closed_episodes, count(*) filter (where resolved_at is not null and ever_confirmed) as closed_confirmed, count(*) filter (where resolved_at is null) as open_episodes,
        count(*) filter (where resolved_at is null and ever_confirmed) as open_confirmed, count(*) filter (where ever_confirmed) as total_confirmed_ever, round(max(peak_net_profit), 6) as best_net_profit,
