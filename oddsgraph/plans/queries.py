@@ -1062,6 +1062,78 @@ def resolution_decisions(spark, sf):
     return alerts.resolution_decisions(closed, deliveries_of(eps), now()).select("episode_id", "decision")
 
 
+ALERT_CTES = EPISODE_CTES + [
+    ("d", DELIVERY_SQL),
+    ("dec", f"""select concat('violation:', e.episode_id) as alert_key, e.peak_net_edge as value, case when not (coalesce(peak_net_edge, 0) >= 0.01 and coalesce(peak_net_profit, 0) >= 20) then 'below_threshold' when d.alert_key is null then 'send'
+       when d.resolved_notified_at is not null then 'suppress' when epoch(timestamp '{NOW}') - epoch(d.last_sent_at) < 1800 then 'suppress' when d.last_value <= 0 then 'suppress'
+       when peak_net_edge >= d.last_value * 2 then 'escalate' else 'suppress' end as decision
+       from episodes e left join d on d.alert_key = concat('violation:', e.episode_id) where e.ever_confirmed"""),
+    ("acted", "select * from dec where decision in ('send', 'escalate')"),
+]
+
+
+@query(
+    f"""select coalesce(d.alert_key, a.alert_key) as alert_key, case when a.alert_key is not null then epoch_us(timestamp '{NOW}') else epoch_us(d.last_sent_at) end as last_sent_at,
+       round(case when a.alert_key is not null then a.value else d.last_value end, 6) as last_alert_value,
+       (case when d.alert_key is not null then 1 else 0 end) + (case when a.alert_key is not null then 1 else 0 end) as send_count,
+       case when d.alert_key is not null and a.decision = 'escalate' then 1 else 0 end as escalations, d.resolved_notified_at is not null as resolved
+       from d full join acted a on a.alert_key = d.alert_key""",
+    "checks", extra=ALERT_CTES,
+)
+def delivery_updates(spark, sf):
+    """Deliveries after the alerts of this run; running it again changes nothing more than a second send would."""
+    eps = all_episodes(spark, sf)
+    known = deliveries_of(eps)
+    decisions = alerts.confirmed_decisions(eps.where("ever_confirmed"), known, now(), 0.01, 20.0)
+    out = alerts.updated_deliveries(known, decisions, now())
+    return out.select("alert_key", us("last_sent_at"), r6("last_alert_value"), "send_count", "escalations", F.col("resolved_notified_at").isNotNull().alias("resolved"))
+
+
+@query(
+    f"""select coalesce(d.alert_key, concat('violation:', e.episode_id)) as alert_key, epoch_us(timestamp '{NOW}') as resolved_notified_at from episodes e join d on d.alert_key = concat('violation:', e.episode_id)
+       where e.resolved_at is not null and e.ever_confirmed and d.resolved_notified_at is null""",
+    "checks", extra=ALERT_CTES,
+)
+def resolution_updates(spark, sf):
+    """Endings announced in this run are stamped once."""
+    eps = all_episodes(spark, sf)
+    known = deliveries_of(eps)
+    closed = eps.where(F.col("resolved_at").isNotNull() & F.col("ever_confirmed"))
+    after = alerts.updated_deliveries(known, alerts.resolution_decisions(closed, known, now()), now())
+    return after.where(F.col("resolved_notified_at") == now()).select("alert_key", us("resolved_notified_at"))
+
+
+@query(
+    """select episode_id, epoch_us(resolved_at) as resolved_at from episodes e where ever_confirmed and resolved_at >= timestamp '2024-01-20 00:00:00' - interval 24 hours
+       and exists (select 1 from d where d.alert_key = concat('violation:', e.episode_id) and d.resolved_notified_at is null)""",
+    "checks", extra=ALERT_CTES,
+)
+def recently_resolved(spark, sf):
+    eps = all_episodes(spark, sf)
+    out = alerts.recently_resolved(eps, deliveries_of(eps), F.lit("2024-01-20 00:00:00").cast("timestamp"))
+    return out.select("episode_id", us("resolved_at"))
+
+
+@query(
+    """select episode_id from episodes e where resolved_at is null and ever_confirmed and exists (select 1 from checks c where c.constraint_key = e.constraint_key and c.confirmed and c.violated)""",
+    "checks", extra=ALERT_CTES,
+)
+def confirmed_to_alert(spark, sf):
+    keys = project(spark, sf, "checks").where("confirmed and violated")
+    return alerts.confirmed_to_alert(all_episodes(spark, sf), keys).select("episode_id")
+
+
+@query(
+    """select episode_id, round(screen_magnitude, 6) as screen_magnitude from episodes where not ever_confirmed and screen_magnitude is not null
+       and detected_at >= timestamp '2024-01-10 00:00:00' and detected_at < timestamp '2024-01-12 00:00:00' order by episodes.screen_magnitude desc, episode_id limit 5""",
+    "checks", extra=EPISODE_CTES,
+)
+def digest_worst(spark, sf):
+    """The five worst gaps of a digest; its counts cover all entries."""
+    start, end = (F.lit(f"2024-01-{d} 00:00:00").cast("timestamp") for d in (10, 12))
+    return alerts.hourly_digest(all_episodes(spark, sf), start, end)["worst"].select("episode_id", r6("screen_magnitude"))
+
+
 @query(
     """select epoch_us(date_trunc('hour', detected_at)) as hour, case when ever_confirmed then 'confirmed' when reason like '%spread and fees%' then 'spread and fees exceed the mispricing'
        when reason like '%too thin%' then 'edge real but immaterial' when reason like '%no order book%' then 'no order book for a leg' else reason end as reason, count(*) as n,
