@@ -36,16 +36,16 @@ REACH = SPAN - GRAM
 SURE = LENGTH - REACH
 """Bytes from the anchor on that every string with it holds."""
 CROWD = 20_000
-"""Anchors with equal next bytes, beyond which their strings are counted one by one, spread over all tasks."""
+"""Documents with an anchor of equal next bytes, beyond which its strings are counted one by one, spread over all tasks."""
 PART_BYTES = 4 << 20
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("h", pa.int64())])
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h", pa.int64()), ("places", pa.list_(pa.int32()))])
 _WORK = pa.schema(
-    [("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("pos", pa.int32()), ("context", pa.binary()), ("part", pa.int32()),
+    [("kind", pa.int32()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("places", pa.list_(pa.int32())), ("context", pa.binary()), ("part", pa.int32()),
      ("n_bytes", pa.int64()), ("sha256", pa.string()), ("body", pa.binary())]
 )
-_WORK_DDL = "kind int, doc_id long, text_hash long, pos int, context binary, part int, n_bytes long, sha256 string, body binary"
+_WORK_DDL = "kind int, doc_id long, text_hash long, places array<int>, context binary, part int, n_bytes long, sha256 string, body binary"
 DONE, ANCHOR, RUN, TEXT = range(4)
 _powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
@@ -90,23 +90,28 @@ def anchors(body: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def find_anchors(rows: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, pos, h) of every anchor."""
+    """(doc_id, text_hash, h, places) of all anchors: one row for each document and hash, however often a text repeats itself."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             ids, hashes = batch.column("doc_id"), batch.column("text_hash")
             for a, b in slices(offsets):
-                owner, places, marks = [], [], []
+                owner, marks, places, sizes = [], [], [], []
                 for k in range(a, b):
                     at, h = anchors(data[offsets[k] : offsets[k + 1]])
-                    owner.append(np.full(len(at), k))
-                    places.append(at)
-                    marks.append(h)
+                    order = np.argsort(h, kind="stable")
+                    names, times = np.unique(h, return_counts=True)
+                    owner.append(np.full(len(names), k))
+                    marks.append(names)
+                    places.append(at[order])
+                    sizes.append(times)
                 of = pa.array(np.concatenate(owner))
-                yield pa.RecordBatch.from_arrays([ids.take(of), hashes.take(of), pa.array(np.concatenate(places).astype(np.int32)), pa.array(np.concatenate(marks))], schema=_ANCHORS)
+                starts = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(starts), pa.array(np.concatenate(places).astype(np.int32)))
+                yield pa.RecordBatch.from_arrays([ids.take(of), hashes.take(of), pa.array(np.concatenate(marks)), lists], schema=_ANCHORS)
 
-    return rows.mapInArrow(run, "doc_id long, text_hash long, pos int, h long")
+    return rows.mapInArrow(run, "doc_id long, text_hash long, h long, places array<int>")
 
 
 def shared_prefix(a: bytes, b: bytes, start: int = 0) -> int:
@@ -266,25 +271,28 @@ def _contexts(rows: DataFrame, n_parts: int) -> DataFrame:
                 yield _work([_run_row(part, some, packer)])
 
         for batch in batches:
-            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "places", "crowded")]
+            columns = [batch.column(c).to_pylist() for c in ("doc_id", "text_hash", "places")]
             column, out = batch.column("text"), []
             data, offsets = utf8(column)
-            for k, (doc_id, text_hash, places, crowded) in enumerate(zip(*columns, strict=True)):
+            for k, (doc_id, text_hash, places) in enumerate(zip(*columns, strict=True)):
                 body = data[offsets[k] : offsets[k + 1]].tobytes()
                 if not places:
                     out.append({"kind": DONE, "doc_id": doc_id, "text_hash": text_hash, "n_bytes": len(body), "sha256": hashlib.sha256(body).hexdigest()})
                     continue
                 out.append({"kind": TEXT, "doc_id": doc_id, "text_hash": text_hash, "body": packer.compress(body)})
-                for pos, hot in zip(places, crowded, strict=True):
+                mine: dict[bytes, list[int]] = {}
+                for coded in places:
+                    pos, hot = coded >> 1, coded & 1
                     right, left = body[pos : pos + LENGTH], body[max(0, pos - REACH) : pos]
                     name = xxhash.xxh3_128_digest(right + len(left).to_bytes(2, "little") + left)
-                    out.append({"kind": ANCHOR, "doc_id": doc_id, "text_hash": text_hash, "pos": pos, "context": name})
+                    mine.setdefault(name, []).append(pos)
                     if name in entries:
                         entries[name][3] += 1
                         continue
                     part = -1 if hot else xxhash.xxh3_64_intdigest(right[:SURE]) % n_parts
                     entries[name] = [part, right, left, 1]
                     held += len(right) + len(left)
+                out += [{"kind": ANCHOR, "doc_id": doc_id, "text_hash": text_hash, "places": at, "context": name} for name, at in mine.items()]
                 if len(out) > 5000:
                     yield _work(out)
                     out = []
@@ -358,8 +366,8 @@ def repeated_offsets(runs: DataFrame) -> DataFrame:
 
 
 def kept(body: bytes, places: list[dict]) -> tuple[int, int, bytes]:
-    """(removed bytes, removed runs, what is left) of a text, from (pos, low, high) of its anchors."""
-    spans = sorted((p["pos"] - p["high"], p["pos"] - p["low"] + LENGTH) for p in places)
+    """(removed bytes, removed runs, what is left) of a text, from (places, low, high) of its anchors."""
+    spans = sorted((at - p["high"], at - p["low"] + LENGTH) for p in places for at in p["places"])
     out, at, removed, n = [], 0, 0, 0
     for start, stop in spans:
         if start > at or not n and start == 0:
@@ -400,20 +408,20 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     """
     rows = texts(docs, F.xxhash64(F.coalesce("text", F.lit(""))).alias("text_hash"))
     found = cut(find_anchors(rows))
-    counts = found.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    places = found.join(counts, "h").groupBy("doc_id", "text_hash").agg(
-        F.collect_list(F.struct("pos", (F.col("n") > CROWD).alias("hot"))).alias("found")
-    )
-    # Repeated rows list each place more than once.
-    places = cut(places.select(F.col("doc_id").alias("i"), F.col("text_hash").alias("t"), F.array_distinct("found.pos").alias("places"), F.map_from_entries(F.array_distinct("found")).alias("hot")))
+    counts = found.groupBy("h").agg(F.sum(F.size("places")).alias("n"), F.count("*").alias("documents")).where("n > 1")
+    # A place and whether it stands in a crowd as one number; repeated rows list each place more than once.
+    crowded = (F.col("documents") > CROWD).cast("int")
+    coded = F.transform("places", lambda p: p * 2 + F.col("crowded"))
+    places = found.join(counts.select("h", crowded.alias("crowded")), "h").select("doc_id", "text_hash", coded.alias("places"))
+    places = places.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).agg(F.flatten(F.collect_list("places")).alias("places"))
+    places = cut(places.select("i", "t", F.sort_array(F.array_distinct("places")).alias("places")))
     drop_cut(found)
     n_parts = max(1, math.ceil(places.agg(F.coalesce(F.sum(F.size("places")), F.lit(0))).head()[0] * (LENGTH + REACH) / PART_BYTES))
-    at = places.select("i", "t", "places", F.transform("places", lambda p: F.col("hot")[p]).alias("crowded"))
-    both = rows.join(at.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
-    work = cut(_contexts(both.select("doc_id", "text_hash", "text", "places", "crowded"), n_parts))
+    both = rows.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
+    work = cut(_contexts(both.select("doc_id", "text_hash", "text", "places"), n_parts))
     offsets = cut(repeated_offsets(work.where(F.col("kind") == RUN)))
-    spans = work.where(F.col("kind") == ANCHOR).select("doc_id", "text_hash", "pos", "context").join(offsets, "context")
-    spans = spans.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).agg(F.collect_set(F.struct("pos", "low", "high")).alias("places"))
+    spans = work.where(F.col("kind") == ANCHOR).select("doc_id", "text_hash", F.col("places").alias("at"), "context").join(offsets, "context")
+    spans = spans.groupBy(F.col("doc_id").alias("i"), F.col("text_hash").alias("t")).agg(F.collect_list(F.struct(F.col("at").alias("places"), "low", "high")).alias("places"))
     bodies = work.where(F.col("kind") == TEXT).select("doc_id", "text_hash", "body")
     touched = bodies.join(spans.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & (F.col("text_hash") == F.col("t")), "left")
     done = work.where(F.col("kind") == DONE).select("doc_id", "n_bytes", F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.col("sha256").alias("kept_sha256"))
