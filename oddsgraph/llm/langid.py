@@ -103,9 +103,9 @@ def train(docs: DataFrame, smoothing: float = SMOOTHING) -> Model:
             yield pa.RecordBatch.from_pydict({"language": [k] * len(at), "bucket": at.astype(np.int32), "n": found[at]}, schema=_COUNTS)
 
     parts = labelled.mapInArrow(run, "language int, bucket int, n long")
-    total = parts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = parts.groupBy("language", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((size, len(languages)))
-    counts[total["bucket"].to_numpy(int), total["language"].to_numpy(int)] = total["n"].to_numpy(float)
+    counts[total["bucket"].to_numpy(), total["language"].to_numpy()] = total["n"].to_numpy()
     table = np.log((counts + smoothing) / (counts.sum(axis=0) + smoothing * size)) if languages else counts
     return Model(languages, table.astype(np.float32))
 

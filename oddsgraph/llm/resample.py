@@ -143,9 +143,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Models:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[k][part])], schema=_COUNTS)
 
     parts = marked.mapInArrow(run, "model int, bucket int, n long")
-    total = parts.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    total = parts.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((4, BUCKETS + 1))  # the last column, bucket -1, has the numbers of documents
-    counts[total["model"].to_numpy(int), total["bucket"].to_numpy(int)] = total["n"].to_numpy(float)
+    counts[total["model"].to_numpy(), total["bucket"].to_numpy()] = total["n"].to_numpy()
     seen = labels.where(F.col("toxic").isNotNull()).agg(F.count("*").alias("n"), F.count_if(toxic).alias("toxic")).head()
     n = counts[:, -1].astype(int)
     return fit(counts[:, :-1], n[RAW_DOCS], n[TOXIC_DOCS], math.log((seen["toxic"] + 0.5) / (seen["n"] + 1.0)))
