@@ -86,16 +86,17 @@ class Encoder:
             words.append(rest)
         known = self._young
         missing = set().union(*words).difference(known)
-        if blank := {p for p in missing if not p or p[0].isspace()}:
+        if blank := {p for p in missing if not p.isalpha() and (not p or p[0].isspace())}:
             for k, rest in enumerate(words):
                 if not blank.isdisjoint(rest):
                     heads[k], *words[k] = _CUT.split(bodies[k])
             missing = set().union(*words).difference(known)
-        for p in [p for p in missing if p in self._old]:
-            known[p] = self._old[p]
-            missing.remove(p)
+        if self._old:
+            again = missing.intersection(self._old)
+            known.update({p: self._old[p] for p in again})
+            missing -= again
         fresh = list(missing)
-        split = {p: runs for p in fresh if (runs := _runs(p))}
+        split = {p: runs for p in fresh if not p.isalpha() and (runs := _runs(p))}
         inner = self._inner
         plain = {p for p in fresh if p not in split} | {r[0] for r in split.values() if r[0] not in known}
         within = {x for r in split.values() for x in r[1:]}.difference(inner)
@@ -105,9 +106,8 @@ class Encoder:
         for p, (first, *rest) in split.items():
             known[p] = b"".join([known[first], *map(inner.__getitem__, rest)])
         out = [b"".join([h, *map(known.__getitem__, rest)]) for h, rest in zip(self._tokenize(heads), words, strict=True)]
-        for p in {*fresh, *plain}:
-            if len(p) > LONGEST_KEPT:
-                del known[p]
+        for p in {p for p in (*fresh, *plain) if len(p) > LONGEST_KEPT}:
+            del known[p]
         if len(inner) > GENERATION // 5:
             inner.clear()
         if len(known) > GENERATION:
