@@ -31,6 +31,8 @@ SAMPLE = 50_000
 """Labelled documents of each kind that the target and the toxic model are learned from, at most."""
 DRAWN_TO_RAW = 1_000_000.0
 LIKELY = math.log(0.5)
+LEAST_SHARE = 0.02
+"""Of the toxic documents, how many must hold a bucket that counts."""
 BEYOND_CHANCE = 5.0
 """Standard deviations by which a bucket's count among toxic documents must stand out."""
 FEW = 1_000_000
@@ -59,6 +61,7 @@ def fit(counts: np.ndarray, n_docs: int, n_toxic: int, prior: float) -> Models:
     good = np.log((counts[GOOD] + DRAWN_TO_RAW * raw) / (counts[GOOD].sum() + DRAWN_TO_RAW)) - np.log(raw)
     due = n_toxic * counts[RAW_DOCS] / max(1, n_docs)
     stands_out = counts[TOXIC_DOCS] - due > BEYOND_CHANCE * np.sqrt(due + 1.0)
+    stands_out &= counts[TOXIC_DOCS] >= LEAST_SHARE * n_toxic
     ratio = np.log(np.maximum(counts[TOXIC_DOCS], 1.0) / np.maximum(due, 1e-9))
     toxic = np.where(stands_out & (ratio + prior > LIKELY), ratio, 0.0)
     return Models(good.astype(np.float32), toxic.astype(np.float32), prior)
@@ -122,6 +125,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Models:
     """
     good, toxic = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.col("toxic") == 1
     known = cut(_few(labels, good).withColumn("kind", F.lit(GOOD)).union(_few(labels, toxic).withColumn("kind", F.lit(TOXIC_DOCS))).groupBy("doc_id").agg(F.max("kind").alias("kind")))
+    # Copies of one document would pass for evidence: each labelled text teaches once.
+    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body")).join(F.broadcast(known), "doc_id")
+    known = cut(bodies.groupBy("kind", "body").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.max("kind").alias("kind")))
     marked = texts(docs).join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", F.coalesce("kind", F.lit(RAW)).cast("long").alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
