@@ -36,13 +36,12 @@ WEAK = ("auth", "key", "pass", "pin", "salt", "signature", "cookie", "session",
 PLAIN = {"true", "false", "null", "none", "nil", "undefined", "changeme", "change_me", "example", "placeholder", "redacted", "required", "optional", "string", "todo", "tbd", "your_password", "yourpassword", "your_token"}
 THRESHOLD = 3.0
 LEAST_LITERAL = 6
-_STEMS = ("pass", "pwd", "secret", "token", "key", "cred", "auth", "bearer", "dsn", "salt", "cookie", "signature")
 
 _HEAD = re.compile(
     r"""(?<![A-Za-z0-9_.$-])(?:
-        (?P<quote>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]{0,63})(?P=quote)[ \t]*(?::=|=>|=(?![=>])|:(?![:=]))[ \t]*
-      | --(?P<flag>[A-Za-z][A-Za-z0-9_-]{0,63})(?:=|[ ]+)
-      | <(?P<tag>[A-Za-z_][A-Za-z0-9_.-]{0,63})>
+        (?P<quote>["']?)(?P<name>[A-Za-z_$][A-Za-z0-9_.$-]*+)(?P=quote)[ \t]*(?::=|=>|=(?![=>])|:(?![:=]))[ \t]*
+      | --(?P<flag>[A-Za-z][A-Za-z0-9_-]*+)(?:=|[ ]+)
+      | <(?P<tag>[A-Za-z_][A-Za-z0-9_.-]*+)>
     )""",
     re.VERBOSE,
 )
@@ -128,8 +127,9 @@ def assignments(text: str) -> Iterator[tuple[str, list[tuple[int, int]], list[st
 
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     """Literals that end up under a sensitive name, as spans of kind ``literal``."""
-    lower = text.lower()
-    if not any(stem in lower for stem in _STEMS):
+    # Names are judged without the marks inside them, so what a name may hold is sought in the text without those.
+    joined = text.lower().replace("_", "").replace(".", "").replace("-", "").replace("$", "")
+    if not any(part in joined for part in (*STRONG, *WEAK)):
         return []
     pairs = list(assignments(text))
     constants: dict[str, list[int]] = {}

@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from oddsgraph.llm import secrets
@@ -74,3 +75,19 @@ def test_odd_rows_and_hiding(spark):
     out = {(r.doc_id, r.text if r.doc_id != 6 else r.text[-10:], r.n_chars) for r in clean.collect()}
     assert out == {(1, None, None), (2, "", 0), (3, "é token = '[SECRET]' end", 24), (None, "[SECRET]", 8), (5, "plain", 77), (6, "w [SECRET]", 400_008)}
     assert secrets.hide_secrets(docs.limit(0)).count() == 0 and secrets.find_secrets(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", [*secrets.STRONG, *secrets.WEAK, "connection_string", "Pass-Word", "to.ken", "my.pin"])
+def test_each_name_alone_is_enough(name):
+    value = "f3Kq9XbT7mW2pLz8"
+    text = f'zzz {name.upper()} = "{value}" zzz'
+    at = text.index(value)
+    assert (at, at + len(value)) in secrets.scan(text)[2]
+
+
+@pytest.mark.parametrize("form", ["{} = '{}'", "--{} {}", "<{}>{}</x>"])
+def test_names_of_any_length(form):
+    name, value = "a" + "-bcdefgh" * 5_000 + "-session", "f3Kq9XbT7mW2pLz8"
+    text = form.format(name, value)
+    at = text.index(value)
+    assert secrets.scan(text)[2] == [(at, at + len(value))]
