@@ -119,27 +119,29 @@ def _few(labels: DataFrame, wanted: F.Column) -> DataFrame:
 def learn(docs: DataFrame, labels: DataFrame) -> Models:
     """Learn from ``docs`` and ``labels`` (doc_id, quality, toxic).
 
-    Raw counts cover every document. The labelled ones are a sample of bounded size, so
-    their ids are broadcast and no text moves. Tasks add up in tables of fixed size, and
+    Raw occurrences cover every document; documents and the labelled share are counted in
+    distinct texts. The labelled ones are a sample of bounded size, so
+    their ids are broadcast; texts move once, to meet their copies. Tasks add up in tables of fixed size, and
     the driver gets four numbers for each bucket at most.
     """
     good, toxic = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.col("toxic") == 1
     known = cut(_few(labels, good).withColumn("kind", F.lit(GOOD)).union(_few(labels, toxic).withColumn("kind", F.lit(TOXIC_DOCS))).groupBy("doc_id").agg(F.max("kind").alias("kind")))
-    # Copies of one document would pass for evidence: each labelled text teaches once.
-    bodies = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("body")).join(F.broadcast(known), "doc_id")
-    known = cut(bodies.groupBy("kind", "body").agg(F.min("doc_id").alias("doc_id")).groupBy("doc_id").agg(F.max("kind").alias("kind")))
-    marked = texts(docs).join(F.broadcast(known), "doc_id", "left").select("doc_id", "text", F.coalesce("kind", F.lit(RAW)).cast("long").alias("kind"))
+    # Copies of one document would pass for evidence: each text counts once, but for the occurrences in raw.
+    rows = texts(docs).withColumn("body", F.xxhash64("text"))
+    marked = rows.join(F.broadcast(known), "doc_id", "left").groupBy("body")
+    marked = marked.agg(F.first("text").alias("text"), F.count("*").alias("copies"), F.coalesce(F.max("kind"), F.lit(RAW)).cast("long").alias("kind"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts, n = np.zeros((4, BUCKETS), np.int64), np.zeros(4, np.int64)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            kinds = batch.column("kind").to_numpy()
+            kinds, copies = batch.column("kind").to_numpy(), batch.column("copies").to_numpy()
             for a, b in slices(offsets):
                 found, sizes = features(data, offsets[a : b + 1])
                 kind, of = kinds[a:b], np.repeat(np.arange(b - a), sizes)
                 once = np.unique(of * BUCKETS + found)
-                for k, some in ((RAW, found), (GOOD, found[kind[of] == GOOD]), (RAW_DOCS, once % BUCKETS), (TOXIC_DOCS, once[kind[once // BUCKETS] == TOXIC_DOCS] % BUCKETS)):
+                counts[RAW] += np.bincount(found, copies[a:b][of], BUCKETS).astype(np.int64)
+                for k, some in ((GOOD, found[kind[of] == GOOD]), (RAW_DOCS, once % BUCKETS), (TOXIC_DOCS, once[kind[once // BUCKETS] == TOXIC_DOCS] % BUCKETS)):
                     counts[k] += np.bincount(some, minlength=BUCKETS)
                 n += [0, 0, b - a, (kind == TOXIC_DOCS).sum()]
         for k in range(4):
@@ -152,7 +154,9 @@ def learn(docs: DataFrame, labels: DataFrame) -> Models:
     total = parts.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros((4, BUCKETS + 1))  # the last column, bucket -1, has the numbers of documents
     counts[total["model"].to_numpy(), total["bucket"].to_numpy()] = total["n"].to_numpy()
-    seen = labels.where(F.col("toxic").isNotNull()).agg(F.count("*").alias("n"), F.count_if(toxic).alias("toxic")).head()
+    judged = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
+    judged = rows.select("doc_id", "body").join(judged, "doc_id").groupBy("body").agg(F.max(toxic).alias("toxic"))
+    seen = judged.agg(F.count("*").alias("n"), F.count_if("toxic").alias("toxic")).head()
     n = counts[:, -1].astype(int)
     return fit(counts[:, :-1], n[RAW_DOCS], n[TOXIC_DOCS], math.log((seen["toxic"] + 0.5) / (seen["n"] + 1.0)))
 

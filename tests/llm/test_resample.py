@@ -93,3 +93,20 @@ def test_odd_tables(spark):
     assert rs.resample(docs, labels, 1.0).count() == 4 and rs.resample(docs, labels, 0.5).count() == 2
     assert rs.resample(docs, labels.limit(0)).count() == 4
     assert rs.resample(docs.limit(0), labels).count() == 0
+
+
+@pytest.mark.parametrize("labelled", [False, True])
+def test_copies_of_a_toxic_text_hide_no_word(spark, labelled):
+    words = [f"w{k}" for k in range(50)]
+    rng = np.random.default_rng(1)
+    rows = [(k, " ".join(rng.choice(words, 30)) + (" idiot" if k % 10 == 0 else "")) for k in range(2000)]
+    marks = [(k, int(k % 10 != 0), int(k % 10 == 0)) for k in range(0, 2000, 2)]
+    copies = [(5000 + k, rows[0][1]) for k in range(1000)]
+    marks += [(d, 0, 1) for d, _ in copies] * labelled
+    docs = spark.createDataFrame(rows + copies, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, quality int, toxic int")
+    drawn = {r.doc_id for r in rs.resample(docs, labels).collect()}
+    assert drawn and not [d for d, text in rows + copies if "idiot" in text and d in drawn]
+    alone = rs.learn(docs.where("doc_id < 5000"), labels)
+    models = rs.learn(docs, labels)
+    assert np.array_equal(alone.toxic, models.toxic) and alone.prior == models.prior
