@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from oddsgraph.llm.bitpack import op1_bitpack
+from oddsgraph.llm.bpe import op11_bpe
 from oddsgraph.llm.decontaminate import op2_decontaminate
 from oddsgraph.llm.langid import op3_langid
 from oddsgraph.llm.order_minhash import op4_order_minhash
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_resample": op8_resample,
     "op9_secrets": op9_secrets,
     "op10_simhash": op10_simhash,
+    "op11_bpe": op11_bpe,
 }
 
 ORACLE: dict[str, str] = {}
