@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from oddsgraph.llm.common import SLICE_BYTES, read_documents, slices, texts, utf8
 
 WORD_BPE = "word_bpe_49k.json"
-MOST_CHUNKS = 600_000
+MOST_CHUNKS = 400_000
 """Chunks between spaces that a worker keeps; beyond them its cache starts anew."""
 PIECE = 1 << 20
 """Characters of a text in hand at once."""
@@ -52,21 +52,33 @@ def byte_symbols() -> list[str]:
     return [chr(b if b in visible else next(hidden)) for b in range(256)]
 
 
-class Bpe:
-    """Words, merges and vocabulary of a tokenizer file with byte symbols and word ends."""
+def _described(path: str) -> dict:
+    with open(path, encoding="utf-8") as source:
+        return json.load(source)
 
-    def __init__(self, path: str) -> None:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        with open(path, encoding="utf-8") as source:
-            described = json.load(source)
-        model, added = described["model"], described["added_tokens"]
-        end, vocabulary = model["end_of_word_suffix"] or "", model["vocab"]
-        self.path = path
+
+class Vocabulary:
+    """The strings of a tokenizer file by id, and what stands between them in a decoded text."""
+
+    def __init__(self, described: dict) -> None:
+        vocabulary, added = described["model"]["vocab"], described["added_tokens"]
         self.special = {t["content"]: t["id"] for t in added}
         self.size = 1 + max([*vocabulary.values(), *self.special.values()])
         self.strings: list[str | None] = [None] * self.size
         for token, k in [*vocabulary.items(), *self.special.items()]:
             self.strings[k] = token
+        self.joint = "" if described["decoder"] else " "
+
+
+class Bpe(Vocabulary):
+    """Words, merges and vocabulary of a tokenizer file with byte symbols and word ends."""
+
+    def __init__(self, path: str) -> None:
+        described = _described(path)
+        super().__init__(described)
+        model, vocabulary = described["model"], described["model"]["vocab"]
+        end = model["end_of_word_suffix"] or ""
+        self.path = path
         # Merged pairs as one number: left * size + right.
         self.made: list[int] = []
         self.rank: dict[int, int] = {}
@@ -76,7 +88,6 @@ class Bpe:
         symbols = byte_symbols()
         self.inner = [vocabulary[s] for s in symbols]
         self.last = [vocabulary[s + end] for s in symbols]
-        self.joint = "" if described["decoder"] else " "
         found = sorted(self.special, key=len, reverse=True)
         self._special = regex.compile("(" + "|".join(map(regex.escape, found)) + ")") if found else None
         self._library = None
@@ -130,11 +141,11 @@ class Bpe:
     def _by_library(self, text: str) -> list[str]:
         """Words of a text with characters on which Unicode tables of different years differ."""
         if self._library is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
             from tokenizers import Regex, Tokenizer, pre_tokenizers
 
             tokenizer = Tokenizer.from_file(self.path)
-            with open(self.path, encoding="utf-8") as source:
-                first = json.load(source)["pre_tokenizer"]["pretokenizers"][0]
+            first = _described(self.path)["pre_tokenizer"]["pretokenizers"][0]
             split = pre_tokenizers.Split(Regex(first["pattern"]["Regex"]), first["behavior"].lower(), first["invert"])
             self._library = tokenizer.normalizer.normalize_str, split.pre_tokenize_str
         normalize, split = self._library
@@ -200,12 +211,17 @@ class Bpe:
         return np.concatenate([*parts, ids]), ends
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def bpe(path: str) -> Bpe:
     """One for a worker process."""
     return Bpe(path)
 
 
+@lru_cache(maxsize=1)
+def vocabulary(path: str) -> Vocabulary:
+    return Vocabulary(_described(path))
+
+
 def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     model = bpe(path)
     for batch in batches:
@@ -216,7 +232,7 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordB
 
 
 def _decode(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    model = bpe(path)
+    model = vocabulary(path)
     strings, joint = pa.array([*model.strings, None], pa.large_string()), pa.scalar(model.joint, pa.large_string())
     for batch in batches:
         column = batch.column("ids")
