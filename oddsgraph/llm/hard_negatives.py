@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from oddsgraph.llm.common import cut, drop_cut
+from oddsgraph.llm.common import cut
 from oddsgraph.scale import order_limits
 
 BLOCK_ROWS = 2048
@@ -223,31 +223,54 @@ def _with_floor(anchors: DataFrame, seed: pa.Table, count: int, bounds: tuple[in
     return anchors.mapInArrow(partial(_add_floor, seed=seed, count=count, bounds=bounds), schema)
 
 
-def _search(anchors: DataFrame, probes: DataFrame, side: str, work, schema: pa.Schema, bounded: bool) -> DataFrame:
-    """Each anchor against every block of its side that its floor doesn't rule out.
+def _numbers_below(most: Column) -> Column:
+    return F.explode(F.sequence(F.lit(0).cast("long"), most - 1))
 
-    ``side`` is a column of both. The table of block sizes has a row for each side and length;
-    ``bounded`` says that there is one side, so that it may be broadcast.
-    """
-    hint = F.broadcast if bounded else (lambda df: df)
-    sizes = probes.groupBy(side, "bucket").agg(
+
+def _meet(asked: DataFrame, held: DataFrame, at: list[str], work, schema: pa.Schema) -> DataFrame:
+    """``work`` on each group of both sides. The keys of one get names of their own, since both stem from one table."""
+    asked = asked.select(*[F.col(c).alias(f"to_{c}" if c in at else c) for c in asked.columns])
+    return asked.groupBy(*[f"to_{c}" for c in at]).cogroup(held.groupBy(*at)).applyInArrow(work, ", ".join(f"{f.name} long" for f in schema))
+
+
+def _search_labels(anchors: DataFrame, probes: DataFrame, work) -> DataFrame:
+    """Each anchor against every block of its label that its floor doesn't rule out."""
+    sizes = probes.groupBy("label", "bucket").agg(
         F.ceil(F.count("*") / BLOCK_ROWS).alias("parts"), (F.max("length") * (1 + SLACK)).alias("longest")
     )
-    chunks = anchors.groupBy(side).agg(F.ceil(F.count("*") / ANCHORS_AT_ONCE).alias("chunks"))
-    numbers = lambda most: F.explode(F.sequence(F.lit(0).cast("long"), F.col(most) - 1))
-    at = [side, "bucket", "part", "chunk"]
+    chunks = anchors.groupBy("label").agg(F.ceil(F.count("*") / ANCHORS_AT_ONCE).alias("chunks"))
     asked = (
-        anchors.join(hint(chunks), side).withColumn("chunk", F.expr("pmod(xxhash64(row), chunks)")).drop("chunks", "bucket")
-        .join(hint(sizes), side).where("floor <= length * longest")
-        .withColumn("part", numbers("parts")).drop("parts", "longest")
+        anchors.join(chunks, "label").withColumn("chunk", F.expr("pmod(xxhash64(row), chunks)")).drop("chunks")
+        .join(sizes, "label").where("floor <= length * longest")
+        .withColumn("part", _numbers_below(F.col("parts"))).drop("parts", "longest")
     )
     held = (
-        probes.join(hint(sizes.drop("longest")), [side, "bucket"]).withColumn("part", F.expr("pmod(xxhash64(row), parts)"))
-        .join(hint(chunks), side).withColumn("chunk", numbers("chunks")).drop("parts", "chunks")
+        probes.join(sizes.drop("longest"), ["label", "bucket"]).withColumn("part", F.expr("pmod(xxhash64(row), parts)"))
+        .join(chunks, "label").withColumn("chunk", _numbers_below(F.col("chunks"))).drop("parts", "chunks")
     )
-    kinds = ", ".join(f"{f.name} long" for f in schema)
-    asked = asked.select(*[F.col(c).alias(f"to_{c}" if c in at else c) for c in asked.columns], *([F.col(side).alias(side)] if side == "label" else []))
-    return asked.groupBy(*[f"to_{c}" for c in at]).cogroup(held.groupBy(*at)).applyInArrow(work, kinds)
+    return _meet(asked, held, ["label", "bucket", "part", "chunk"], work, FOUND)
+
+
+def _search_all(anchors: DataFrame, probes: DataFrame, work) -> DataFrame:
+    """Each anchor against every block of any label that its floor doesn't rule out.
+
+    At most MOST_LENGTHS bucket sizes come to the driver; an anchor's blocks follow from them in place, without a join.
+    """
+    sizes = probes.groupBy("bucket").agg(F.count("*"), F.max("length")).collect()
+    chunks = max(1, -(-anchors.count() // ANCHORS_AT_ONCE))
+    parts = {bucket: -(-n // BLOCK_ROWS) for bucket, n, _ in sizes}
+    buckets = [F.struct(F.lit(b).alias("bucket"), F.lit(float(longest) * (1 + SLACK)).alias("longest"), F.lit(parts[b]).cast("long").alias("parts")) for b, _, longest in sizes]
+    if not buckets:
+        return anchors.sparkSession.createDataFrame([], ", ".join(f"{f.name} long" for f in MINED))
+    in_reach = F.filter(F.array(*buckets), lambda b: F.col("floor") <= F.col("length") * b["longest"])
+    asked = (
+        anchors.withColumn("chunk", F.pmod(F.xxhash64("row"), F.lit(chunks)))
+        .withColumn("to", F.explode(in_reach)).withColumn("bucket", F.col("to.bucket"))
+        .withColumn("part", _numbers_below(F.col("to.parts"))).drop("to")
+    )
+    known = F.create_map(*[x for b, n in parts.items() for x in (F.lit(b), F.lit(n).cast("long"))])
+    held = probes.withColumn("part", F.pmod(F.xxhash64("row"), known[F.col("bucket")])).withColumn("chunk", _numbers_below(F.lit(chunks).cast("long")))
+    return _meet(asked, held, ["bucket", "part", "chunk"], work, MINED)
 
 
 def _leading(df: DataFrame, keys: list[str], score: str, tie: str, count: int) -> DataFrame:
@@ -277,17 +300,13 @@ def mine(rows: DataFrame, anchor: Column, positives: int = 5, negatives: int = 3
     seed = named.orderBy(F.xxhash64("row")).limit(seed_rows).select("row", "label", "vector").toArrow()
     asking = named.where("anchor").drop("anchor")
 
-    found = _search(_with_floor(asking, seed, positives), probes, "label", partial(_find_positives, count=positives), FOUND, bounded=False)
+    found = _search_labels(_with_floor(asking, seed, positives), probes, partial(_find_positives, count=positives))
     found = _leading(found, ["row"], "score", "positive_id", positives)
     listed = F.array_sort(F.collect_list(F.struct("rank", "positive_id", "score")))  # at most ``positives`` of an anchor
     found = found.groupBy("row").agg(listed.alias("found")).select("row", F.col("found.positive_id").alias("positives"), F.col("found.score").alias("positive_scores"))
     asking = cut(_with_floor(asking.join(found, "row"), seed, negatives, (low, high)).where(F.col("floor") < float("inf")))
 
-    together = F.lit(0).alias("side")
-    mined = _search(
-        asking.select("*", together), probes.select("*", together), "side",
-        partial(_find_negatives, count=negatives, low=low, high=high), MINED, bounded=True,
-    )
+    mined = _search_all(asking, probes, partial(_find_negatives, count=negatives, low=low, high=high))
     return _leading(mined, ["row", "place"], "negative_score", "negative_id", negatives).select(
         "anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"
     )
