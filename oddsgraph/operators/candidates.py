@@ -1,20 +1,17 @@
 """Candidate pairs from vector similarity, minus everything already known.
 
-The search is exact. Identical vectors are folded first; the rest is cut into
-blocks of bounded size around a few pivot vectors, block pairs that cannot hold a
-pair above the threshold are ruled out by the triangle inequality on angles, and
-what remains is one matrix product per block pair inside a task. Only the best
-``k`` partners per row leave a task, never the compared pairs.
+The search is exact. Identical vectors are folded first; the rest is searched in a
+``metric_tree``. Only the best ``k`` partners per row leave a task, never the
+compared pairs.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsgraph.functions.text import collapse_spaces
+from oddsgraph.operators import metric_tree
 from oddsgraph.operators.graph import implication_edges, reach_index, reachable
 from oddsgraph.operators.relations import canonical_pair, one_row
 from oddsgraph.scale import top
@@ -23,9 +20,7 @@ from oddsgraph.session import cut
 # Similarity floor and neighbours per market.
 THRESHOLD = 0.82
 NEIGHBOURS = 8
-PIVOTS = 32
-BLOCK_ROWS = 1024
-_DIGITS = 9  # similarity is compared and ordered at this precision
+BLOCK_ROWS = metric_tree.CELL_ROWS
 
 
 def embedding_text(question: Column) -> Column:
@@ -54,69 +49,6 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), dot).otherwise(0.0)
 
 
-def _unit_rows(vectors: np.ndarray) -> np.ndarray:
-    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-    return vectors / np.where(norms == 0, 1.0, norms)
-
-
-def _angle(cosines: np.ndarray) -> np.ndarray:
-    return np.arccos(np.clip(cosines, -1.0, 1.0))
-
-
-def _blocks(distinct: DataFrame, block_rows: int) -> DataFrame:
-    """(scope, cell, part, ids, flat, centre, radius): bounded blocks of nearby vectors."""
-    # At most PIVOTS vectors come to the driver.
-    pivots = [r[0] for r in distinct.orderBy(F.md5("rep")).select("embedding").limit(PIVOTS).collect()]
-    pivot_rows = _unit_rows(np.array(pivots, dtype=np.float64)) if pivots else np.zeros((1, 1))
-
-    @F.pandas_udf("int")
-    def nearest(v: pd.Series) -> pd.Series:
-        if not len(v):
-            return pd.Series([], dtype="int32")
-        rows = np.stack(v.to_numpy()).astype(np.float64)
-        return pd.Series((rows @ pivot_rows.T).argmax(axis=1).astype("int32"))
-
-    placed = distinct.withColumn("cell", nearest("embedding"))
-    parts = placed.groupBy("scope", "cell").agg(F.ceil(F.count("*") / block_rows).alias("parts"))
-    placed = placed.join(parts, ["scope", "cell"]).withColumn(
-        "part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int")
-    )
-    blocks = placed.groupBy("scope", "cell", "part").agg(F.collect_list(F.struct("rep", "embedding")).alias("rows"))
-    blocks = blocks.select(
-        "scope", "cell", "part", F.col("rows.rep").alias("ids"), F.flatten("rows.embedding").alias("flat")
-    )
-
-    @F.pandas_udf("centre array<double>, radius double")
-    def shape(ids: pd.Series, flat: pd.Series) -> pd.DataFrame:
-        centres, radii = [], []
-        for i, f in zip(ids, flat):
-            rows = _unit_rows(np.asarray(f, dtype=np.float64).reshape(len(i), -1))
-            centre = _unit_rows(rows.mean(axis=0, keepdims=True))[0]
-            centres.append(centre)
-            radii.append(float(_angle(rows @ centre).max()))
-        return pd.DataFrame({"centre": centres, "radius": radii})
-
-    return blocks.withColumn("s", shape("ids", "flat")).select("*", "s.centre", "s.radius").drop("s")
-
-
-def _top(scores: np.ndarray, own: list, other: list, k: int, threshold: float, same: bool) -> list[tuple]:
-    """Best k partners per row of ``scores``, ties by id."""
-    scores = np.round(scores, _DIGITS)
-    names = np.array(other, dtype=object)
-    out = []
-    for r in range(scores.shape[0]):
-        row = scores[r]
-        hits = np.flatnonzero(row >= threshold)
-        if same:
-            hits = hits[hits != r]
-        if len(hits) > k:
-            floor = np.partition(row[hits], len(hits) - k)[len(hits) - k]
-            hits = hits[row[hits] >= floor]
-        best = sorted(((-row[h], names[h]) for h in hits))[:k]
-        out.extend((own[r], name, -negative) for negative, name in best)
-    return out
-
-
 def nearest_neighbours(
     embeddings: DataFrame,
     k: int = NEIGHBOURS,
@@ -126,11 +58,13 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(source_id, target_id, similarity): each market's k best partners at or above the threshold."""
     scope = F.coalesce(F.col("event_id").cast("string"), F.lit("")) if same_event else F.lit("")
-    vectors = embeddings.select(
-        F.col("condition_id").cast("string").alias("condition_id"), scope.alias("scope"), "embedding"
-    )
+    vectors = embeddings.where(F.col("embedding").isNotNull())
     if same_event:
-        vectors = vectors.where("scope <> ''")
+        vectors = vectors.where(scope != "")
+    # Vectors of different lengths have no similarity.
+    vectors = vectors.select(
+        F.col("condition_id").cast("string").alias("condition_id"), F.concat_ws(":", F.size("embedding"), scope).alias("scope"), "embedding"
+    )
     # Copies: any source needs at most the k + 1 smallest ids of a group, so only those travel.
     copies = Window.partitionBy("scope", "embedding").orderBy("condition_id")
     targets = vectors.withColumn("rank", F.row_number().over(copies)).where(F.col("rank") <= k + 1)
@@ -138,38 +72,8 @@ def nearest_neighbours(
     targets = targets.join(reps, ["scope", "embedding"]).select("scope", "rep", F.col("condition_id").alias("target_id"))
     members = vectors.join(reps, ["scope", "embedding"]).select("scope", "rep", F.col("condition_id").alias("source_id"))
 
-    blocks = cut(_blocks(reps, block_rows))  # read by four branches below
-    tags = blocks.select("scope", F.struct("cell", "part").alias("b"), "centre", "radius")
-    left = tags.select("scope", F.col("b").alias("a"), F.col("centre").alias("ca"), F.col("radius").alias("ra"))
-    reach = float(np.arccos(min(1.0, max(-1.0, threshold)))) + 1e-6
-    gap = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), cosine(F.col("ca"), F.col("centre")))))
-    pairs = (
-        left.join(tags, "scope").where("a <= b")
-        .where((F.col("a") == F.col("b")) | (gap <= F.col("ra") + F.col("radius") + reach))
-        .select("scope", "a", "b")
-    )
-    data = blocks.select("scope", F.struct("cell", "part").alias("b"), "ids", "flat")
-    joined = pairs.join(data, ["scope", "b"]).join(
-        data.select("scope", F.col("b").alias("a"), F.col("ids").alias("ids_a"), F.col("flat").alias("flat_a")), ["scope", "a"]
-    )
-
-    def compare(batches):
-        for batch in batches:
-            out = []
-            for scope_value, same, ids_a, flat_a, ids_b, flat_b in batch.itertuples(index=False, name=None):
-                ids_a, ids_b = list(ids_a), list(ids_b)
-                rows_a = _unit_rows(np.asarray(flat_a, dtype=np.float64).reshape(len(ids_a), -1))
-                rows_b = _unit_rows(np.asarray(flat_b, dtype=np.float64).reshape(len(ids_b), -1))
-                scores = rows_a @ rows_b.T
-                found = _top(scores, ids_a, ids_b, k, threshold, same)
-                if not same:
-                    found += _top(scores.T, ids_b, ids_a, k, threshold, same)
-                out.extend((scope_value, *hit) for hit in found)
-            yield pd.DataFrame(out, columns=["scope", "rep", "other", "similarity"])
-
-    hits = joined.select(
-        "scope", (F.col("a") == F.col("b")).alias("same"), "ids_a", "flat_a", "ids", "flat"
-    ).mapInPandas(compare, "scope string, rep string, other string, similarity double")
+    reps = cut(reps)
+    hits = metric_tree.nearest(reps.withColumnRenamed("embedding", "vector"), k, threshold, block_rows)
     own = reps.select("scope", "rep", F.col("rep").alias("other"), F.lit(1.0).alias("similarity"))
     best = Window.partitionBy("scope", "rep").orderBy(F.desc("similarity"), "target_id")
     lists = (

@@ -3,21 +3,26 @@
 Most of the graph is long chains (ladders and deadline series). A node with one
 edge in and one out is *interior*; a run of interior nodes is a chain with a
 position per node, found by pointer jumping in log(length) rounds. What is left
-is a small *skeleton* of junctions with one edge per chain. Reachability inside a
-chain compares positions, between chains it walks the skeleton, so no table of
-all reachable pairs is ever built and storage stays linear in the edges.
-
-Fixpoint loops bring only counts to the driver and cut lineage with a table
-in the shared checkpoint folder.
+is a *skeleton* of junctions with one edge per chain. Reachability inside a chain
+compares positions; between chains the skeleton is taken apart in layers
+(``elimination``), so cycles, levels and reachability take a number of rounds that
+follows the logarithm of the graph, not its depth, and no table of all reachable
+pairs is ever built.
+
+Loops bring only counts to the driver, and at most ``elimination.CORE_EDGES`` edges
+of a remainder, and cut lineage with a table in the shared checkpoint folder.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from oddsgraph.operators import elimination
+from oddsgraph.operators.elimination import Layers
 from oddsgraph.operators.relations import canonical_pair, one_row
 from oddsgraph.session import cut
 
@@ -138,22 +143,9 @@ def cycle_components(edges: DataFrame) -> DataFrame:
 
 def _components(parts: Chains) -> DataFrame:
     loops = parts.skeleton.where("src = dst").select(F.col("src").alias("node")).distinct()
-    core = cut(parts.skeleton.where("src <> dst").select("src", "dst").distinct())
-    core, left = _peel(core)
-    found = None
-    while left:
-        named = _strong_components(core)
-        found = named if found is None else cut(found.unionByName(named))
-        core = core.join(named.select(F.col("node").alias("src")), "src", "left_anti")
-        core = core.join(named.select(F.col("node").alias("dst")), "dst", "left_anti")
-        core, left = _peel(cut(core.select("src", "dst")))
-    if found is None:
-        members = loops.withColumn("component", F.col("node"))
-    else:
-        sizes = found.groupBy("component").agg(F.count("*").alias("size")).where("size > 1")
-        real = found.join(sizes, "component", "left_semi").select("node", "component")
-        alone = loops.join(real, "node", "left_anti").withColumn("component", F.col("node"))
-        members = real.unionByName(alone)
+    real = elimination.strong_components(skeleton_layers(parts.skeleton), _dense_components)
+    alone = loops.join(real, "node", "left_anti").withColumn("component", F.col("node"))
+    members = real.unionByName(alone)
     # A chain lies on a cycle when both its ends lie on the same one.
     at_head = members.select(F.col("node").alias("head"), F.col("component").alias("head_c"))
     at_tail = members.select(F.col("node").alias("tail"), F.col("component").alias("tail_c"))
@@ -166,6 +158,24 @@ def _components(parts: Chains) -> DataFrame:
     return everything.join(named, "component").select("node", F.col("name").alias("component"))
 
 
+def _dense_components(edges: DataFrame) -> DataFrame:
+    """(node, component) for nodes that may lie on cycles, by peeling and colouring."""
+    core, left = _peel(cut(edges))
+    found = []
+    while left:
+        named = _strong_components(core)
+        found.append(named)
+        core = core.join(named.select(F.col("node").alias("src")), "src", "left_anti")
+        core = core.join(named.select(F.col("node").alias("dst")), "dst", "left_anti")
+        core, left = _peel(cut(core.select("src", "dst")))
+    if not found:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    out = found[0]
+    for named in found[1:]:
+        out = out.unionByName(named)
+    return out
+
+
 def _strong_components(edges: DataFrame) -> DataFrame:
     """Components named by the smallest label that reaches them (forward colouring, then
     backward from each root inside its colour). At least one component is found per call."""
@@ -234,11 +244,19 @@ def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
 # --- reachability ---------------------------------------------------------------------------
 
 
+def skeleton_layers(skeleton: DataFrame) -> Layers:
+    return elimination.eliminate(skeleton.select("src", "dst", (F.col("length") + 1).alias("w")))
+
+
 @dataclass
 class ReachIndex:
     interior: DataFrame
     skeleton: DataFrame
 
+    @cached_property
+    def layers(self) -> Layers:
+        return skeleton_layers(self.skeleton)
+
 
 def reach_index(acyclic: DataFrame) -> ReachIndex:
     parts = chains(implication_edges(acyclic))
@@ -246,7 +264,9 @@ def reach_index(acyclic: DataFrame) -> ReachIndex:
 
 
 def _walk(skeleton: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, node): junctions reached from each start over one or more skeleton edges."""
+    """(start, node): nodes reached from each start over one or more edges, a round for each edge.
+
+    Only for a remainder too dense to take apart."""
     hops = cut(skeleton.select("src", "dst").distinct())
     frontier = cut(starts.select(F.col("node").alias("start"), "node").distinct())
     seen = None
@@ -261,8 +281,8 @@ def _walk(skeleton: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def reachable(index: ReachIndex, pairs: DataFrame) -> DataFrame:
-    """The (src, dst) pairs of ``pairs`` where dst can be reached from src."""
-    pairs = pairs.select("src", "dst").distinct()
+    """The (src, dst) pairs of ``pairs`` where dst can be reached from src; no node counts as reaching itself."""
+    pairs = pairs.select("src", "dst").where("src <> dst").distinct()
     a = index.interior.select(
         F.col("node").alias("src"), F.col("first").alias("a_first"), F.col("pos").alias("a_pos"), F.col("tail").alias("a_tail")
     )
@@ -276,17 +296,15 @@ def reachable(index: ReachIndex, pairs: DataFrame) -> DataFrame:
         F.coalesce("b_head", "dst").alias("enter"),
     )
     placed = cut(placed)
-    direct = F.col("along") | ((F.col("leave") == F.col("enter")) & (F.col("src") != F.col("dst")))
+    direct = F.col("along") | (F.col("leave") == F.col("enter"))
     yes = placed.where(direct)
     open_pairs = placed.where(~direct)
     # Only ends that have skeleton edges on the needed side can be connected.
     outs = index.skeleton.select(F.col("src").alias("leave")).distinct()
     ins = index.skeleton.select(F.col("dst").alias("enter")).distinct()
     open_pairs = cut(open_pairs.join(outs, "leave", "left_semi").join(ins, "enter", "left_semi"))
-    walked = _walk(index.skeleton, open_pairs.select(F.col("leave").alias("node")))
-    hit = open_pairs.join(
-        walked.select(F.col("start").alias("leave"), F.col("node").alias("enter")), ["leave", "enter"], "left_semi"
-    )
+    joined = elimination.connected(index.layers, open_pairs.select(F.col("leave").alias("src"), F.col("enter").alias("dst")), _walk)
+    hit = open_pairs.join(joined.toDF("leave", "enter"), ["leave", "enter"], "left_semi")
     return yes.select("src", "dst").unionByName(hit.select("src", "dst"))
 
 
@@ -299,7 +317,7 @@ def descendants(index: ReachIndex, starts: DataFrame) -> DataFrame:
     placed = cut(starts.join(place, "start", "left"))
     rest = placed.join(index.interior, F.col("s_first") == F.col("first")).where("pos > s_pos").select("start", "node")
     leave = placed.select("start", F.coalesce("s_tail", "start").alias("at"))
-    walked = _walk(index.skeleton, leave.select(F.col("at").alias("node")))
+    walked = elimination.reached(index.layers, leave.select(F.col("at").alias("node")), _walk)
     beyond = leave.join(walked.select(F.col("start").alias("at"), "node"), "at").select("start", "node")
     junctions = cut(beyond.unionByName(leave.select("start", F.col("at").alias("node"))).distinct())
     inner = junctions.select("start", F.col("node").alias("head")).join(
@@ -342,19 +360,10 @@ def transitive_reduction(acyclic: DataFrame, index: ReachIndex | None = None) ->
 def topological_levels(acyclic: DataFrame) -> DataFrame:
     """(node, level): longest distance from a source; edges always go up."""
     parts = chains(implication_edges(acyclic))
-    hops = cut(parts.skeleton.groupBy("src", "dst").agg((F.max("length") + 1).alias("w")))
-    nodes = hops.select(F.col("src").alias("node")).unionAll(hops.select(F.col("dst").alias("node"))).distinct()
-    level = cut(nodes.withColumn("level", F.lit(0).cast("long")))
-    while True:
-        offers = hops.join(level, F.col("src") == F.col("node")).select(
-            F.col("dst").alias("node"), (F.col("level") + F.col("w")).alias("level")
-        )
-        best = level.unionByName(offers).groupBy("node").agg(F.max("level").alias("new"))
-        merged = cut(level.join(best, "node"))
-        moved = merged.where("new > level").limit(1).count()
-        level = merged.select("node", F.col("new").alias("level"))
-        if not moved:
-            break
+    ends = F.explode(F.array("src", "dst")).alias("node")
+    nodes = parts.skeleton.select(ends).distinct()
+    far = elimination.longest_distances(skeleton_layers(parts.skeleton))
+    level = cut(nodes.join(far, "node", "left").select("node", F.coalesce("level", F.lit(0).cast("long")).alias("level")))
     inner = parts.interior.join(
         level.select(F.col("node").alias("head"), F.col("level").alias("base")), "head"
     ).select("node", (F.col("base") + F.col("pos")).alias("level"))

@@ -86,6 +86,11 @@ PROJECTIONS = {
                cast(case when c_acctbal >= 0 then c_custkey + 1 else c_custkey - c_nationkey - 1 end as string) as to_condition_id,
                'implies' as type, 'ladder' as source
         from {customer}""",
+    # Orders of one status follow one another: three long chains.
+    "order_line": """
+        select lpad(cast(o_orderkey as string), 12, '0') as node, o_orderstatus as line, o_custkey as customer,
+               o_orderkey as position, o_orderkey % 32 < 3 as returns
+        from {orders}""",
     "proposals_in": """
         select cast(user_id as string) as a_condition_id, cast(cast(floor(value) as bigint) as string) as b_condition_id,
                case event_type when 'click' then 'implies' when 'view' then 'implied_by' when 'signup' then 'complement'

@@ -16,6 +16,7 @@ from oddsgraph.functions import fees, stats, text
 from oddsgraph.operators import alerts, analytics, candidates, graph, pricing, proposals, reconcile, relations, screen
 from oddsgraph.operators import episodes as ep
 from oddsgraph.plans.projections import ctes, project, read
+from oddsgraph.scale import next_row
 from oddsgraph.sources import pages, tables
 from oddsgraph.streaming import books, watch
 
@@ -410,6 +411,55 @@ CYCLE_CTES = [
 ]
 
 
+# Each node leads to the next two of its line, so no node can be contracted and paths are as long as a line.
+LINES = [
+    ("placed", "select *, row_number() over (partition by line order by position) as r from order_line"),
+    ("ties", "select a.node as lo, b.node as hi, a.line, a.r from placed a join placed b on a.line = b.line and b.r = a.r + 1"),
+]
+
+
+def line_edges(spark: SparkSession, sf: str) -> DataFrame:
+    line = project(spark, sf, "order_line").select("node", "line", "position")
+    once = next_row(line, ["line"], "position", ["node"])
+    twice = next_row(once, ["line"], "position", ["next_node"], prefix="after_")
+    return twice.select(F.col("node").alias("src"), F.explode(F.array("next_node", "after_next_node")).alias("dst")).where("dst is not null")
+
+
+@query("select node, r - 1 as level from placed", "order_line", extra=LINES[:1])
+def deep_levels(spark, sf):
+    """Longest distances where the longest path is as long as a third of the table."""
+    return graph.topological_levels(line_edges(spark, sf)).select("node", "level")
+
+
+@query(
+    """select a.node as src, b.node as dst from order_line a join order_line b on a.customer = b.customer and a.line = b.line and a.position < b.position""",
+    "order_line",
+)
+def deep_reachable(spark, sf):
+    """Of all pairs of orders of one customer, the ones connected over any number of steps."""
+    line = project(spark, sf, "order_line")
+    pairs = line.select(F.col("node").alias("src"), "customer").join(line.select(F.col("node").alias("dst"), "customer"), "customer").where("src <> dst")
+    return graph.reachable(graph.reach_index(line_edges(spark, sf)), pairs)
+
+
+@query(
+    """select node, min(case when not tied then node end) over (partition by line, island) as component from (
+         select *, sum(case when tied then 0 else 1 end) over (partition by line order by r) as island from (
+           select *, coalesce(lag(bound) over (partition by line order by r), false) as tied from (
+             select p.node, p.line, p.r, exists (select 1 from placed b where b.line = p.line and b.returns and b.r > 3 and b.r between p.r + 1 and p.r + 3) as bound from placed p)))
+       qualify count(*) over (partition by line, island) > 1""",
+    "order_line", extra=LINES[:1],
+)
+def deep_cycles(spark, sf):
+    """Lines where some orders lead back three places: many small cycles on paths of any length."""
+    line = project(spark, sf, "order_line")
+    back = next_row(line.withColumn("before", -F.col("position")), ["line"], "before", ["node"])
+    for _ in range(2):
+        back = next_row(back.withColumnRenamed("next_node", "step"), ["line"], "before", ["step"]).withColumnRenamed("next_step", "next_node").drop("step")
+    back = back.where(F.col("returns") & F.col("next_node").isNotNull()).select(F.col("node").alias("src"), F.col("next_node").alias("dst"))
+    return graph.cycle_components(line_edges(spark, sf).unionByName(back))
+
+
 @query("select node, component from comp", "customer_edges", extra=CYCLE_CTES)
 def cycle_components(spark, sf):
     return graph.cycle_components(project(spark, sf, "customer_edges"))
@@ -474,7 +524,18 @@ def knn_pairs(spark, sf):
     return knn_pairs_of(spark, sf).select("low_condition_id", "high_condition_id", r6("similarity"))
 
 
+@query(
+    "select low_condition_id, high_condition_id, round(similarity, 6) as similarity from pair", "vectors",
+    extra=[(name, body.replace("a.event_id = b.event_id and ", "")) for name, body in KNN_CTES],
+)
+def knn_everywhere(spark, sf):
+    """Neighbours whatever their event, in cells small enough that the tree divides a small table too."""
+    near = candidates.nearest_neighbours(project(spark, sf, "vectors"), threshold=0.25, same_event=False, block_rows=96)
+    return candidates.fold_pairs(near, 0.25).select("low_condition_id", "high_condition_id", r6("similarity"))
+
+
 CANDIDATE_CTES = KNN_CTES + [
+    ("peers", "select cast(condition_id as string) as id, concat(event_id, '-', cast(condition_id % 3 as string)) as grp from vectors where cast(event_id as int) >= 7"),
     ("rel", "select cast(condition_id as string) as src, cast(lead(condition_id) over (partition by event_id order by condition_id) as string) as dst from vectors where cast(event_id as int) < 5"),
     ("chain", "select src, dst from rel where dst is not null union select c.src, r.dst from chain c join rel r on r.src = c.dst where r.dst is not null"),
 ]
@@ -484,15 +545,14 @@ CANDIDATE_CTES = KNN_CTES + [
     """select low_condition_id, high_condition_id, round(similarity, 6) as similarity from pair p
        where not exists (select 1 from chain where (src = low_condition_id and dst = high_condition_id) or (src = high_condition_id and dst = low_condition_id))
        and not exists (select 1 from benchmark b where cast(b.item_id as string) = low_condition_id)
+       and not exists (select 1 from peers a join peers b on a.grp = b.grp where a.id = low_condition_id and b.id = high_condition_id)
 """,
     "vectors", extra=CANDIDATE_CTES,
 )
 def candidate_pairs(spark, sf):
-    """The similar pairs nothing explains yet. Labels below 5 form implication chains;
-    pairs whose low id is a benchmark item were proposed before."""
+    """The similar pairs nothing explains yet. Labels below 5 form implication chains, labels from 7
+    partitions; pairs whose low id is a benchmark item were proposed before."""
     vectors = project(spark, sf, "vectors")
-    from oddsgraph.scale import next_row
-
     chain = next_row(vectors.where(F.col("event_id").cast("int") < 5).select("event_id", "condition_id"), ["event_id"], "condition_id", ["condition_id"])
     chain = chain.where(F.col("next_condition_id").isNotNull()).select(
         F.col("condition_id").cast("string").alias("from_condition_id"), F.col("next_condition_id").cast("string").alias("to_condition_id"), F.lit("implies").alias("type")
@@ -500,8 +560,10 @@ def candidate_pairs(spark, sf):
     pairs = knn_pairs_of(spark, sf)
     items = read(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("low_condition_id"))
     known = pairs.join(items, "low_condition_id", "left_semi")
-    none = vectors.where("false").select(F.col("event_id").alias("group_id"), F.col("event_id").alias("condition_id"))
-    left = candidates.uncovered_pairs(pairs, chain, none, known)
+    members = vectors.where(F.col("event_id").cast("int") >= 7).select(
+        F.concat_ws("-", "event_id", F.col("condition_id") % 3).alias("group_id"), F.col("condition_id").cast("string").alias("condition_id")
+    )
+    left = candidates.uncovered_pairs(pairs, chain, members, known)
     return candidates.ordered_candidates(left).select("low_condition_id", "high_condition_id", r6("similarity"))
 
 
