@@ -129,11 +129,12 @@ def latency_quantiles(detections: DataFrame, buckets: int | None = None) -> Data
 
 
 class TriggerGate:
-    """foreachBatch sink: calls ``fire`` for a batch with detections, at most once per cooldown."""
-
-    def __init__(self, fire: Callable[[DataFrame], None], cooldown: float = TRIGGER_COOLDOWN_SECONDS, clock: Callable[[], float] | None = None):
+    """foreachBatch sink: calls ``fire`` for a batch with detections, at most once per cooldown.
 
+    The last call is known to this object only; ``stream_triggers`` remembers it across restarts.
+    """
 
+    def __init__(self, fire: Callable[[DataFrame], None], cooldown: float = TRIGGER_COOLDOWN_SECONDS, clock: Callable[[], float] | None = None):
         self.fire, self.cooldown, self.clock = fire, cooldown, clock or time.time
         self.last: float | None = None
 
@@ -147,68 +148,200 @@ class TriggerGate:
         self.fire(batch)
 
 
-EPISODE = (
-    "constraint_key string, detected_at timestamp, resolved_at timestamp, checks long, ever_confirmed boolean,"
-    "peak_magnitude double, peak_net_profit double"
+TRIGGER = "scope string, fired_ms long, detections long, held_back long"
+
+
+class TriggerProcessor(StatefulProcessor):
+    """The cooldown of one scope, kept in the stream's checkpoint.
+
+    A row goes out when detections arrive and no cooldown runs. Those that arrive while one
+    runs are counted and told with the next row. A timer ends the cooldown, so a scope that
+    falls silent leaves no state but its count of what was held back.
+    """
+
+    def __init__(self, cooldown: float = TRIGGER_COOLDOWN_SECONDS):
+        self.cooldown = int(cooldown * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.last = handle.getValueState("last", "fired long")
+        self.held = handle.getValueState("held", "n long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        n = sum(int(part["n"].sum()) for part in rows)
+        now = timerValues.getCurrentProcessingTimeInMs()
+        held = self.held.get()[0] if self.held.exists() else 0
+        if self.last.exists() and now - self.last.get()[0] < self.cooldown:
+            self.held.update((held + n,))
+            return
+        self.last.update((now,))
+        self.held.clear()
+        self.handle.registerTimer(now + self.cooldown)
+        yield pd.DataFrame([(key[0], now, n, held)], columns=["scope", "fired_ms", "detections", "held_back"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        # A later firing has a timer of its own.
+        if self.last.exists() and expiredTimerInfo.getExpiryTimeInMs() - self.last.get()[0] >= self.cooldown:
+            self.last.clear()
+        return iter(())
+
+    def close(self) -> None:
+        pass
+
+
+def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        if len(batch):
+            yield batch.groupby("scope", as_index=False).size().rename(columns={"size": "n"})
+
+
+def stream_triggers(detections: DataFrame, cooldown: float = TRIGGER_COOLDOWN_SECONDS, scope: Column | None = None) -> DataFrame:
+    """(scope, fired_ms, detections, held_back): when to run the full check, at most once per cooldown and scope.
+
+    Detections are counted where they lie, so a scope receives a few rows from each partition,
+    however many there were. A restart from the checkpoint goes on in the same cooldown.
+    """
+    scoped = detections.select((F.lit("all") if scope is None else scope.cast("string")).alias("scope"))
+    return scoped.mapInPandas(_counted, "scope string, n long").groupBy("scope").transformWithStateInPandas(
+        statefulProcessor=TriggerProcessor(cooldown), outputStructType=TRIGGER, outputMode="Append", timeMode="ProcessingTime"
+    )
+
+
+# --- episodes and digests -------------------------------------------------------------------
+
+EPISODE_CHANGE = (
+    "constraint_key string, change string, at timestamp, detected_at timestamp, resolved_at timestamp, checks long,"
+    "kind string, members int, reason string, ever_confirmed boolean, screen_magnitude double, peak_magnitude double, peak_net_profit double"
 )
-_EPISODE_COLUMNS = [c.strip().split(" ")[0] for c in EPISODE.split(",")]
+_CHANGE_COLUMNS = [c.strip().split(" ")[0] for c in EPISODE_CHANGE.split(",")]
 
 
 class EpisodeProcessor(StatefulProcessor):
-    """The open episode of one constraint; goes out when a satisfied check closes it."""
+    """The open episode of one constraint: a row when it opens, when its reason or confirmation changes, and when it closes."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.open = handle.getValueState(
-            "open", "detected long, checks long, confirmed boolean, magnitude double, profit double"
+            "open",
+            "detected long, checks long, kind string, members int, reason string, confirmed boolean, screen double, magnitude double, profit double",
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows)).sort_values("check_ts", kind="stable")
         current = list(self.open.get()) if self.open.exists() else None
         out = []
+
+        def told(change: str, at: pd.Timestamp) -> None:
+            detected, checks, *rest = current
+            ended = at if change == "closed" else None
+            out.append((key[0], change, at, pd.Timestamp(detected, unit="us"), ended, checks, *rest))
+
         for r in batch.itertuples(index=False):
             if r.unscreenable:
                 continue
             if not r.violated:
                 if current is not None:
-                    out.append((key[0], pd.Timestamp(current[0], unit="us"), r.check_ts, *current[1:]))
+                    told("closed", r.check_ts)
                     current = None
                 continue
+            magnitude = None if pd.isna(r.magnitude) else float(r.magnitude)
             profit = None if pd.isna(r.net_profit) else float(r.net_profit)
-            if current is None:
-                current = [int(r.check_ts.value // 1000), 0, False, float(r.magnitude), None]
+            reason = None if pd.isna(r.reason) else r.reason
+            opened = current is None
+            if opened:
+                members = None if pd.isna(r.members) else int(r.members)
+                current = [int(r.check_ts.value // 1000), 0, r.kind, members, reason, False, magnitude, None, None]
+            before = current[4], current[5]
             current[1] += 1
-            current[2] = current[2] or bool(r.confirmed)
-            current[3] = max(current[3], float(r.magnitude))
-            if profit is not None:
-                current[4] = profit if current[4] is None else max(current[4], profit)
+            current[4], current[5] = reason, current[5] or bool(r.confirmed)
+            current[7] = _larger(current[7], magnitude)
+            current[8] = _larger(current[8], profit)
+            if opened or before != (current[4], current[5]):
+                told("opened" if opened else "changed", r.check_ts)
         if current is None:
             self.open.clear()
         else:
             self.open.update(tuple(current))
         if out:
-            yield pd.DataFrame(out, columns=_EPISODE_COLUMNS)
+            yield pd.DataFrame(out, columns=_CHANGE_COLUMNS)
 
     def close(self) -> None:
         pass
 
 
-def stream_episodes(checks: DataFrame) -> DataFrame:
-    """Closed episodes of a stream of checks (see ``episodes`` for the columns)."""
-    cols = ["constraint_key", "check_ts", "violated", "unscreenable", "magnitude", "confirmed", "net_profit"]
-    return checks.select(*cols).groupBy("constraint_key").transformWithStateInPandas(
-        statefulProcessor=EpisodeProcessor(), outputStructType=EPISODE, outputMode="Append", timeMode="None"
+def _larger(a: float | None, b: float | None) -> float | None:
+    return b if a is None else a if b is None else max(a, b)
+
+
+def stream_episode_changes(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Every change of every episode of a stream of checks, with ``at``, the time of the check, as its event time.
+
+    The watermark is handed on, so a stateful operator may follow in the same query.
+    """
+    cols = ["constraint_key", "check_ts", "violated", "unscreenable", "magnitude", "confirmed", "net_profit", "reason", "kind", "members"]
+    return checks.select(*cols).withWatermark("check_ts", delay).groupBy("constraint_key").transformWithStateInPandas(
+        statefulProcessor=EpisodeProcessor(), outputStructType=EPISODE_CHANGE, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at"
     )
 
 
-def stream_digest(episodes: DataFrame, delay: str = "10 minutes") -> DataFrame:
-    """Hourly counts of unconfirmed episodes by reason class; an hour goes out once complete."""
+def stream_episodes(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """Closed episodes of a stream of checks (see ``episodes`` for the columns)."""
+    return stream_episode_changes(checks, delay).where("change = 'closed'").drop("change", "at")
+
+
+DIGEST = "hour timestamp, reason string, n long, worst double"
+
+
+class DigestProcessor(StatefulProcessor):
+    """The episodes of one hour by their latest class; told once, when the hour and its grace are over."""
+
+    def __init__(self, grace_ms: int):
+        self.wait = 3_600_000 + grace_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.entries = handle.getMapState("entries", "constraint string, detected long", "reason string, magnitude double, at long")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        due = int(pd.Timestamp(key[0]).value // 1_000_000) + self.wait
+        self.handle.registerTimer(due)
+        for part in rows:
+            newest = part.sort_values("at_ms", kind="stable").drop_duplicates(["constraint_key", "detected_us"], keep="last")
+            for r in newest.itertuples(index=False):
+                place = (r.constraint_key, int(r.detected_us))
+                held = self.entries.getValue(place) if self.entries.containsKey(place) else None
+                if held is None or held[2] <= r.at_ms:
+                    self.entries.updateValue(place, (r.reason, None if pd.isna(r.screen_magnitude) else float(r.screen_magnitude), int(r.at_ms)))
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        found: dict[str, list] = {}
+        for _, (reason, magnitude, _) in self.entries.iterator():
+            counted = found.setdefault(reason, [0, None])
+            counted[0] += 1
+            counted[1] = _larger(counted[1], magnitude)
+        self.entries.clear()
+        if found:
+            yield pd.DataFrame([(pd.Timestamp(key[0]), reason, n, worst) for reason, (n, worst) in found.items()], columns=["hour", "reason", "n", "worst"])
+
+    def close(self) -> None:
+        pass
+
+
+def stream_digest(changes: DataFrame, grace: str = "1 hour") -> DataFrame:
+    """(hour, reason, n, worst): each hour's episodes by class once the hour and ``grace`` are over.
+
+    ``changes`` is ``stream_episode_changes``. An episode belongs to the hour it opened in, under
+    its class at the end of the grace; what it does later changes nothing, in whatever batches it
+    arrives. See ``digests_by_hour`` for the batch form.
+    """
+    grace_ms = int(pd.Timedelta(grace).total_seconds() * 1000)
     why = F.when(F.col("ever_confirmed"), "confirmed").otherwise(reason_class(F.col("reason")))
-    return (
-        episodes.withWatermark("detected_at", delay)
-        .groupBy(F.window("detected_at", "1 hour").alias("w"), why.alias("reason"))
-        .agg(F.count("*").alias("n"), F.max("screen_magnitude").alias("worst"))
-        .select(F.col("w.start").alias("hour"), "reason", "n", "worst")
+    hour = F.date_trunc("hour", "detected_at")
+    in_time = changes.select(
+        hour.alias("hour"), "constraint_key", F.unix_micros("detected_at").alias("detected_us"), F.unix_millis("at").alias("at_ms"), why.alias("reason"), "screen_magnitude", "at"
+    ).where(F.col("at_ms") < F.unix_millis("hour") + 3_600_000 + grace_ms)
+    return in_time.drop("at").groupBy("hour").transformWithStateInPandas(
+        statefulProcessor=DigestProcessor(grace_ms), outputStructType=DIGEST, outputMode="Append", timeMode="EventTime"
     )
 
 

@@ -1,11 +1,13 @@
 import json
 import os
 import random
+import time
 from datetime import datetime, timedelta
 
 from conftest import rows
 from pyspark.sql import functions as F
 
+from oddsgraph.operators import alerts
 from oddsgraph.operators import episodes as ep
 from oddsgraph.streaming import books, frames, watch
 
@@ -123,22 +125,78 @@ def test_stream_episodes_equal_batch_and_buckets_change_nothing(spark, tmp_path)
     assert one.where("resolved_at is null").count() <= 4
 
 
-def test_hourly_digest_stream_and_trigger_gate(spark, tmp_path):
-    df = ep.episodes(checks(spark)).coalesce(1)
-    path = str(tmp_path / "eps")
-    df.write.parquet(path)
-    stored = spark.read.parquet(path)
-    digest = watch.stream_digest(spark.readStream.schema(stored.schema).parquet(path))
-    out = run(digest, "digest", "append", tmp_path)
-    last = stored.agg(F.date_trunc("hour", F.max("detected_at"))).collect()[0][0]
-    want = stored.where(F.date_trunc("hour", "detected_at") < last - timedelta(hours=0)).count()
-    assert 0 < out.agg(F.sum("n")).collect()[0][0] <= want
-    fired, clock = [], iter([0.0, 3.0, 6.0])
-    gate = watch.TriggerGate(lambda b: fired.append(1), clock=lambda: next(clock))
+def land(df, folder, parts, order="check_ts"):
+    """Write rows as files of a stream, in order."""
+    ordered = [r.asDict() for r in df.orderBy(order).collect()]
+    folder.mkdir(exist_ok=True)
+    size = -(-len(ordered) // parts)
+    for k in range(parts):
+        some = df.sparkSession.createDataFrame(ordered[k * size : k * size + size], df.schema).coalesce(1)
+        some.write.mode("append").parquet(str(folder / f"part{k}"))
+        for name in (folder / f"part{k}").glob("*.parquet"):
+            os.utime(name, (1_700_000_000 + k, 1_700_000_000 + k))
+
+
+def test_episodes_feed_the_digest_in_one_query(spark, tmp_path):
+    """The hours told by the stream equal the batch digest, in one batch or in many."""
+    df = checks(spark, 900).withColumn("reason", F.concat(F.lit("spread and fees"), F.expr("if(magnitude > 0.5, ' a', null)")))
+    far = df.limit(1).withColumn("check_ts", F.lit(datetime(2025, 1, 3))).withColumn("violated", F.lit(False)).withColumn("unscreenable", F.lit(False))
+    for parts in (1, 5):
+        src = tmp_path / f"checks{parts}"
+        land(df, src, parts)
+        land(far, tmp_path / f"checks{parts}" / "end", 1)
+        for name in (src / "end").rglob("*.parquet"):
+            os.utime(name, (1_700_000_900, 1_700_000_900))
+        stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+        out = run(watch.stream_digest(watch.stream_episode_changes(stream), "12 hours"), f"digest{parts}", "append", tmp_path)
+        want = alerts.digests_by_hour(ep.episodes(df.unionByName(far)))
+        got = rows(out, "hour", "reason", "n", "worst")
+        assert got == rows(want, "hour", "reason", "n", "worst") and len(got) >= 9
+
+
+def test_a_digest_takes_the_class_at_the_end_of_the_grace(spark, tmp_path):
+    start = datetime(2025, 1, 1, 8, 50)
+    steps = [(0, True, False, "too thin"), (20, True, False, "spread and fees"), (80, True, True, "x"), (90, False, False, None), (900, False, False, None)]
+    df = spark.createDataFrame(
+        [("k", start + timedelta(minutes=m), v, False, 0.5 + m, c, 1.0, why, "implies", 2) for m, v, c, why in steps],
+        "constraint_key string, check_ts timestamp, violated boolean, unscreenable boolean, magnitude double, confirmed boolean, net_profit double, reason string, kind string, members int",
+    )
+    src = tmp_path / "grace"
+    land(df, src, 5)
+    stream = lambda: spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+    for grace, want in (("30 minutes", "spread and fees exceed the mispricing"), ("3 hours", "confirmed")):
+        out = run(watch.stream_digest(watch.stream_episode_changes(stream()), grace), "grace" + grace.split()[0], "append", tmp_path)
+        assert rows(out) == [(datetime(2025, 1, 1, 8), want, 1, 0.5)]
+    changes = run(watch.stream_episode_changes(stream()), "changes", "append", tmp_path)
+    assert [r.change for r in changes.orderBy("at").collect()] == ["opened", "changed", "changed", "closed"]
+
+
+def test_a_restart_goes_on_in_the_same_cooldown(spark, tmp_path):
+    src = tmp_path / "found"
+    src.mkdir()
+    schema = "constraint_key string, kind string"
+
+    def fired(name, cooldown, file, n=3):
+        (src / f"{file}.json").write_text("\n".join(json.dumps({"constraint_key": f"k{i}", "kind": "implies"}) for i in range(n)))
+        df = watch.stream_triggers(spark.readStream.schema(schema).json(str(src)), cooldown)
+        q = df.writeStream.outputMode("append").format("parquet").option("path", str(tmp_path / name)).trigger(processingTime="1 second").option("checkpointLocation", str(tmp_path / f"cp_{name}")).start()
+        try:  # a stream with processing-time timers goes on without data, so it is stopped once it has read the file
+            until = time.time() + 60
+            while time.time() < until and not any(p.numInputRows for p in q.recentProgress):
+                time.sleep(0.5)
+        finally:
+            q.stop()
+        return sorted((r.detections, r.held_back) for r in spark.read.schema(watch.TRIGGER).parquet(str(tmp_path / name)).collect())
+
+    assert fired("slow", 3600, 0) == [(3, 0)]
+    assert fired("slow", 3600, 1) == [(3, 0)]  # a new run of the query: still in the cooldown
+    assert fired("slow", 0.001, 2, 2) == [(2, 3), (3, 0)]  # it is over: what was held back is told
+    calls, clock = [], iter([0.0, 3.0, 6.0])
+    gate = watch.TriggerGate(lambda b: calls.append(1), clock=lambda: next(clock))
     for i in range(3):
         gate(spark.range(2), i)
     gate(spark.range(0), 9)
-    assert len(fired) == 2
+    assert len(calls) == 2
 
 
 def test_reconcile_outcomes(spark):
