@@ -6,6 +6,7 @@ same name to the SQL another engine answers it with.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from oddsgraph.functions import buckets as B
 from oddsgraph.functions import fees, stats, text
 from oddsgraph.operators import alerts, analytics, candidates, graph, pricing, proposals, reconcile, relations, screen
 from oddsgraph.operators import episodes as ep
-from oddsgraph.plans.projections import ctes, project, read
+from oddsgraph.plans.projections import PROJECTIONS, ctes, project, read
 from oddsgraph.scale import next_row
+from oddsgraph.session import checkpoint_folder, drop_at_end
 from oddsgraph.sources import pages, tables
 from oddsgraph.streaming import books, watch
 
@@ -1210,6 +1212,43 @@ def hourly_digests(spark, sf):
     return out.select(us("hour"), "reason", "n", r6("worst"))
 
 
+def streamed(df: DataFrame) -> DataFrame:
+    """All a stream gives over what has landed, written to the shared folder."""
+    spark = df.sparkSession
+    folder = f"{checkpoint_folder(spark)}/stream-{uuid.uuid4().hex}"
+    drop_at_end(folder)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = df.writeStream.outputMode("append").format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/progress")
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(df.schema).parquet(f"{folder}/rows")
+
+
+@query(
+    """select epoch_us(hour) as hour, case when confirmed then 'confirmed' when reason like '%spread and fees%' then 'spread and fees exceed the mispricing'
+       when reason like '%too thin%' then 'edge real but immaterial' when reason like '%no order book%' then 'no order book for a leg' else reason end as reason, count(*) as n, round(max(magnitude), 6) as worst
+       from (select date_trunc('hour', detected) as hour, bool_or(confirmed) as confirmed, arg_max(reason, check_ts) as reason, arg_min(magnitude, check_ts) as magnitude from (
+         select *, min(check_ts) over (partition by constraint_key, run) as detected from runs where violated)
+         where check_ts < date_trunc('hour', detected) + interval 3 hours group by constraint_key, run, detected)
+       where hour + interval 3 hours <= (select max(check_ts) from checks) - interval 10 minutes group by 1, 2""",
+    "checks", extra=EPISODE_CTES[:2],
+)
+def stream_hourly_digests(spark, sf):
+    """Digests told by one streaming query over the checks: episodes by state, hours by timers, each hour once its grace is over."""
+    stored = read(spark, sf, "events")
+    # As a pattern: the stream source takes a plain path for a folder.
+    landed = spark.readStream.schema(spark.read.parquet(f"{sf}/events.parquet").schema).parquet(f"{sf}/events.parque[t]")
+    zoneless = [name for name, kind in landed.dtypes if kind == "timestamp_ntz"]
+    events = landed.withColumns({c: F.col(c).cast("timestamp") for c in zoneless}) if zoneless else landed
+    checks = spark.sql(PROJECTIONS["checks"], events=events.select(*stored.columns))
+    out = streamed(watch.stream_digest(watch.stream_episode_changes(checks), "2 hours"))
+    return out.select(us("hour"), "reason", "n", r6("worst"))
+
+
 @query(
     """select source, epoch_us(sampled_at) as sampled_at, name, round(value, 9) as value from (
        select source, sampled_at, 'ingest-stale' as name, (epoch_us(sampled_at) - epoch_us(last_ingest_at)) / 1e6 as value from samples where epoch_us(sampled_at) - epoch_us(last_ingest_at) > 1800e6

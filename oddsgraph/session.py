@@ -69,6 +69,11 @@ def drop_folder(path: str) -> None:
         store.delete_dir(inner)
 
 
+def drop_at_end(path: str) -> None:
+    """Delete a folder once the driver ends."""
+    _WRITTEN.append(path)
+
+
 @atexit.register
 def _drop_written() -> None:
     """What ``cut`` wrote is of no use once the driver ends."""

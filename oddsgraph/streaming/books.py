@@ -48,10 +48,16 @@ class BookProcessor(StatefulProcessor):
 
     Of the changes that arrive before the seed the newest one per price waits, so the
     buffer is no larger than the price grid; on the seed the ones older than it are
-    dropped and the rest applied.
+    dropped and the rest applied. A token that stays without a seed for ``patience``
+    milliseconds after its latest waiting change loses the buffer, by an event-time timer.
     """
 
+    def __init__(self, patience: int):
+        self.patience = patience
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.until = handle.getValueState("until", "ms long")
         self.meta = handle.getValueState("meta", "condition string, ts long, hash string, hashes string")
         self.levels = handle.getMapState("levels", "side string, price double", "size double")
         self.pending = handle.getMapState("pending", "side string, price double", "size double, ts long, hash string")
@@ -97,6 +103,8 @@ class BookProcessor(StatefulProcessor):
                 touched, hint_source = True, e
         if meta is not None:
             self.meta.update(tuple(meta))
+        elif unseeded:
+            self._wait(int(batch["received_at"].max().value // 1_000_000) + self.patience)
         if not touched:
             if unseeded:
                 yield pd.DataFrame([(key[0], None, None, None, None, None, None, None, False, 0, unseeded)], columns=_COLUMNS)
@@ -111,6 +119,19 @@ class BookProcessor(StatefulProcessor):
             columns=_COLUMNS,
         )
 
+    def _wait(self, until: int) -> None:
+        """One timer per token: the one before, if any, is taken back."""
+        if self.until.exists():
+            self.handle.deleteTimer(self.until.get()[0])
+        self.until.update((until,))
+        self.handle.registerTimer(until)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        if not self.meta.exists():
+            self.pending.clear()
+        self.until.clear()
+        return iter(())
+
     def _apply(self, side: str, price: float, size: float) -> bool:
         if not 0 < price <= 1 or size < 0:
             return False
@@ -143,10 +164,14 @@ class BookProcessor(StatefulProcessor):
 _COLUMNS = [c.strip().split(" ")[0] for c in BOOK_UPDATE.split(",")]
 
 
-def stream_books(events: DataFrame) -> DataFrame:
-    """Book events to one update per token and micro-batch with the live top."""
-    return events.groupBy("token_id").transformWithStateInPandas(
-        statefulProcessor=BookProcessor(), outputStructType=BOOK_UPDATE, outputMode="Update", timeMode="None"
+def stream_books(events: DataFrame, patience: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
+    """Book events to one update per token and micro-batch with the live top.
+
+    ``patience`` is how long changes of a token without a book wait for one, by ``received_at``.
+    """
+    processor = BookProcessor(int(pd.Timedelta(patience).total_seconds() * 1000))
+    return events.withWatermark("received_at", delay).groupBy("token_id").transformWithStateInPandas(
+        statefulProcessor=processor, outputStructType=BOOK_UPDATE, outputMode="Update", timeMode="EventTime"
     )
 
 

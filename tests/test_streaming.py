@@ -239,3 +239,17 @@ def test_the_newest_waiting_change_counts(spark, tmp_path):
     landed = lines.select(F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at"))
     out = run(books.stream_books(frames.book_events(frames.route_frames(landed))), "waiting", "update", tmp_path)
     assert [r.bid for r in out.where("bid is not null").collect()] == [0.4]
+
+
+def test_changes_wait_for_a_book_only_so_long(spark, tmp_path):
+    """Token t gets its book in time, token u too late: its buffer is gone by then."""
+    src = tmp_path / "in"
+    src.mkdir()
+    steps = [change("t", "BUY", 0.4, 7, 3000), change("u", "BUY", 0.4, 7, 3000), book("t", [(0.3, 5)], [(0.6, 4)], 2000), change("x", "BUY", 0.1, 1, 1), change("x", "BUY", 0.1, 1, 2), book("u", [(0.3, 5)], [(0.6, 4)], 2000)]
+    for k, (line, minutes) in enumerate(zip(steps, (0, 1, 20, 200, 201, 202), strict=True)):
+        (src / f"{k}.txt").write_text(json.dumps(line))
+        os.utime(src / f"{k}.txt", (1_700_000_000 + 60 * minutes,) * 2)
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(src))
+    landed = lines.select(F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at"))
+    out = run(books.stream_books(frames.book_events(frames.route_frames(landed)), "1 hour"), "patience", "update", tmp_path)
+    assert {r.token_id: (r.bid, r.applied) for r in out.where("bid is not null").collect()} == {"t": (0.4, 1), "u": (0.3, 0)}
