@@ -19,7 +19,7 @@ from oddsgraph.functions.fees import (
     taker_fee,
     unit_cost,
 )
-from oddsgraph.scale import next_row, running_totals
+from oddsgraph.scale import last_before, next_row, running_totals
 from oddsgraph.session import cut
 
 # What counts as a meaningful trade.
@@ -222,6 +222,15 @@ def books_as_of(snapshots: DataFrame, at: Column) -> DataFrame:
     return last.select("token_id", "s.*")
 
 
+def books_at(orders: DataFrame, snapshots: DataFrame, buckets: int | None = None) -> DataFrame:
+    """Orders (token_id, ts, ...) with the stored book of their token at their own time.
+
+    Adds ``book_`` + each column of the snapshot but token_id; null where none was stored yet.
+    """
+    carry = [c for c in snapshots.columns if c != "token_id"]
+    return last_before(orders, snapshots, ["token_id"], "ts", carry, "book_", buckets)
+
+
 # --- correcting baskets ---------------------------------------------------------------------
 
 

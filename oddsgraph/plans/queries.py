@@ -793,6 +793,24 @@ def snapshot_replay(spark, sf):
     return back.groupBy("token_id", "side").agg(F.count("*").alias("levels"), F.round(F.sum("size"), 6).alias("depth"))
 
 
+@query(
+    """select o.event_id, coalesce(s.seq, -1) as quote, coalesce(round(s.price, 6), -1) as price, coalesce(epoch_us(o.ts) - epoch_us(s.ts), -1) as age from asked o asof left join quoted s on o.token_id = s.token_id and o.ts >= s.ts""",
+    "level_changes",
+    extra=[
+        ("asked", "select cast(user_id as string) as token_id, ts, event_id from events where event_type = 'purchase'"),
+        ("quoted", "select token_id, ts, seq, price from level_changes where side = 'bid'"),
+    ],
+)
+def books_at_order_times(spark, sf):
+    """Every purchase with the bid stored last before it, each at its own time; -1 where none was."""
+    orders = read(spark, sf, "events").where("event_type = 'purchase'").select(F.col("user_id").cast("string").alias("token_id"), "ts", "event_id")
+    stored = project(spark, sf, "level_changes").where("side = 'bid'").select("token_id", "ts", "seq", "price")
+    out = pricing.books_at(orders, stored)
+    age = F.unix_micros("ts") - F.unix_micros("book_ts")
+    none = F.lit(-1)
+    return out.select("event_id", F.coalesce("book_seq", none).alias("quote"), F.coalesce(r6("book_price"), none).alias("price"), F.coalesce(age, none).alias("age"))
+
+
 @query(
     """select p_partkey, case when p_type = 'PROMO' then 0.0 else case p_type when 'LARGE' then 0.07 when 'SMALL' then 0.05 when 'MEDIUM' then 0.04 when 'ECONOMY' then 0.05 else 0.07 end end::double as rate from part""",
 )

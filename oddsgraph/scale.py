@@ -102,6 +102,50 @@ def next_row(
     return out.select(*df.columns, *[F.col("__next")[c].alias(prefix + c) for c in carry])
 
 
+def last_before(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    at: str,
+    carry: Sequence[str],
+    prefix: str = "last_",
+    buckets: int | None = None,
+    tie: Sequence[str] = (),
+) -> DataFrame:
+    """As-of join: each row of ``left`` with the latest row of ``right`` of its key at or before its ``at``.
+
+    Both sides have ``keys`` and ``at``; of right rows at one time the last by ``tie`` counts.
+    Adds ``prefix + c`` for each carried column, null where nothing came before; a null key is a
+    key like any other. The sides are
+    put together and read in order, so times are never compared pair by pair; in each order
+    bucket the last right row of the buckets before it is brought in.
+    """
+    keys = list(keys)
+    row, held = F.struct(*[F.col(c) for c in left.columns]), F.struct(*[F.col(c) for c in carry])
+    kinds = {"row": left.select(row.alias("x")).schema["x"].dataType, "held": right.select(held.alias("x")).schema["x"].dataType}
+    none = {name: F.lit(None).cast(kind) for name, kind in kinds.items()}
+    turn = F.struct(*[F.col(c) for c in tie]) if tie else F.struct(F.lit(0).alias("none"))
+    turn_kind = right.select(turn.alias("x")).schema["x"].dataType
+    both = left.select(*keys, at, row.alias("__row"), none["held"].alias("__held"), F.lit(1).alias("__asks"), F.lit(None).cast(turn_kind).alias("__turn")).unionByName(
+        right.select(*keys, at, none["row"].alias("__row"), held.alias("__held"), F.lit(0).alias("__asks"), turn.alias("__turn"))
+    )
+    limits = order_limits(both, F.col(at), buckets)
+    order = [at, "__asks", "__turn"]  # a right row of the same time comes first
+    if not limits:
+        found = F.last("__held", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        out = both.withColumn("__found", found)
+    else:
+        parts = _bucketed(both, F.col(at), limits)
+        ends = parts.where("__asks = 0").groupBy(*keys, _B).agg(F.max_by("__held", F.struct(at, "__turn")).alias("__end"))
+        # Buckets without right rows need what came before them too.
+        ends = parts.select(*keys, _B).distinct().join(_renamed_keys(ends, [*keys, _B]), _same_keys([*keys, _B]), "left").select(*keys, _B, "__end")
+        before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1))
+        heads = _renamed_keys(ends.select(*keys, _B, before.alias("__before")), [*keys, _B])
+        inside = F.last("__held", ignorenulls=True).over(Window.partitionBy(*keys, _B).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+        out = parts.withColumn("__in", inside).join(heads, _same_keys([*keys, _B]), "left").withColumn("__found", F.coalesce("__in", "__before"))
+    return out.where("__asks = 1").select("__row.*", *[F.col("__found")[c].alias(prefix + c) for c in carry])
+
+
 def running_totals(
     df: DataFrame,
     keys: Sequence[str],
