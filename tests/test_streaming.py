@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from oddsgraph.operators import alerts
 from oddsgraph.operators import episodes as ep
-from oddsgraph.streaming import books, frames, watch
+from oddsgraph.streaming import books, frames, quality, watch
 
 
 def run(df, name, mode, tmp_path):
@@ -253,3 +253,38 @@ def test_changes_wait_for_a_book_only_so_long(spark, tmp_path):
     landed = lines.select(F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at"))
     out = run(books.stream_books(frames.book_events(frames.route_frames(landed)), "1 hour"), "patience", "update", tmp_path)
     assert {r.token_id: (r.bid, r.applied) for r in out.where("bid is not null").collect()} == {"t": (0.4, 1), "u": (0.3, 0)}
+
+
+def test_counts_of_a_run_equal_counts_of_its_landed_frames(spark, tmp_path):
+    r = random.Random(5)
+    src = tmp_path / "in"
+    src.mkdir()
+    for k in range(4):
+        lines = ["PONG", "{oops"] + [book("t1", [(0.3, 5)], [(0.6, 4)], 1000 + k, "a")] * (k == 1)
+        lines += [change(f"t{r.randint(0, 2)}", "BUY", r.choice([0.2, 0.4, 1.5]), r.choice([0, 7]), 2000 + 10 * k + i) for i in range(20)]
+        lines += [{"event_type": "price_change", "market": "m", "price_changes": [{"price": "0.5", "size": "1", "side": "BUY"}]}]
+        (src / f"{k}.txt").write_text("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+        os.utime(src / f"{k}.txt", (1_700_000_000 + k, 1_700_000_000 + k))
+    lines = spark.readStream.format("text").option("maxFilesPerTrigger", 1).load(str(src))
+    landed = lines.select(F.col("value").alias("frame"), F.col("_metadata.file_modification_time").alias("received_at"))
+    listener = quality.FeedQuality()
+    spark.streams.addListener(listener)
+    try:
+        events = quality.observed_events(frames.book_events(frames.route_frames(landed)))
+        out = quality.observed_updates(books.stream_books(events.where("token_id is not null")))
+        updates = run(out, "watched", "update", tmp_path)
+        until = time.time() + 20
+        while not listener.ended and time.time() < until:
+            time.sleep(0.2)
+    finally:
+        spark.streams.removeListener(listener)
+    seen = frames.book_events(frames.route_frames(frames.read_frames(spark, str(src), streaming=False)))
+    usable = frames.valid_change(F.col("price"), F.col("size"))
+    want = seen.agg(
+        F.count("*"), F.count_if(F.col("kind") == "book"), F.count_if(F.col("kind") == "price_change"), F.count_if((F.col("kind") == "price_change") & ~usable),
+        F.count_if(F.col("ts_ms").isNull()), F.count_if(F.col("token_id").isNull()),
+    ).head()
+    got = listener.totals[quality.FEED]
+    assert tuple(got[k] for k in ("events", "books", "changes", "unusable", "untimed", "nameless")) == tuple(want) and want[3] > 0 and want[5] == 4
+    counted = books.stream_quality(updates).head()
+    assert all(listener.totals[quality.BOOKS][k] == counted[k] for k in ("applied", "unseeded", "hints")) and counted["applied"] > 0
