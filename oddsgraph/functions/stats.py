@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsgraph.scale import distribution
+from oddsgraph.session import cut
 
 # --- fixed values: Abramowitz & Stegun 7.1.26 ---------------------------------
 ERF = (0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429)
@@ -67,23 +68,29 @@ def summary(df: DataFrame, groups: Sequence[str], value: str, buckets: int | Non
     )
 
 
-def average_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None) -> DataFrame:
+def average_ranks(df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None, weight: str | None = None) -> DataFrame:
     """One row per group and distinct value with its 1-based rank, averaged over ties."""
-    dist = distribution(df, groups, value, buckets)
+    dist = distribution(df, groups, value, buckets, weight)
     return dist.select(*groups, value, (F.col("below") + (F.col("n") + 1) / 2).alias("rank"))
 
 
-def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
+def spearman(df: DataFrame, groups: Sequence[str], x: str, y: str, buckets: int | None = None, pooled: str | None = None) -> DataFrame:
     """Rank correlation per group: rho, n, p.
 
-    Pairs are counted first, so equal pairs travel once. Ranks come from the two
-    marginal distributions and are joined back on (group, value).
+    Pairs are counted first and the counts written, so the input is read once and equal pairs
+    travel once. Ranks come from the two marginal distributions and are joined back on
+    (group, value). With ``pooled`` the one group column also takes that name for all rows
+    together: the counts are expanded to both groupings, not the rows.
     """
     groups = list(groups)
     pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
-    weights = pairs.groupBy(*groups, x, y).agg(F.count("*").alias("__w"))
-    rx = average_ranks(pairs, groups, x, buckets).withColumnRenamed("rank", "rx")
-    ry = average_ranks(pairs, groups, y, buckets).withColumnRenamed("rank", "ry")
+    weights = cut(pairs.groupBy(*groups, x, y).agg(F.count("*").alias("__w")))
+    if pooled is not None:
+        (group,) = groups
+        both = F.explode(F.array(F.lit(pooled), F.col(group))).alias(group)
+        weights = cut(weights.select(both, x, y, "__w").groupBy(*groups, x, y).agg(F.sum("__w").alias("__w")))
+    rx = average_ranks(weights, groups, x, buckets, "__w").withColumnRenamed("rank", "rx")
+    ry = average_ranks(weights, groups, y, buckets, "__w").withColumnRenamed("rank", "ry")
     ranked = weights.join(rx, [*groups, x]).join(ry, [*groups, y])
     n = F.sum("__w")
     # The mean of average ranks is always (n + 1) / 2.

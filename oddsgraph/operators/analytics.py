@@ -285,8 +285,7 @@ def magnitude_correlation(report: DataFrame, buckets: int | None = None) -> Data
     closed = report.where(F.col("lifetime_seconds").isNotNull()).select(
         "kind", F.abs("peak_magnitude").alias("size"), "lifetime_seconds"
     )
-    pooled = stats.spearman(closed, [], "size", "lifetime_seconds", buckets).select(F.lit("all").alias("kind"), "rho", "n", "p")
-    return pooled.unionByName(stats.spearman(closed, ["kind"], "size", "lifetime_seconds", buckets))
+    return stats.spearman(closed, ["kind"], "size", "lifetime_seconds", buckets, pooled="all")
 
 
 def magnitude_summary_by_kind(report: DataFrame, buckets: int | None = None) -> DataFrame:

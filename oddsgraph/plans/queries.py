@@ -492,13 +492,29 @@ def graph_stats(spark, sf):
     return graph.build_graph(edges, none, tolerate_cycles=True).stats
 
 
-@query()
+RELATED = [
+    ("opposites", """select min(least(n.condition_id, p.condition_id)) as low, min(greatest(n.condition_id, p.condition_id)) as high
+       from negations n join (select event_id, question, min(condition_id) as condition_id from negations group by 1, 2 having count(*) = 1) p
+       on n.event_id = p.event_id and replace(n.question, ' not ', ' ') = p.question and n.question like '% not %'
+       group by least(n.condition_id, p.condition_id), greatest(n.condition_id, p.condition_id) having count(*) = 1"""),
+    ("roots", "select distinct src as root from edge where src not in (select dst from edge)"),
+    ("peers", "select condition_id as id, concat(event_id, p_type) as grp from markets where p_size > 45"),
+]
+
+
+@query(
+    """select c.src as condition_id, c.dst as related_id, 'implies' as relation, case when e.src is not null then 'ladder' else 'transitive' end as source, e.src is not null as direct
+       from closure c join roots on c.src = root left join (select distinct src, dst from edge) e on e.src = c.src and e.dst = c.dst
+       union all select root, high, 'complement', 'complement', true from opposites join roots on low = root
+       union all select root, low, 'complement', 'complement', true from opposites join roots on high = root
+       union all select root, b.id, 'partition', 'neg-risk-event', true from roots join peers a on a.id = root join peers b on a.grp = b.grp and a.id <> b.id""",
+    "markets", "negations", extra=LADDER_CTES + LADDER_CLOSURE + RELATED,
+)
 def related_markets(spark, sf):
-    """Relations of the strongest rung of every ladder."""
+    """Relations of the strongest rung of every ladder. Large sizes of a type form partitions."""
     edges = ladder(spark, sf).unionByName(relations.complement_edges(project(spark, sf, "negations")))
-    parts = flagged_partitions(spark, sf)
-    nothing = parts.members.where("false")
-    built = graph.build_graph(edges, nothing, tolerate_cycles=True)
+    peers = project(spark, sf, "markets").where("p_size > 45").select(F.concat("event_id", "p_type").alias("group_id"), "condition_id")
+    built = graph.build_graph(edges, peers, tolerate_cycles=True)
     pairs = graph.implication_edges(built.implies)
     roots = pairs.select(F.col("src").alias("condition_id")).distinct().join(
         pairs.select(F.col("dst").alias("condition_id")).distinct(), "condition_id", "left_anti"
@@ -1455,12 +1471,21 @@ RANKS = "rank() over ({p}order by {c}) + (count(*) over (partition by {k}{c}) -
 def corr_sql(kind: str, part: str, key: str) -> str:
     x = RANKS.format(p=part, c="peak_magnitude", k=key)
     y = RANKS.format(p=part, c="life", k=key)
-    return f"select {kind} as kind, round(corr(x, y), 6) as rho, count(*) as n from (select kind, {x} as x, {y} as y from episodes where life is not null)"
+    return f"select {kind} as kind, corr(x, y) as rho, count(*) as n from (select kind, {x} as x, {y} as y from episodes where life is not null)"
+
+
+# Both tails of the normal distribution by the same fixed series.
+TAILS = " + ".join(f"{a} * power(u, {k})" for k, a in enumerate(stats.ERF, 1))
 
 
-@query(corr_sql("'all'", "", "") + " union all " + corr_sql("kind", "partition by kind ", "kind, ") + " group by kind", "checks", extra=EPISODE_CTES)
+@query(
+    f"""select kind, round(rho, 6) as rho, n, round(({TAILS}) * exp(-z * z / 2), 6) as p from (select *, 1 / (1 + {stats.ERF_P} * z / sqrt(2)) as u from (
+        select *, abs(rho) * sqrt((n - 2) / greatest(1e-12, 1 - rho * rho)) as z from correlated))""",
+    "checks",
+    extra=[*EPISODE_CTES, ("correlated", corr_sql("'all'", "", "") + " union all " + corr_sql("kind", "partition by kind ", "kind, ") + " group by kind")],
+)
 def magnitude_correlation(spark, sf):
-    return analytics.magnitude_correlation(report(spark, sf)).select("kind", r6("rho"), "n")
+    return analytics.magnitude_correlation(report(spark, sf)).select("kind", r6("rho"), "n", r6("p"))
 
 
 @query("select round(avg(case when life <= 120 then 1.0 else 0.0 end) filter (where life is not null), 6) as floor_share from episodes", "checks", extra=EPISODE_CTES)

@@ -205,15 +205,17 @@ def _same_keys(keys: Sequence[str]) -> Column:
 
 
 def distribution(
-    df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None
+    df: DataFrame, groups: Sequence[str], value: str, buckets: int | None = None, weight: str | None = None
 ) -> DataFrame:
     """Distinct values per group with ``n`` (copies), ``below`` (rows under it), ``total``.
 
     The basis of exact ranks and quantiles: copies are counted on the map side,
-    so a value or group shared by a third of the rows is one partial count.
+    so a value or group shared by a third of the rows is one partial count. With
+    ``weight`` a row stands for so many.
     """
     groups = list(groups)
-    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(F.count("*").alias("n"))
+    rows = F.count("*") if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*groups, value).agg(rows.alias("n"))
     keys = groups
     if not groups:
         counts, keys = counts.withColumn("__all", F.lit(1)), ["__all"]
