@@ -400,3 +400,44 @@ def exclusive_neighbours(markets: DataFrame, buckets: int | None = None) -> Data
         F.col("last.condition_id").alias("a_condition_id"),
         F.col("next_first.condition_id").alias("b_condition_id"),
     )
+
+
+def overlapping_bands(markets: DataFrame) -> DataFrame:
+    """(scope, prefix, suffix, a_condition_id, b_condition_id): bands of one family that can both hold.
+
+    An interval join by cells. The value line of a family is cut into cells as wide as its
+    bands are on average, so all bands together cover about two cells each, however wide one
+    is. A band stands in every cell it covers and meets the bands that start in that cell: a
+    pair is found once, where the later one starts (of equal starts the larger id), and bands
+    far apart never meet. A hot family is split over its cells.
+    """
+    keys = ["scope", "prefix", "suffix"]
+    bands = band_markets(markets).select("condition_id", F.coalesce("event_id", F.lit("")).alias("scope"), "band.*")
+    width = bands.groupBy(*keys).agg(F.min("low").alias("origin"), F.avg(F.col("high") - F.col("low")).alias("width"))
+    placed = bands.join(width, keys).withColumn("home", F.floor((F.col("low") - F.col("origin")) / F.col("width")))
+    last = F.floor((F.col("high") - F.col("origin")) / F.col("width"))
+    cover = F.explode(F.sequence("home", F.greatest("home", last))).alias("cell")
+    earlier = placed.select(*keys, cover, F.col("condition_id").alias("a_condition_id"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    later = placed.select(*keys, F.col("home").alias("cell"), F.col("condition_id").alias("b_condition_id"), F.col("low").alias("b_low"))
+    first = (F.col("a_low") < F.col("b_low")) | ((F.col("a_low") == F.col("b_low")) & (F.col("a_condition_id") < F.col("b_condition_id")))
+    return earlier.join(later, [*keys, "cell"]).where(first & (F.col("b_low") < F.col("a_high"))).select(*keys, "a_condition_id", "b_condition_id")
+
+
+def verify_exclusive(pairs: DataFrame, markets: DataFrame) -> DataFrame:
+    """``pairs`` (a_condition_id, b_condition_id, ...) with ``finding``: what the questions say of a proposed exclusion.
+
+    exclusive: bands of one subject and date that cannot both hold; overlapping: bands of one
+    subject and date that can; unrelated: bands of different ones; unproven: a question
+    without a band, or a market that isn't there.
+    """
+    bands = band_markets(markets).select("condition_id", F.coalesce("event_id", F.lit("")).alias("scope"), "band")
+    a = bands.select(F.col("condition_id").alias("a_condition_id"), F.struct("scope", "band").alias("__a"))
+    b = bands.select(F.col("condition_id").alias("b_condition_id"), F.struct("scope", "band").alias("__b"))
+    both = pairs.join(a, "a_condition_id", "left").join(b, "b_condition_id", "left")
+    one, two = F.col("__a"), F.col("__b")
+    family = (one["scope"] == two["scope"]) & (one["band"]["prefix"] == two["band"]["prefix"]) & (one["band"]["suffix"] == two["band"]["suffix"])
+    finding = (
+        F.when(one.isNull() | two.isNull(), "unproven").when(~family, "unrelated")
+        .when(text.bands_disjoint(one["band"], two["band"]), "exclusive").otherwise("overlapping")
+    )
+    return both.select(*pairs.columns, finding.alias("finding"))

@@ -297,6 +297,35 @@ def exclusive_bands(spark, sf):
     return relations.exclusive_neighbours(project(spark, sf, "band_markets")).select("a_condition_id", "b_condition_id")
 
 
+@query(
+    """select a.condition_id as a_condition_id, b.condition_id as b_condition_id from band_markets a join band_markets b
+       on a.event_id = b.event_id and a.p_type = b.p_type and (a.p_size < b.p_size or (a.p_size = b.p_size and a.condition_id < b.condition_id)) and b.p_size < a.p_size + 2""",
+    "band_markets",
+)
+def overlapping_bands(spark, sf):
+    return relations.overlapping_bands(project(spark, sf, "band_markets")).select("a_condition_id", "b_condition_id")
+
+
+BAND_PROPOSALS = """
+    select concat('b', lpad(cast(l_partkey as string), 8, '0')) as a_condition_id,
+           concat('b', lpad(cast(l_partkey + l_linenumber * 25 as string), 8, '0')) as b_condition_id, count(*) as times
+    from {lineitem} group by 1, 2"""
+
+
+@query(
+    """select finding, count(*) as pairs, sum(times)::bigint as times from (
+         select times, case when a.condition_id is null or b.condition_id is null then 'unproven' when a.event_id <> b.event_id or a.p_type <> b.p_type then 'unrelated'
+           when a.p_size + 2 <= b.p_size or b.p_size + 2 <= a.p_size then 'exclusive' else 'overlapping' end as finding
+         from proposed left join band_markets a on a.condition_id = a_condition_id left join band_markets b on b.condition_id = b_condition_id) group by 1""",
+    "band_markets", extra=[("proposed", BAND_PROPOSALS.replace("{lineitem}", "lineitem"))],
+)
+def verified_exclusions(spark, sf):
+    """What the questions say of proposed exclusions: proven, refuted, of different families, or without a band."""
+    proposed = spark.sql(BAND_PROPOSALS, lineitem=read(spark, sf, "lineitem"))
+    found = relations.verify_exclusive(proposed, project(spark, sf, "band_markets"))
+    return found.groupBy("finding").agg(F.count("*").alias("pairs"), F.sum("times").alias("times"))
+
+
 @query(
     """select (select count(*) from ladder) as submitted, count(*) filter (where not known) as inserted, count(*) filter (where known) as refreshed, 0 as rejected
        from (select l.*, p_size >= 25 as known from ladder l)""",
