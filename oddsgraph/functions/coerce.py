@@ -7,7 +7,7 @@ and neither harms the other fields of the record.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # --- fixed values -------------------------------------------------------------
@@ -165,15 +165,31 @@ EXPECTED = {
 }
 
 
-def soft(record: Column, name: str, how: str, alias: str | None = None) -> tuple[Column, Column]:
-    """(value, issue) of one field; issue is struct(field, reason, received) or null."""
-    raw = aliased(record, name, alias)
-    missing = absent(raw)
-    value = F.when(~missing, COERCIONS[how](raw))
-    issue = F.when(
-        ~missing & value.isNull(),
-        F.struct(
-            F.lit(name).alias("field"), F.lit(EXPECTED[how]).alias("reason"), F.to_json(raw).alias("received")
-        ),
-    )
-    return value, issue
+def settled(df: DataFrame, name: str, fields: dict[str, Column]) -> DataFrame:
+    """Add a struct of ``fields`` as a generated column: later steps read it and don't copy what is behind it."""
+    return df.select("*", F.explode(F.array(F.struct(*[c.alias(k) for k, c in fields.items()]))).alias(name))
+
+
+def soft(records: DataFrame, fields: dict[str, str], aliases: dict[str, str]) -> DataFrame:
+    """Add ``value``, a struct of the typed fields, and ``issues``, array of struct(field, reason, received).
+
+    ``records`` has a VARIANT column ``record``. Each field is looked up in it once, looked at
+    once and coerced once, in steps of their own; absent fields go no further than the first.
+    """
+    out = settled(records, "raw", {name: get(F.col("record"), f"$.{name}") for name in fields})
+    other = {name: get(F.col("record"), f"$.{alias}") for name, alias in aliases.items() if name in fields}
+    if other:
+        out = settled(out, "raw", {
+            name: F.when(absent(F.col("raw")[name]), other[name]).otherwise(F.col("raw")[name]) if name in other else F.col("raw")[name] for name in fields
+        })
+        out = out.toDF(*[c if k != out.columns.index("raw") else "__first" for k, c in enumerate(out.columns)])
+    out = settled(out, "there", {name: ~absent(F.col("raw")[name]) for name in fields})
+    out = settled(out, "value", {name: F.when(F.col("there")[name], COERCIONS[how](F.col("raw")[name])) for name, how in fields.items()})
+    issues = [
+        F.when(
+            F.col("there")[name] & F.col("value")[name].isNull(),
+            F.struct(F.lit(name).alias("field"), F.lit(EXPECTED[how]).alias("reason"), F.to_json(F.col("raw")[name]).alias("received")),
+        )
+        for name, how in fields.items()
+    ]
+    return out.select(*records.columns, "value", F.array_compact(F.array(*issues)).alias("issues"))

@@ -95,16 +95,9 @@ class Catalog:
 
 def _normalise(records: DataFrame, fields: dict[str, str], keep: list[str]) -> DataFrame:
     """Typed columns plus ``issues`` from a ``record`` VARIANT column."""
-    values, issues = [], []
-    for name, how in fields.items():
-        value, issue = soft(F.col("record"), name, how, ALIASES.get(name))
-        values.append(value.alias(name))
-        issues.append(issue)
-    return records.select(
-        *keep,
-        to_identifier(get(F.col("record"), "$.id")).alias("id"),
-        *values,
-        F.array_compact(F.array(*issues)).alias("issues"),
+    given = records.select(*keep, F.explode(F.array("record")).alias("record"))  # parsed once, however many fields read it
+    return soft(given, fields, ALIASES).select(
+        *[c for c in given.columns if c != "record"], to_identifier(get(F.col("record"), "$.id")).alias("id"), "value.*", "issues"
     )
 
 

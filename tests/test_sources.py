@@ -14,9 +14,20 @@ def land(spark, *bodies):
 
 def coerced(spark, how, values):
     df = spark.createDataFrame([(i, json.dumps({"x": v})) for i, v in enumerate(values)], "i int, body string")
-    value, issue = coerce.soft(F.try_parse_json("body"), "x", how)
-    out = df.select("i", value.alias("v"), issue.isNotNull().alias("bad")).orderBy("i").collect()
-    return [(r["v"], r["bad"]) for r in out]
+    found = coerce.soft(df.select("i", F.try_parse_json("body").alias("record")), {"x": how}, {})
+    out = found.select("value.x", "issues", "i").orderBy("i").collect()
+    for r, given in zip(out, values, strict=True):
+        for issue in r.issues:
+            assert (issue.field, issue.reason, json.loads(issue.received)) == ("x", coerce.EXPECTED[how], given)
+    return [(r.x, bool(r.issues)) for r in out]
+
+
+def test_aliases_and_several_fields(spark):
+    bodies = [{"a": "", "b": 5, "c": "no"}, {"a": 7, "b": "x"}, {"a": None, "b": None, "c": 9}, {}]
+    df = spark.createDataFrame([(i, json.dumps(b)) for i, b in enumerate(bodies)], "i int, body string")
+    found = coerce.soft(df.select("i", F.try_parse_json("body").alias("record")), {"a": "numeric", "c": "boolean"}, {"a": "b", "z": "c"})
+    got = [(r.a, r.c, [(x.field, x.received) for x in r.issues]) for r in found.select("value.*", "issues", "i").orderBy("i").collect()]
+    assert got == [(5.0, False, []), (7.0, None, []), (None, None, [("c", "9")]), (None, None, [])]
 
 
 def test_field_coercions(spark):
@@ -42,8 +53,8 @@ def test_timestamps(spark):
         "2025-02-30", "0000-00-00", "N/A", "2025-03-01T12:00:00+02:00", "2025-03-01T12:00:00.250Z",
     ]
     df = spark.createDataFrame([(i, json.dumps({"x": v})) for i, v in enumerate(values)], "i int, body string")
-    value, issue = coerce.soft(F.try_parse_json("body"), "x", "timestamp")
-    got = [(r[0], r[1]) for r in df.select(F.date_format(value, "yyyy-MM-dd HH:mm:ss.SSS"), issue.isNotNull(), "i").orderBy("i").collect()]
+    found = coerce.soft(df.select("i", F.try_parse_json("body").alias("record")), {"x": "timestamp"}, {})
+    got = [(r[0], r[1]) for r in found.select(F.date_format("value.x", "yyyy-MM-dd HH:mm:ss.SSS"), F.size("issues") > 0, "i").orderBy("i").collect()]
     assert got == [
         ("2025-03-01 12:00:00.000", False), ("2025-03-01 00:00:00.000", False), ("2024-01-01 20:24:52.000", False),
         ("2025-01-01 00:00:00.000", False), ("2025-01-01 00:00:00.000", False), ("2025-01-01 00:00:00.000", False),
