@@ -28,7 +28,7 @@ def edge_rows(spark, pairs):
     return spark.createDataFrame(sorted(pairs), "src string, dst string")
 
 
-def tangled(seed, n=32, m=70, cyclic=False):
+def tangled(seed, n=18, m=34, cyclic=False):
     """Chains, stars, junctions and, if wanted, edges that lead back."""
     r = random.Random(seed)
     pairs = {(f"n{i:03d}", f"n{i + 1:03d}") for i in range(0, n - 1, 1) if r.random() < 0.7}
