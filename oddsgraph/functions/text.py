@@ -6,6 +6,8 @@ because a false relation is worse than a missing one.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -185,6 +187,18 @@ def direction_from_criteria(description: Column) -> Column:
     return F.when(below & ~above, "lt").when(above & ~below, "gt")
 
 
+def _names(phrase: str) -> str:
+    """SQL test whether ``__low`` holds the letters that each alternative of a phrase begins with.
+
+    A plain search is far cheaper than a pattern, and few questions hold more than one or two.
+    """
+    heads = []
+    for alternative in [phrase] if "(" in phrase else phrase.split("|"):
+        head, after = re.match(r"([^\\(?*+\[|]+)(.?)", alternative).groups()
+        heads.append(head[:-1] if after in ("?", "*") and after else head)
+    return "(" + " or ".join(f"contains(__low, '{h}')" for h in heads) + ")"
+
+
 def parse_thresholds(df: DataFrame, question: str = "question", description: str | None = "description") -> DataFrame:
     """Add ``parse``: struct(subject, direction, inclusive, threshold, unit, date_text) or null.
 
@@ -198,27 +212,14 @@ def parse_thresholds(df: DataFrame, question: str = "question", description: str
     hint = rf"(?i)(?:{phrases})\s*\$?\s*\d|\d.*(?:{tails})|\d\s*\+"
 
     text = F.col("__text")
-    found = [
-        (F.regexp_extract(text, rf"(?i)(?:{p})\s*(\$)?\s*({NUMBER})({UNIT})", 0), d, inc, amb)
-        for p, d, inc, amb in LEADING
-    ]
-    found += [
-        (F.regexp_extract(text, rf"(?i)(\$)?\s*({NUMBER})({UNIT})\s*(?:{p})", 0), d, True, False)
-        for p, d in TRAILING
-    ]
-    found.append((F.regexp_extract(text, rf"(?i)(\$)?\s*({NUMBER})\s*\+({UNIT})", 0), "gt", True, False))
-    slots = F.array(
-        *[
-            F.struct(
-                m.alias("m"),
-                F.lit(d).alias("direction"),
-                F.lit(inc).alias("inclusive"),
-                F.lit(amb).alias("ambiguous"),
-                F.lit(i).alias("slot"),
-            )
-            for i, (m, d, inc, amb) in enumerate(found)
-        ]
-    )
+    found = [(_names(p), rf"(?i)(?:{p})\s*(\$)?\s*({NUMBER})({UNIT})", d, inc, amb) for p, d, inc, amb in LEADING]
+    found += [(_names(p), rf"(?i)(\$)?\s*({NUMBER})({UNIT})\s*(?:{p})", d, True, False) for p, d in TRAILING]
+    found.append(("contains(__low, '+')", rf"(?i)(\$)?\s*({NUMBER})\s*\+({UNIT})", "gt", True, False))
+    slots = F.expr("array(" + ", ".join(
+        f"named_struct('m', if({named}, regexp_extract(__text, r'{pattern}', 0), ''), 'direction', '{d}', "
+        f"'inclusive', {inc}, 'ambiguous', {amb}, 'slot', {i})"
+        for i, (named, pattern, d, inc, amb) in enumerate(found)
+    ) + ")")
     number = rf"(?i)(\$)?\s*({NUMBER})\s*\+?({UNIT})"
 
     def measured(x: Column) -> Column:
@@ -238,7 +239,7 @@ def parse_thresholds(df: DataFrame, question: str = "question", description: str
         )
 
     keep = df.columns
-    out = df.withColumn("__text", tidy(F.col(question)))
+    out = df.withColumn("__text", tidy(F.col(question))).withColumn("__low", F.lower("__text"))
     readable = (
         (text != "") & ~text.rlike(BAND_WORDS) & ~text.rlike(BAND_DASH) & text.rlike(hint)
     )

@@ -13,8 +13,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsgraph.functions import text
-from oddsgraph.scale import next_row
+from oddsgraph.scale import input_bytes, next_row
+from oddsgraph.session import cut
 
+SPREAD_BYTES = 64 << 20
+"""Texts of less than this a core are dealt over all cores before they are read."""
 ISO = "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"
 LADDER_KEYS = ["scope", "subject", "direction", "unit", "date_key"]
 EDGE_COLUMNS = ["from_condition_id", "to_condition_id", "type", "source", "confidence", "rationale"]
@@ -35,24 +38,43 @@ def _identified(markets: DataFrame) -> DataFrame:
     return markets.where(F.col("condition_id").isNotNull() & (F.col("condition_id") != ""))
 
 
+def _spread(markets: DataFrame) -> DataFrame:
+    """Markets ready for their texts to be read, which takes far longer than the scan.
+
+    A table so small that its scan is a task or two is dealt over all cores first; a large
+    one has tasks enough and isn't shuffled.
+    """
+    size, cores = input_bytes(markets), markets.sparkSession.sparkContext.defaultParallelism
+    return markets.repartition(cores) if size is not None and size < cores * SPREAD_BYTES else markets
+
+
 # --- threshold ladders ----------------------------------------------------------------------
 
 
-def ladder_rungs(markets: DataFrame, scope_to_event: bool = True) -> DataFrame:
-    """One row per market with a readable, dated threshold, keyed by its ladder."""
+def _read_rungs(markets: DataFrame, scope_to_event: bool) -> DataFrame:
+    """A row per market with a readable threshold, keyed by its ladder."""
     has_text = "description" in markets.columns
-    parsed = text.parse_thresholds(_identified(markets), description="description" if has_text else None)
+    used = [c for c in ("condition_id", "event_id", "question", "description", "end_date") if c in markets.columns]
+    parsed = text.parse_thresholds(_spread(markets.select(*used)), description="description" if has_text else None)
     end = F.date_format("end_date", ISO) if "end_date" in markets.columns else F.lit(None).cast("string")
     stated = F.col("parse.date_text")
     date_key = F.coalesce(F.concat(stated, F.lit("@"), end), stated, end)
     scope = F.coalesce(F.col("event_id"), F.lit("")) if scope_to_event else F.lit("")
-    rungs = parsed.where(F.col("parse").isNotNull()).select(
+    return parsed.where(F.col("parse").isNotNull()).select(
         "condition_id", scope.alias("scope"), date_key.alias("date_key"), "parse.*"
     )
-    # Without a subject only the event tells one market from another.
+
+
+def _usable(rungs: DataFrame) -> DataFrame:
+    """Dated rungs. Without a subject only the event tells one market from another."""
     return rungs.where(F.col("date_key").isNotNull() & ((F.col("subject") != "") | (F.col("scope") != "")))
 
 
+def ladder_rungs(markets: DataFrame, scope_to_event: bool = True) -> DataFrame:
+    """One row per market with a readable, dated threshold, keyed by its ladder."""
+    return _usable(_read_rungs(_identified(markets), scope_to_event))
+
+
 def _format_threshold(value: Column, unit: Column) -> Column:
     plain = F.format_string("%s", F.call_function("format_number", value, F.lit("0.################")))
     money = F.concat(F.lit("$"), F.call_function("format_number", value, F.lit("#,##0.###")))
@@ -96,19 +118,17 @@ def ladder_edges(rungs: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def ladder_stats(markets: DataFrame, scope_to_event: bool = True, buckets: int | None = None) -> DataFrame:
-    """considered, parsed, in_ladders, ladders, edges — one row."""
-    has_text = "description" in markets.columns
-    parsed = text.parse_thresholds(markets, description="description" if has_text else None)
-    base = parsed.agg(
-        F.count("*").alias("considered"), F.count_if(F.col("parse").isNotNull()).alias("parsed")
-    )
-    rungs = ladder_rungs(markets, scope_to_event)
+    """considered, parsed, in_ladders, ladders, edges — one row. The texts are read once."""
+    considered = markets.agg(F.count("*").alias("considered"))
+    every = cut(_read_rungs(markets, scope_to_event))
+    parsed = every.agg(F.count("*").alias("parsed"))
+    rungs = _usable(_identified(every))
     sizes = rungs.groupBy(*LADDER_KEYS).agg(F.count("*").alias("size")).where(F.col("size") >= 2)
     in_ladders = sizes.agg(
         F.coalesce(F.sum("size"), F.lit(0)).alias("in_ladders"), F.count("*").alias("ladders")
     )
     edges = ladder_edges(rungs, buckets).agg(F.count("*").alias("edges"))
-    return one_row(base, in_ladders, edges)
+    return one_row(considered, parsed, in_ladders, edges)
 
 
 def one_row(*parts: DataFrame) -> DataFrame:
@@ -125,7 +145,7 @@ def one_row(*parts: DataFrame) -> DataFrame:
 def deadline_rungs(markets: DataFrame, negation_guard: bool = False) -> DataFrame:
     """Markets that ask for something by a date. With the guard, negated ones are left out:
     "not by June" does not imply "not by December"."""
-    parsed = text.parse_deadlines(_identified(markets)).where(
+    parsed = text.parse_deadlines(_spread(_identified(markets).select("condition_id", "question", "end_date"))).where(
         F.col("deadline").isNotNull() & F.col("end_date").isNotNull()
     )
     if negation_guard:
@@ -165,7 +185,7 @@ def complement_edges(markets: DataFrame, scope_to_event: bool = True) -> DataFra
     """Pairs whose questions differ by exactly one deleted negation, matched one to one."""
     base = _identified(markets).where(F.col("question").isNotNull())
     scope = F.coalesce(F.col("event_id"), F.lit("")) if scope_to_event else F.lit("")
-    base = base.select(
+    base = _spread(base).select(
         "condition_id", "question", scope.alias("scope"),
         text.normalise_question(F.col("question")).alias("form"),
     )
@@ -296,8 +316,12 @@ class Extraction:
 def extract_relations(
     markets: DataFrame, events: DataFrame, negation_guard: bool = False, buckets: int | None = None
 ) -> Extraction:
-    """All extractors over one catalog. Conflicting edges are kept and flagged."""
-    edges = (
+    """All extractors over one catalog. Conflicting edges are kept and flagged.
+
+    The edges are written once: conflicts, flags and whatever the caller counts read them
+    without reading a question again.
+    """
+    edges = cut(
         ladder_edges(ladder_rungs(markets), buckets)
         .unionByName(deadline_edges(deadline_rungs(markets, negation_guard), buckets))
         .unionByName(complement_edges(markets))

@@ -18,7 +18,7 @@ from oddsgraph.operators import alerts, analytics, candidates, graph, pricing, p
 from oddsgraph.operators import episodes as ep
 from oddsgraph.plans.projections import PROJECTIONS, ctes, project, read
 from oddsgraph.scale import next_row
-from oddsgraph.session import checkpoint_folder, drop_at_end
+from oddsgraph.session import checkpoint_folder, cut, drop_at_end
 from oddsgraph.sources import pages, tables
 from oddsgraph.streaming import books, watch
 
@@ -56,7 +56,8 @@ def us(name: str, alias: str | None = None) -> Column:
 
 
 def ladder(spark: SparkSession, sf: str) -> DataFrame:
-    return relations.ladder_edges(relations.ladder_rungs(project(spark, sf, "markets")))
+    """The stored ladder edges: written once, read by every branch of a query."""
+    return cut(relations.ladder_edges(relations.ladder_rungs(project(spark, sf, "markets"))))
 
 
 def stored_ladder(spark: SparkSession, sf: str) -> DataFrame:
@@ -141,7 +142,7 @@ IMPLIES_EVAL = [
 
 def implies_evaluations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     markets = project(spark, sf, "markets")
-    edges = relations.ladder_edges(relations.ladder_rungs(markets)).withColumn("id", relations.relation_id())
+    edges = stored_ladder(spark, sf)
     none = markets.where("false")
     members = screen.constraint_members(
         edges, none.select(F.col("event_id").alias("group_id"), F.lit("partition").alias("type")),
