@@ -868,9 +868,11 @@ def fee_schedule(spark, sf):
     return read(spark, sf, "part").select("p_partkey", F.col("p_type").alias("t"), rate.alias("rate")).select("p_partkey", "rate")
 
 
-TRADE_CTES = LADDER_CTES + IMPLIES_EVAL + [
-    ("legs", "select concat('implies:', id) as k, concat('n', substr(from_condition_id, 2)) as token_id from pair where magnitude > 0.005 union all select concat('implies:', id), concat('y', substr(to_condition_id, 2)) from pair where magnitude > 0.005"),
-    ("asks", "select token_id, price, sum(size) as size from cheap_levels group by 1, 2"),
+TRADE_LEGS = LADDER_CTES + IMPLIES_EVAL + [
+    ("legs", """select concat('implies:', id) as k, 0 as pos, concat('n', substr(from_condition_id, 2)) as token_id, concat(from_condition_id, ' outcome 1') as place from pair where magnitude > 0.005
+        union all select concat('implies:', id), 1, concat('y', substr(to_condition_id, 2)), concat(to_condition_id, ' outcome 0') from pair where magnitude > 0.005"""),
+]
+TRADE_SIZES = [
     ("c", "select *, coalesce(sum(size) over (partition by token_id order by price rows between unbounded preceding and 1 preceding), 0) as before from asks"),
     ("depth", "select token_id, sum(size) as depth from asks group by 1"),
     ("basket", "select k, count(*) filter (where depth is null) as missing, min(depth) as ceiling from legs left join depth using (token_id) group by 1"),
@@ -887,7 +889,7 @@ TRADE_CTES = LADDER_CTES + IMPLIES_EVAL + [
        round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.n end, 6) as size,
        round(case when missing = 0 and ceiling >= 5 and floor_profit > 0 and p.profit >= 1 and p.profit / p.n >= 0.005 then p.profit end, 6) as net_profit
        from basket b left join pick p on p.k = b.k""",
-    "markets", "cheap_levels", extra=TRADE_CTES,
+    "markets", "cheap_levels", extra=[*TRADE_LEGS, ("asks", "select token_id, price, sum(size) as size from cheap_levels group by 1, 2"), *TRADE_SIZES],
 )
 def correcting_trades(spark, sf):
     """Every violated implication priced on depth: the size that earns most, or why there is none."""
@@ -900,9 +902,34 @@ def correcting_trades(spark, sf):
     return trades.select("constraint_key", failure.alias("failure"), r6("size"), r6("net_profit"))
 
 
-@query()
+CHECK_CTES = [
+    *TRADE_LEGS, ("asks", "select token_id, price, sum(size) as size from levels where side = 'ask' group by 1, 2"), *TRADE_SIZES,
+    ("absent", """select k, arg_min(code, pos) as code, arg_min(place, pos) as place from (select l.*, case when l.token_id not in (select token_id from levels) then 'missing-book'
+        when d.depth is null then 'empty-book' end as code from legs l left join depth d on d.token_id = l.token_id) where code is not null group by 1"""),
+    ("mids", "select token_id, (max(price) filter (where side = 'bid') + min(price) filter (where side = 'ask')) / 2 as mid from levels group by 1"),
+    ("live", """select concat('implies:', id) as k, p.magnitude, a.mid - b.mid as live from pair p left join mids a on a.token_id = concat('y', substr(from_condition_id, 2))
+        left join mids b on b.token_id = concat('y', substr(to_condition_id, 2))"""),
+    ("bends", "select *, lead(n) over w as n1, lead(profit) over w as profit1 from cost window w as (partition by k order by n)"),
+    ("most", "select k, max(case when profit <= 0 then 0 when n1 is null then n when profit1 <= 0 then n + profit * (n1 - n) / (profit - profit1) else 0 end) as n from bends group by 1"),
+    ("verdict", """select b.k, case when a.code is not null then a.code when ceiling < 5 then 'below-min-size' when p.floor_profit <= 0 then 'negative-edge'
+        when p.profit < 1 or p.profit / p.n < 0.005 then 'immaterial-edge' else 'none' end as failure, a.place, b.ceiling, p.n, p.profit
+        from basket b left join absent a on a.k = b.k left join pick p on p.k = b.k"""),
+]
+
+
+@query(
+    """select v.k as constraint_key, case when failure = 'none' then 'confirmed' else 'apparent' end as status, failure,
+       case when failure = 'none' then 'none' when live <= 0 then 'the gap had already closed on the live book: the screened quote was stale'
+         when failure = 'missing-book' then concat('no order book for ', place) when failure = 'empty-book' then concat(place, ' cannot be bought: nothing is offered')
+         when failure = 'below-min-size' then printf('%.2f shares are offered, below the minimum order size of 5.00', ceiling)
+         when failure = 'negative-edge' then 'net edge per unit: spread and fees exceed the mispricing' else 'a real gap, but too thin to be worth taking' end as reason,
+       round(magnitude, 6) as magnitude, round(live, 6) as live_magnitude, round(coalesce(m.n, 0), 4) as max_executable_size,
+       round(case when failure = 'none' then profit end, 6) as net_profit, round(case when failure = 'none' then profit / v.n end, 6) as net_edge
+       from verdict v join live l on l.k = v.k left join most m on m.k = v.k""",
+    "markets", "levels", extra=CHECK_CTES,
+)
 def coherence_check(spark, sf):
-    """Screen every constraint, price and confirm every violation."""
+    """Screen every constraint, price and confirm every violation. Its edges are printed at two places, so they aren't compared within the sentence."""
     from oddsgraph.plans.jobs import coherence_check as job
 
     markets = market_tokens(project(spark, sf, "markets"))
@@ -911,7 +938,11 @@ def coherence_check(spark, sf):
     meta = levels.select("token_id").distinct().withColumn("min_order_size", F.lit(5.0))
     none = markets.where("false")
     out = job(edges, none.select(F.col("event_id").alias("group_id"), F.lit("partition").alias("type")), none.select(F.col("event_id").alias("group_id"), "condition_id"), markets, markets, levels, meta)
-    return out.confirmations.select("constraint_key", "status", "failure", "reason", r6("magnitude"), r6("live_magnitude"), r6("net_profit"))
+    reason = F.regexp_replace(F.coalesce("reason", F.lit("none")), "net edge [-0-9.]+c", "net edge")
+    return out.confirmations.select(
+        "constraint_key", "status", F.coalesce("failure", F.lit("none")).alias("failure"), reason.alias("reason"), r6("magnitude"), r6("live_magnitude"),
+        F.round("max_executable_size", 4).alias("max_executable_size"), r6("net_profit"), r6("net_edge"),
+    )
 
 
 # --- catalog --------------------------------------------------------------------------------
