@@ -135,11 +135,12 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
     constants: dict[str, list[int]] = {}
     for k, (name, _, _) in enumerate(pairs):
         constants.setdefault(name.removeprefix("$"), []).append(k)
+    weights = {name: name_score(name) for name in {name for name, _, _ in pairs}}
     best: dict[tuple[int, int], float] = {}
-    for k, (name, _, _) in enumerate(pairs):
-        if not (weight := name_score(name)):
-            continue
-        reached, waiting = set(), [k]
+    reached, opened = set(), set()
+    # From the heaviest names on, so that each assignment is walked once, with the best weight that reaches it.
+    for weight in sorted({w for w in weights.values() if w}, reverse=True):
+        waiting = [k for k, (name, _, _) in enumerate(pairs) if weights[name] == weight]
         while waiting:  # names may refer to each other in circles
             j = waiting.pop()
             if j in reached:
@@ -147,9 +148,10 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[Span]:
             reached.add(j)
             _, places, names = pairs[j]
             for place in places:
-                best[place] = max(best.get(place, 0.0), weight)
-            for other in names:
-                waiting += [i for i in constants.get(other.removeprefix("$"), ()) if i not in reached]
+                best.setdefault(place, weight)
+            for other in {n.removeprefix("$") for n in names} - opened:
+                opened.add(other)
+                waiting += constants.get(other, ())
     found = []
     for (start, end), weight in best.items():
         value = text[start:end]

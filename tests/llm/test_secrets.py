@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -91,3 +92,35 @@ def test_names_of_any_length(form):
     text = form.format(name, value)
     at = text.index(value)
     assert secrets.scan(text)[2] == [(at, at + len(value))]
+
+
+def test_names_assigned_to_themselves_take_linear_time():
+    text = "token = token\n" * 100_000 + 'token = "f3Kq9XbT7mW2pLz8Vd4"\n'
+    start = time.process_time()
+    spans = secrets.lexed_spans(text)
+    assert time.process_time() - start < 30
+    assert [text[a:b] for _, a, b in spans] == ["f3Kq9XbT7mW2pLz8Vd4"]
+
+
+def test_weights_equal_a_walk_from_every_name():
+    """A literal's weight is the best of all sensitive names that reach it, over circles too."""
+    rng = random.Random(5)
+    names = ["db_password", "auth", "alpha", "beta", "gamma", "delta"]
+    for _ in range(200):
+        pairs = []
+        for k in range(rng.randint(1, 9)):
+            value = rng.choice(names) if rng.random() < 0.6 else '"' + rng.choice(["Kq9XbT7m", "aBcD1234efGh", "zzz9Yx8w7V6u"]) + str(k) + '"'
+            pairs.append((rng.choice(names), value))
+        text = "".join(f"{n} = {v}\n" for n, v in pairs)
+        want = set()
+        for name, _ in pairs:
+            weight, seen, waiting = secrets.name_score(name), set(), [name]
+            while weight and waiting:
+                for n, v in pairs:
+                    if n == waiting[-1] and v in names and v not in seen:
+                        seen.add(v)
+                        waiting.insert(0, v)
+                reached = waiting.pop()
+                under = {v.strip('"') for n, v in pairs if n == reached} - {n for n, _ in pairs}  # a name without a value is a literal
+                want |= {v for v in under if weight + secrets.literal_score(v) >= secrets.THRESHOLD}
+        assert {text[a:b] for _, a, b in secrets.lexed_spans(text)} == want
