@@ -98,17 +98,16 @@ def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2) -> DataFra
     """(doc_id, fp, component_id): the smallest doc_id that can be reached over fingerprints ``radius`` bits apart.
 
     Null and empty texts have fingerprint zero and link like any other. Copies are one
-    fingerprint, so a group of any size is one node. Rows without doc_id come out with the
-    component of their fingerprint and name none. Repeated rows come out repeated.
+    fingerprint, so a group of any size is one node. Fingerprints are the nodes: rows without
+    doc_id pass links on, come out with the component of their fingerprint and name none (null
+    where all rows of a component lack a doc_id). Repeated rows come out repeated.
     """
     marks = cut(fingerprints(docs, words))
     least = cut(marks.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    pairs = near_fingerprints(least.select("fp"), radius)
-    names = least.select(F.col("fp").alias("b"), F.col("least").alias("right"))
-    links = pairs.join(least.select(F.col("fp").alias("a"), F.col("least").alias("left")), "a").join(names, "b")
-    roots = components(links.select("left", "right"))
-    named = least.join(roots, F.col("least") == F.col("node"), "left")
-    named = named.select("fp", F.coalesce("root", "least").alias("component_id"))
+    roots = components(near_fingerprints(least.select("fp"), radius))
+    named = cut(least.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
+    first = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = named.join(first, "root").select("fp", "component_id")
     return marks.join(named, "fp").select("doc_id", "fp", "component_id")
 
 

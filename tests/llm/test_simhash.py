@@ -71,3 +71,10 @@ def test_long_chain(spark):
     links = spark.range(300).select(F.col("id").alias("x"), (F.col("id") + 1).alias("y"))
     got = components(links).collect()
     assert {(r.node, r.root) for r in got} == {(i, 0) for i in range(1, 301)}
+
+
+def test_links_pass_through_rows_without_id(spark, monkeypatch):
+    marks = spark.createDataFrame([(1, 0), (None, 3), (2, 15), (None, 1 << 40 | 0xFF00FF), (7, -1)], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, words: marks)
+    got = {(r.doc_id, r.fp): r.component_id for r in simhash.near_duplicates(marks).collect()}
+    assert got == {(1, 0): 1, (None, 3): 1, (2, 15): 1, (None, 1 << 40 | 0xFF00FF): None, (7, -1): 7}
