@@ -1,3 +1,5 @@
+import re
+
 from conftest import rows
 
 from oddsgraph.functions import text
@@ -53,3 +55,18 @@ def test_buckets_change_no_edges(spark):
     rungs = relations.ladder_rungs(markets)
     one, many = relations.ladder_edges(rungs, 1), relations.ladder_edges(rungs, 5)
     assert rows(one) == rows(many) and one.count() > 50
+
+
+def test_every_phrase_holds_the_letters_it_is_searched_by(spark):
+    """Whatever a phrase's pattern finds, in any case and spelling, its letters find first."""
+    forms, pattern = [], {p: re.compile(p, re.IGNORECASE) for p, *_ in [*text.LEADING, *text.TRAILING]}
+    for p in pattern:
+        words = "or higher" if p.startswith("or") and "higher" in p else "or lower" if p.startswith("or") else None
+        for one in [words] if words else p.split("|") if "(" not in p else [re.sub(r"\(\?:.*\)\?", "", p)]:
+            plain = one.replace(r"\s+", " ")
+            forms += [plain.replace("s?", "s"), plain.replace("s?", "").upper(), plain.replace("?", "").replace(" ", "  ")]
+    df = spark.createDataFrame([(f,) for f in forms], "f string").selectExpr("f", "lower(f) as __low")
+    got = df.selectExpr("f", *[f"{text._names(p)} as p{k}" for k, p in enumerate(pattern)]).collect()
+    found = [(row["f"], k) for row in got for k, p in enumerate(pattern.values()) if p.search(row["f"])]
+    assert {k for _, k in found} == set(range(len(pattern)))
+    assert all(row[f"p{k}"] for row in got for k, p in enumerate(pattern.values()) if p.search(row["f"]))
