@@ -49,8 +49,11 @@ def response_hash(body: Column) -> Column:
     """SHA-256 of a response body with object keys in order and spacing removed.
 
     The variant encoding keeps object keys sorted, so equal documents give equal
-    text whatever their key order; text that is not JSON is wrapped.
+    text whatever their key order; text that is not JSON is wrapped. The parser stops after
+    the first value, so text is JSON only if it also is the one entry of an array and of an
+    object: what closes one of them early leaves the other broken.
     """
-    parsed = F.try_parse_json(body)
+    whole = F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).isNotNull() & F.try_parse_json(F.concat(F.lit('{"v":'), body, F.lit("}"))).isNotNull()
+    parsed = F.when(whole, F.try_parse_json(body))
     wrapped = F.to_json(F.struct(body.alias("unparsed")))
     return F.sha2(F.coalesce(F.to_json(parsed), wrapped), 256)

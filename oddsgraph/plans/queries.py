@@ -1004,8 +1004,8 @@ def catalog_summary(spark, sf):
 
 @query("select min(lpad(cast(doc_id as string), 12, '0')) as endpoint from documents group by text")
 def archive_dedupe(spark, sf):
-    """One archived body per distinct document text."""
-    docs = read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("page"), F.col("text").alias("body"))
+    """One archived body per distinct document text. Each lands as a JSON record: texts that are JSON themselves stay as they are."""
+    docs = read(spark, sf, "documents").select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("page"), F.to_json(F.struct("text")).alias("body"))
     return pages.archive_pages(None, docs, now()).select("endpoint")
 
 

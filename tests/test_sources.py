@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from oddsgraph.functions import coerce
 from oddsgraph.operators import screen
+from oddsgraph.plans.queries import QUERIES
 from oddsgraph.sources import books, pages, synthetic, tables
 
 
@@ -101,6 +102,18 @@ def test_archive_keeps_one_body_per_hash(spark):
     assert pages.archive_pages(first, p, F.current_timestamp()).count() == 0
 
 
+def test_archive_tells_texts_apart_that_begin_with_json(spark):
+    p = land(spark, "829 one text", "829 another text", "829", " 829 ", "1],[2", "1},{2", "1,2", '{"a":1} x', '{"a":1}')
+    assert pages.archive_pages(None, p, F.current_timestamp()).count() == 8
+
+
+def test_archived_documents_are_distinct_texts(spark, tmp_path):
+    texts = ["7 one", "7 two", "7", " 7", "7.0", "{}", "", None, None, '{"b":1,"a":2}', '{"a":2,"b":1}', "plain", "plain"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(int(r.endpoint) for r in QUERIES["archive_dedupe"](spark, str(tmp_path)).collect())
+    assert got == [0, 1, 2, 3, 4, 5, 6, 7, 9, 10, 11]
+
+
 def test_books_are_sorted_and_clean(spark):
     wire = [{"market": "c", "asset_id": "t", "timestamp": "1735689600000", "hash": "h", "bids": [
         {"price": "0.01", "size": "5"}, {"price": "0.40", "size": "1"}, {"price": "0.40", "size": "2"}, {"price": "x", "size": "2"}],
