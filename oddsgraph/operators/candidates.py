@@ -117,7 +117,7 @@ def uncovered_pairs(pairs: DataFrame, relations: DataFrame, members: DataFrame,
     at_high = members.select("group_id", F.col("condition_id").alias(key[1]))
     together = left.select(*key).join(at_low, key[0]).join(at_high, ["group_id", key[1]], "left_semi").select(*key).distinct()
     left = left.join(together, key, "left_anti")
-    index = reach_index(implication_edges(relations))
+    index = reach_index(implication_edges(relations), acyclic=False)
     asked = left.select(F.col(key[0]).alias("src"), F.col(key[1]).alias("dst"))
     both = asked.unionByName(asked.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     linked = reachable(index, both)

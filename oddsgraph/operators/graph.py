@@ -4,10 +4,10 @@ Most of the graph is long chains (ladders and deadline series). A node with one
 edge in and one out is *interior*; a run of interior nodes is a chain with a
 position per node, found by pointer jumping in log(length) rounds. What is left
 is a *skeleton* of junctions with one edge per chain. Reachability inside a chain
-compares positions; between chains the skeleton is taken apart in layers
-(``elimination``), so cycles, levels and reachability take a number of rounds that
-follows the logarithm of the graph, not its depth, and no table of all reachable
-pairs is ever built.
+compares positions; between chains cycles and levels are found block by block
+(``blocks``), and reachability by places on lines. What these leave open is taken
+apart in layers (``elimination``), so rounds follow the logarithm of the graph, not
+its depth, and no table of all reachable pairs is ever built.
 
 Loops bring only counts to the driver, and at most ``elimination.CORE_EDGES`` edges
 of a remainder, and cut lineage with a table in the shared checkpoint folder.
@@ -21,7 +21,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from oddsgraph.operators import elimination
+from oddsgraph.operators import blocks, elimination
 from oddsgraph.operators.elimination import Layers
 from oddsgraph.operators.relations import canonical_pair, one_row
 from oddsgraph.session import cut
@@ -143,7 +143,7 @@ def cycle_components(edges: DataFrame) -> DataFrame:
 
 def _components(parts: Chains) -> DataFrame:
     loops = parts.skeleton.where("src = dst").select(F.col("src").alias("node")).distinct()
-    real = elimination.strong_components(skeleton_layers(parts.skeleton), _dense_components)
+    real = blocks.strong_components(weighted(parts.skeleton), _dense_components)
     alone = loops.join(real, "node", "left_anti").withColumn("component", F.col("node"))
     members = real.unionByName(alone)
     # A chain lies on a cycle when both its ends lie on the same one.
@@ -244,23 +244,35 @@ def cycle_witness(edges: DataFrame, components: DataFrame) -> DataFrame:
 # --- reachability ---------------------------------------------------------------------------
 
 
+def weighted(skeleton: DataFrame) -> DataFrame:
+    """(src, dst, w): parallel chains by the longest."""
+    return cut(skeleton.groupBy("src", "dst").agg((F.max("length") + 1).alias("w")))
+
+
 def skeleton_layers(skeleton: DataFrame) -> Layers:
-    return elimination.eliminate(skeleton.select("src", "dst", (F.col("length") + 1).alias("w")))
+    return elimination.eliminate(weighted(skeleton))
 
 
 @dataclass
 class ReachIndex:
     interior: DataFrame
     skeleton: DataFrame
+    acyclic: bool = True
 
     @cached_property
     def layers(self) -> Layers:
         return skeleton_layers(self.skeleton)
 
+    @cached_property
+    def lines(self) -> DataFrame | None:
+        """Places of the skeleton's nodes, where it is too large for a remainder."""
+        small = self.skeleton.limit(elimination.CORE_EDGES + 1).count() <= elimination.CORE_EDGES
+        return None if small else blocks.lines(self.skeleton)
 
-def reach_index(acyclic: DataFrame) -> ReachIndex:
-    parts = chains(implication_edges(acyclic))
-    return ReachIndex(parts.interior, parts.skeleton)
+
+def reach_index(edges: DataFrame, acyclic: bool = True) -> ReachIndex:
+    parts = chains(implication_edges(edges))
+    return ReachIndex(parts.interior, parts.skeleton, acyclic)
 
 
 def _walk(skeleton: DataFrame, starts: DataFrame) -> DataFrame:
@@ -281,8 +293,11 @@ def _walk(skeleton: DataFrame, starts: DataFrame) -> DataFrame:
 
 
 def reachable(index: ReachIndex, pairs: DataFrame) -> DataFrame:
-    """The (src, dst) pairs of ``pairs`` where dst can be reached from src; no node counts as reaching itself."""
-    pairs = pairs.select("src", "dst").where("src <> dst").distinct()
+    """The (src, dst) pairs of ``pairs`` where dst can be reached from src; no node counts as reaching itself.
+
+    Most pairs of a deep graph are told by their ends' lines; the others are asked of the layers.
+    """
+    pairs = pairs.select("src", "dst").where("src <> dst")
     a = index.interior.select(
         F.col("node").alias("src"), F.col("first").alias("a_first"), F.col("pos").alias("a_pos"), F.col("tail").alias("a_tail")
     )
@@ -295,14 +310,25 @@ def reachable(index: ReachIndex, pairs: DataFrame) -> DataFrame:
         F.coalesce("a_tail", "src").alias("leave"),
         F.coalesce("b_head", "dst").alias("enter"),
     )
-    placed = cut(placed)
     direct = F.col("along") | (F.col("leave") == F.col("enter"))
-    yes = placed.where(direct)
-    open_pairs = placed.where(~direct)
+    if index.lines is None:
+        placed = cut(placed.select("src", "dst", "leave", "enter", direct.alias("told")).distinct())
+    else:
+        at = index.lines.select(F.col("node").alias("leave"), F.struct("line", "pos", "part").alias("__a"))
+        to = index.lines.select(F.col("node").alias("enter"), F.struct("line", "pos", "part").alias("__b"))
+        one, two = F.col("__a"), F.col("__b")
+        line = F.coalesce(one["line"] == two["line"], F.lit(False))
+        sure = direct | (line & (one["pos"] < two["pos"]))
+        never = (one["part"] != two["part"]) | (line & F.lit(index.acyclic))
+        told = placed.join(at, "leave", "left").join(to, "enter", "left").select("src", "dst", "leave", "enter", sure.alias("told"), F.coalesce(never, F.lit(False)).alias("never"))
+        placed = cut(told.where("told or not never").drop("never").distinct())
+    yes, open_pairs = placed.where("told"), placed.where("not told")
     # Only ends that have skeleton edges on the needed side can be connected.
     outs = index.skeleton.select(F.col("src").alias("leave")).distinct()
     ins = index.skeleton.select(F.col("dst").alias("enter")).distinct()
     open_pairs = cut(open_pairs.join(outs, "leave", "left_semi").join(ins, "enter", "left_semi"))
+    if open_pairs.isEmpty():
+        return yes.select("src", "dst")
     joined = elimination.connected(index.layers, open_pairs.select(F.col("leave").alias("src"), F.col("enter").alias("dst")), _walk)
     hit = open_pairs.join(joined.toDF("leave", "enter"), ["leave", "enter"], "left_semi")
     return yes.select("src", "dst").unionByName(hit.select("src", "dst"))
@@ -362,7 +388,7 @@ def topological_levels(acyclic: DataFrame) -> DataFrame:
     parts = chains(implication_edges(acyclic))
     ends = F.explode(F.array("src", "dst")).alias("node")
     nodes = parts.skeleton.select(ends).distinct()
-    far = elimination.longest_distances(skeleton_layers(parts.skeleton))
+    far = blocks.levels(weighted(parts.skeleton))
     level = cut(nodes.join(far, "node", "left").select("node", F.coalesce("level", F.lit(0).cast("long")).alias("level")))
     inner = parts.interior.join(
         level.select(F.col("node").alias("head"), F.col("level").alias("base")), "head"
