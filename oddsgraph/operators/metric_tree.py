@@ -10,6 +10,10 @@ descends from the root again into every cell that its reach overlaps, by the cel
 and by the plane between the cell's pivot and the vector's nearest one. Vectors meet by an
 equal-key join on the cell; pairs of cells are never listed. A cell that pivots cannot divide
 (its vectors are all about as near to one another) is dealt into parts of bounded size.
+
+Where a few vectors of a scope, sent down first, reach most of its rows, the tree saves nothing
+and a copy of each vector for each cell would only fill the disk: such a scope is compared in
+blocks of ``PART_ROWS`` instead, with the same result.
 """
 
 from __future__ import annotations
@@ -31,6 +35,13 @@ ROWS_AT_ONCE = 8192
 """Vectors of one wide cell that a task places at a time."""
 STUCK = 0.9
 """A child cell with more than this share of its parent is not split again."""
+PART_ROWS = 8192
+"""Rows of a block where a scope is compared without the tree."""
+SCORED_AT_ONCE = 256
+PROBES = 64
+"""About so many vectors of a scope tell whether its tree divides it; they decide the way, not the result."""
+BLUNT = 0.5
+"""A scope whose probes reach more than this share of its rows is compared in blocks."""
 DIGITS = 9  # similarity is compared and ordered at this precision
 SLACK = 1e-7
 _KEY = ["scope", "cell"]
@@ -149,14 +160,16 @@ def _best(asking: pd.DataFrame, homes: pd.DataFrame, k: int, threshold: float) -
         others = cells.get(key)
         if others is None:
             continue
-        names = others["rep"].to_numpy()
-        scores = np.round(_stacked(own["vector"]) @ _stacked(others["vector"]).T, DIGITS)
-        for rep, row in zip(own["rep"], scores, strict=True):
-            hits = np.flatnonzero((row >= threshold) & (names != rep))
-            if len(hits) > k:
-                hits = hits[row[hits] >= np.partition(row[hits], len(hits) - k)[len(hits) - k]]
-            best = sorted((-row[h], names[h]) for h in hits)[:k]
-            out.extend((key[0], rep, name, -negative) for negative, name in best)
+        names, asked = others["rep"].to_numpy(), own["rep"].to_numpy()
+        rows, columns = _stacked(own["vector"]), _stacked(others["vector"]).T
+        for at in range(0, len(rows), SCORED_AT_ONCE):
+            scores = np.round(rows[at : at + SCORED_AT_ONCE] @ columns, DIGITS)
+            for rep, row in zip(asked[at : at + SCORED_AT_ONCE], scores, strict=True):
+                hits = np.flatnonzero((row >= threshold) & (names != rep))
+                if len(hits) > k:
+                    hits = hits[row[hits] >= np.partition(row[hits], len(hits) - k)[len(hits) - k]]
+                best = sorted((-row[h], names[h]) for h in hits)[:k]
+                out.extend((key[0], rep, name, -negative) for negative, name in best)
     return pd.DataFrame(out, columns=["scope", "rep", "other", "similarity"])
 
 
@@ -198,6 +211,16 @@ def reaches(found: DataFrame, vectors: DataFrame, k: int, threshold: float) -> D
     return vectors.join(kth, ["scope", "rep"], "left").select("scope", "rep", "vector", (widest + SLACK).alias("reach"))
 
 
+def blunt_scopes(tree: MetricTree, bounded: DataFrame) -> DataFrame:
+    """(scope): those of (scope, rep, vector, reach) whose tree leaves a vector most of the rows to compare."""
+    sizes = tree.homes.groupBy(*_KEY).agg(F.count("*").alias("held"))
+    whole = sizes.groupBy("scope").agg(F.sum("held").alias("n"))
+    probes = cut(bounded.join(whole, "scope").where(F.expr(f"pmod(xxhash64(rep), ceil(n / {PROBES})) = 0")))
+    met = descend(tree, probes.drop("n")).join(sizes, _KEY).groupBy("scope").agg(F.sum("held").alias("met"))
+    asked = probes.groupBy("scope").agg(F.count("*").alias("probes"), F.first("n").alias("n"))
+    return met.join(asked, "scope").where(F.col("met") > BLUNT * F.col("probes") * F.col("n")).select("scope")
+
+
 def nearest(vectors: DataFrame, k: int, threshold: float, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(scope, rep, other, similarity): at least the best k others of each vector in its scope, at or above the threshold.
 
@@ -215,7 +238,11 @@ def nearest(vectors: DataFrame, k: int, threshold: float, cell_rows: int = CELL_
     found = cut(found)
     best = F.row_number().over(Window.partitionBy("scope", "rep").orderBy(F.desc("similarity"), "other"))
     bounded = reaches(found.withColumn("place", best).where(F.col("place") <= k), vectors, k, threshold)
-    visits = cut(descend(tree, bounded))
+    bounded = cut(bounded)
+    blunt = cut(blunt_scopes(tree, bounded))
+    flat = cut(vectors.join(blunt, "scope", "left_semi").select("scope", F.lit(0).cast("long").alias("cell"), "rep", "vector"))
+    visits = cut(descend(tree, bounded.join(blunt, "scope", "left_anti")))
     # At home the vector was compared already.
     away = visits.join(tree.homes.select(*_KEY, "rep"), [*_KEY, "rep"], "left_anti")
-    return found.unionByName(compare(away, tree.homes, k, threshold, cell_rows))
+    sharp = found.join(blunt, "scope", "left_anti").unionByName(compare(away, tree.homes, k, threshold, cell_rows))
+    return sharp.unionByName(compare(flat, flat, k, threshold, PART_ROWS))

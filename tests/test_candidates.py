@@ -5,6 +5,7 @@ import pytest
 from conftest import rows
 
 from oddsgraph.operators import candidates as c
+from oddsgraph.operators import metric_tree
 
 
 @pytest.mark.parametrize("block_rows,same_event", [(1024, True), (7, True), (9, False)])
@@ -42,3 +43,24 @@ def test_exclusions(spark):
     assert c.ordered_candidates(pairs, 3, "spread").count() == 3
     pairs2 = spark.createDataFrame([("b", "a", 0.9), ("a", "b", 0.95), ("c", "a", 0.5)], "source_id string, target_id string, similarity double")
     assert rows(c.fold_pairs(pairs2)) == [("a", "b", 0.95)]
+
+
+@pytest.mark.parametrize("spread,alike,floor", [(1.0, True, 0.2), (0.02, False, 0.8)])
+def test_vectors_that_a_tree_cannot_divide_are_not_copied_to_its_cells(spark, monkeypatch, spread, alike, floor):
+    r = np.random.default_rng(4)
+    centres = np.eye(40, 64)
+    made = (0 if alike else centres[np.arange(400) % 40]) + spread * r.normal(size=(400, 64))
+    data = [("s", f"m{i:03d}", [float(x) for x in v]) for i, v in enumerate(made)]
+    sent, descend = [], metric_tree.descend
+    monkeypatch.setattr(metric_tree, "descend", lambda tree, asking: (sent.append(asking.count()), descend(tree, asking))[1])
+    monkeypatch.setattr(metric_tree, "PART_ROWS", 90)
+    got = metric_tree.nearest(spark.createDataFrame(data, "scope string, rep string, vector array<double>"), 3, floor, cell_rows=16, pivots=8)
+    unit = made / np.linalg.norm(made, axis=1, keepdims=True)
+    scores = np.round(unit @ unit.T, 9)
+    best = {}
+    for x in got.collect():
+        best.setdefault(x.rep, set()).add((-x.similarity, x.other))
+    for i, row in enumerate(scores):
+        want = sorted((-row[j], f"m{j:03d}") for j in range(400) if j != i and row[j] >= floor)[:3]
+        assert [n for _, n in sorted(best.get(f"m{i:03d}", ()))[:3]] == [n for _, n in want]
+    assert sent[0] < 200 and (sent[1] == 0 or not alike)
