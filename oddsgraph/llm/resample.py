@@ -14,6 +14,7 @@ doc_id and text.
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -36,13 +37,15 @@ LEAST_SHARE = 0.02
 BEYOND_CHANCE = 5.0
 """Standard deviations by which a bucket's count among toxic documents must stand out."""
 FEW = 1_000_000
+PART = 4096
+"""Buckets that go from a task to its sum in one row."""
 RAW, GOOD, RAW_DOCS, TOXIC_DOCS = range(4)
 _FOLD = np.frombuffer(LOWER, np.uint8)
 # 0: white space; 1: letters, digits and all beyond ASCII; 2: the rest, so that punctuation is words of its own.
 _KIND = np.array([0 if c in b"\t\n\x0b\x0c\r " else 1 if c > 127 or chr(c).isalnum() else 2 for c in range(256)], np.uint8)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_COUNTS = pa.schema([("model", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64())])
+_PARTS = pa.schema([("first", pa.int32()), ("counts", pa.binary())])
 _WEIGHTS = pa.schema([("doc_id", pa.int64()), ("log_weight", pa.float64()), ("log_toxic", pa.float64()), ("n_features", pa.int64()), ("noise_seed", pa.int64())])
 
 
@@ -116,13 +119,39 @@ def _few(labels: DataFrame, wanted: F.Column) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
 
 
+def _parts(counts: np.ndarray) -> pa.RecordBatch:
+    """A table of counts (models by buckets) in rows of PART buckets: bytes of equal weight together, most of them zero, compressed."""
+    firsts = range(0, counts.shape[1], PART)
+    data = [zlib.compress(counts[:, a : a + PART].astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1) for a in firsts]
+    return pa.RecordBatch.from_pydict({"first": list(firsts), "counts": data}, schema=_PARTS)
+
+
+def _read_part(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data), np.uint8).reshape(8, -1)
+    return np.ascontiguousarray(planes.T).view("<i8").reshape(4, -1)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For mapInArrow: parts of one range of buckets added up as they come; the whole table at most is held."""
+    counts = np.zeros((4, BUCKETS + 1), np.int64)
+    seen = set()
+    for batch in batches:
+        for first, data in zip(batch.column("first").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+            part = _read_part(data)
+            counts[:, first : first + part.shape[1]] += part
+            seen.add(first)
+    if seen:
+        whole = _parts(counts)
+        yield whole.filter(pa.array([first in seen for first in whole.column("first").to_pylist()]))
+
+
 def learn(docs: DataFrame, labels: DataFrame) -> Models:
     """Learn from ``docs`` and ``labels`` (doc_id, quality, toxic).
 
     Raw occurrences cover every document; documents and the labelled share are counted in
     distinct texts. The labelled ones are a sample of bounded size, so
-    their ids are broadcast; texts move once, to meet their copies. Tasks add up in tables of fixed size, and
-    the driver gets four numbers for each bucket at most.
+    their ids are broadcast; texts move once, to meet their copies. Tasks add up in tables of fixed size, which go on
+    compressed, and the driver gets four numbers for each bucket at most.
     """
     good, toxic = (F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0), F.col("toxic") == 1
     known = cut(_few(labels, good).withColumn("kind", F.lit(GOOD)).union(_few(labels, toxic).withColumn("kind", F.lit(TOXIC_DOCS))).groupBy("doc_id").agg(F.max("kind").alias("kind")))
@@ -144,16 +173,13 @@ def learn(docs: DataFrame, labels: DataFrame) -> Models:
                 for k, some in ((GOOD, found[kind[of] == GOOD]), (RAW_DOCS, once % BUCKETS), (TOXIC_DOCS, once[kind[once // BUCKETS] == TOXIC_DOCS] % BUCKETS)):
                     counts[k] += np.bincount(some, minlength=BUCKETS)
                 n += [0, 0, b - a, (kind == TOXIC_DOCS).sum()]
-        for k in range(4):
-            at = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([-1], pa.int32()), pa.array([int(n[k])])], schema=_COUNTS)
-            for part in np.array_split(at, max(1, len(at) // 50_000)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), k, np.int32)), pa.array(part.astype(np.int32)), pa.array(counts[k][part])], schema=_COUNTS)
-
-    parts = marked.mapInArrow(run, "model int, bucket int, n long")
-    total = parts.groupBy("model", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.zeros((4, BUCKETS + 1))  # the last column, bucket -1, has the numbers of documents
-    counts[total["model"].to_numpy(), total["bucket"].to_numpy()] = total["n"].to_numpy()
+        yield _parts(np.column_stack([counts, n]))
+
+    parts = marked.mapInArrow(run, "first int, counts binary").repartition("first").mapInArrow(_summed, "first int, counts binary")
+    counts = np.zeros((4, BUCKETS + 1))  # the last column has the numbers of documents
+    for row in parts.toArrow().to_pylist():
+        part = _read_part(row["counts"])
+        counts[:, row["first"] : row["first"] + part.shape[1]] = part
     judged = labels.where(F.col("toxic").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), "toxic")
     judged = rows.select("doc_id", "body").join(judged, "doc_id").groupBy("body").agg(F.max(toxic).alias("toxic"))
     seen = judged.agg(F.count("*").alias("n"), F.count_if("toxic").alias("toxic")).head()

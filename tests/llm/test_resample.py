@@ -47,6 +47,39 @@ def test_held_out_labels(spark):
     assert share(lambda r: r.quality == 0) < 0.25
 
 
+def test_learned_counts_equal_plain_counts_and_go_on_small(spark, monkeypatch):
+    """Counts of all tasks meet in few compressed rows: about two bytes for a bucket that a task has seen, where a row of its own took nine."""
+    found, sent = [], []
+    fit, read = rs.fit, rs._read_part
+    monkeypatch.setattr(rs, "fit", lambda counts, *rest: found.append((counts, *rest)) or fit(counts, *rest))
+    monkeypatch.setattr(rs, "_read_part", lambda data: sent.append(len(data)) or read(data))
+    rng = np.random.default_rng(3)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 9000, 40))) for k in range(1500)]
+    rows += [(2000 + k, rows[k % 7][1]) for k in range(300)] + [(9000, None)]
+    marks = [(k, int(k % 3 > 0), int(k % 5 == 0)) for k in range(0, 1500, 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    rs.learn(docs, spark.createDataFrame(marks, "doc_id long, quality int, toxic int"))
+    kind = {}
+    for doc, quality, toxic in marks:
+        kind[rows[doc][1]] = max(kind.get(rows[doc][1], 0), rs.TOXIC_DOCS if toxic else rs.GOOD if quality else rs.RAW)
+    want = np.zeros((4, rs.BUCKETS))
+    copies = {}
+    for _, body in rows:
+        copies[body or ""] = copies.get(body or "", 0) + 1
+    for body, n in copies.items():
+        at = np.array(by_hand(body), int)
+        np.add.at(want[rs.RAW], at, n)
+        want[rs.RAW_DOCS][np.unique(at)] += 1
+        if kind.get(body) == rs.GOOD:
+            np.add.at(want[rs.GOOD], at, 1)
+        if kind.get(body) == rs.TOXIC_DOCS:
+            want[rs.TOXIC_DOCS][np.unique(at)] += 1
+    counts, n_docs, n_toxic, _ = found[0]
+    assert np.array_equal(counts, want)
+    assert (n_docs, n_toxic) == (len(copies), sum(k == rs.TOXIC_DOCS for k in kind.values()))
+    assert len(sent) <= rs.BUCKETS // rs.PART + 1 and sum(sent) < 3 * np.count_nonzero(want)
+
+
 def test_weights_equal_plain_sums(spark):
     rng = np.random.default_rng(0)
     models = rs.Models(rng.normal(size=rs.BUCKETS).astype(np.float32), rng.normal(size=rs.BUCKETS).astype(np.float32), -2.0)
