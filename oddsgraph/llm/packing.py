@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsgraph.llm.common import cut, over_slices, read_documents, texts
-from oddsgraph.llm.tokens import byte_bpe, encoder
+from oddsgraph.llm.tokens import AT_ONCE_BYTES, byte_bpe, encoder
 
 CAPACITY = 1024
 GROUP = 50_000
@@ -136,7 +136,7 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACIT
                 start = stop
         return out
 
-    return texts(docs).mapInArrow(over_slices(run, _PIECES), "doc_id long, piece int, start long, length long, ids_crc32 long")
+    return texts(docs).mapInArrow(over_slices(run, _PIECES, AT_ONCE_BYTES), "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = CAPACITY) -> DataFrame:

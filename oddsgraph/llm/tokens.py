@@ -14,9 +14,14 @@ BYTE_BPE = "byte_bpe_50k.json"
 GENERATION = 500_000
 """Words in each of the two cache generations of a worker."""
 LONGEST_KEPT = 48
-_CUT = re.compile(r" (?=\S)")
+AT_ONCE_BYTES = 4 << 20
+"""Text handed to ``encode`` at a call: the more, the fewer distinct words to look up."""
 _AT_ONCE = 64
 _RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
+_VISIBLE = np.array([not chr(c).isspace() for c in range(128)] + [True] * 128)
+_WIDE_BLANKS = np.array([int.from_bytes(c.encode()[:3].ljust(3, b"\0")) for c in map(chr, range(128, 0x3001)) if c.isspace()])
+"""White space beyond ASCII as three bytes, the last 0 where it has two."""
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
 _LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
 
 
@@ -44,7 +49,8 @@ class Encoder:
 
     A byte-level tokenizer never merges across a space that a visible character follows,
     so texts are cut there and each word goes through the tokenizer once while it stays
-    in the cache. A new word with punctuation is put together from its parts where that is
+    in the cache. The words of a call are numbered as whole arrays, so that only distinct ones
+    become Python strings, and ids are put together by one gather. A new word with punctuation is put together from its parts where that is
     sure to be the same. The cache holds two generations of bounded size; very long words
     are never kept.
     """
@@ -77,42 +83,104 @@ class Encoder:
         places = starts.tolist()
         return [data[a:b] for a, b in zip(places, [*places[1:], len(data)], strict=True)]
 
-    def encode(self, bodies: list[str]) -> list[bytes]:
-        """For each text its ids as little-endian unsigned 32-bit integers."""
-        heads, words = [], []
-        for body in bodies:
-            head, *rest = body.split(" ")
-            heads.append(head)
-            words.append(rest)
-        known = self._young
-        missing = set().union(*words).difference(known)
-        if blank := {p for p in missing if not p.isalpha() and (not p or p[0].isspace())}:
-            for k, rest in enumerate(words):
-                if not blank.isdisjoint(rest):
-                    heads[k], *words[k] = _CUT.split(bodies[k])
-            missing = set().union(*words).difference(known)
-        if self._old:
-            again = missing.intersection(self._old)
-            known.update({p: self._old[p] for p in again})
-            missing -= again
-        fresh = list(missing)
-        split = {p: runs for p in fresh if not p.isalpha() and (runs := _runs(p))}
+    def _learn(self, missing: list[str]) -> None:
+        """Bring distinct words that the young generation lacks into it."""
+        known, old = self._young, self._old
+        if old:
+            known.update([(p, old[p]) for p in missing if p in old])
+            missing = [p for p in missing if p not in old]
+        split = {p: runs for p in missing if not p.isalpha() and (runs := _runs(p))}
         inner = self._inner
-        plain = {p for p in fresh if p not in split} | {r[0] for r in split.values() if r[0] not in known}
+        plain = list({p for p in missing if p not in split} | {r[0] for r in split.values() if r[0] not in known})
         within = {x for r in split.values() for x in r[1:]}.difference(inner)
-        plain = list(plain)
         known.update(zip(plain, self._tokenize_words(plain), strict=True))
         inner.update(zip(within, self._tokenize(list(within)), strict=True))
         for p, (first, *rest) in split.items():
             known[p] = b"".join([known[first], *map(inner.__getitem__, rest)])
-        out = [b"".join([h, *map(known.__getitem__, rest)]) for h, rest in zip(self._tokenize(heads), words, strict=True)]
-        for p in {p for p in (*fresh, *plain) if len(p) > LONGEST_KEPT}:
-            del known[p]
-        if len(inner) > GENERATION // 5:
-            inner.clear()
+
+    def encode(self, bodies: list[str]) -> list[bytes]:
+        """For each text its ids as little-endian unsigned 32-bit integers."""
+        parts = [body.encode() for body in bodies]
+        edges = np.concatenate([[0], np.cumsum([len(x) for x in parts], dtype=np.int64)])
+        data = b"".join(parts)
+        cuts = _cuts(data, edges)
+        first = np.searchsorted(cuts, edges)  # of each text
+        stops = np.append(cuts, len(data))
+        heads = [data[a:b].decode() for a, b in zip(edges[:-1].tolist(), np.minimum(stops[first[:-1]], edges[1:]).tolist(), strict=True)]
+        ends = stops[1:].copy()
+        filled = np.flatnonzero(first[1:] > first[:-1])
+        ends[first[filled + 1] - 1] = edges[filled + 1]
+        code, one = _same_words(data, cuts + 1, ends)
+        words = [data[a:b].decode() for a, b in zip((cuts[one] + 1).tolist(), ends[one].tolist(), strict=True)]
+        known = self._young
+        ids = list(map(known.get, words))
+        fresh = [k for k, x in enumerate(ids) if x is None]
+        self._learn([words[k] for k in fresh])
+        for k in fresh:
+            ids[k] = known[words[k]]
+            if len(words[k]) > LONGEST_KEPT:
+                del known[words[k]]
+        ids += self._tokenize(heads)
+        sizes = np.array([len(x) for x in ids], np.int64) // 4
+        order = np.insert(code, first[:-1], np.arange(len(words), len(ids)))
+        length = sizes[order]
+        after = np.concatenate([[0], np.cumsum(length)])
+        place = (np.cumsum(sizes) - sizes)[order] - after[:-1]
+        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place, length) + np.arange(after[-1])].tobytes()
+        if len(self._inner) > GENERATION // 5:
+            self._inner.clear()
         if len(known) > GENERATION:
             self._old, self._young = known, {}
-        return out
+        bounds = (after[first + np.arange(len(first))] * 4).tolist()
+        return [out[a:b] for a, b in zip(bounds, bounds[1:])]
+
+
+def _cuts(data: bytes, edges: np.ndarray) -> np.ndarray:
+    """Places of the spaces that a visible character of the same text follows."""
+    body = np.frombuffer(data + bytes(4), np.uint8)
+    cuts = np.flatnonzero(body[: len(data)] == 32)
+    cuts = cuts[_VISIBLE[body[cuts + 1]]]
+    if len(wide := np.flatnonzero(body[cuts + 1] >= 0xC2)):
+        a, b, c = (body[cuts[wide] + k].astype(np.int64) for k in (1, 2, 3))
+        blank = np.isin((a << 16) + (b << 8) + np.where(a >= 0xE0, c, 0), _WIDE_BLANKS)
+        cuts = np.delete(cuts, wide[blank])
+    last = edges[1:][np.diff(edges) > 0] - 1
+    return cuts[~np.isin(cuts, last)]
+
+
+def _same_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each word, equal for equal bytes, and a place of each number.
+
+    Words of up to 16 bytes are compared as one or two whole numbers, others one by one.
+    """
+    room = data + bytes(16)
+    eight = np.ndarray((len(data) + 9,), "<u8", room, strides=(1,))
+    n = ends - starts
+    long = n > 16
+    if 0 in data:  # it would pass for the end of a word
+        holds = np.searchsorted(starts, np.flatnonzero(np.frombuffer(data, np.uint8) == 0), "right") - 1
+        long[holds[holds >= 0]] = True
+    code, ones, count = np.zeros(len(n), np.int64), [], 0
+    short, middle = np.flatnonzero((n <= 8) & ~long), np.flatnonzero((n > 8) & ~long)
+    low = eight[starts[short]] & _MASKS[n[short]]
+    if len(middle):
+        _, lead = np.unique(eight[starts[middle]], return_inverse=True)
+        tails, tail = np.unique(eight[starts[middle] + 8] & _MASKS[n[middle] - 8], return_inverse=True)
+        both = lead * len(tails) + tail
+    for at, keys in ((short, low), (middle, both if len(middle) else low[:0])):
+        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        code[at] = which + count
+        ones.append(at[one])
+        count += len(one)
+    seen: dict[bytes, int] = {}
+    places = np.flatnonzero(long)
+    for k, a, b in zip(places.tolist(), starts[places].tolist(), ends[places].tolist(), strict=True):
+        word = data[a:b]
+        if word not in seen:
+            seen[word] = count + len(seen)
+            ones.append(np.array([k]))
+        code[k] = seen[word]
+    return code, np.concatenate(ones)
 
 
 @lru_cache(maxsize=1)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from oddsgraph.llm import bitpack, packing
-from oddsgraph.llm.tokens import Encoder, byte_bpe
+from oddsgraph.llm.tokens import Encoder, _same_words, byte_bpe
 
 SF = "/root/testdata/sf0.001"
 ODD = [(3, None, "x"), (1, "", "y"), (2, "a  b \n c' s<|endoftext|> ", "z"), (2, "a  b \n c' s<|endoftext|> ", "z"), (7, "long " * 90_000, "q"), (None, "no id", "n"), (5, "Ω漢字😀", "o")]
@@ -35,6 +35,29 @@ def test_encoder_equals_the_tokenizer(plain, monkeypatch, generation):
         assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(some)] == [plain(t) for t in some]
 
 
+def test_a_call_never_walks_the_old_words(plain, monkeypatch):
+    """The time of a call follows its own words, not the half million words of the generation before."""
+    class Held(dict):
+        def __iter__(self):
+            raise AssertionError("walked")
+
+    codec = Encoder(byte_bpe())
+    codec.encode(["one old word, and more"])
+    codec._old, codec._young = Held(codec._young), {}
+    assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(["an old word, and new"])] == [plain("an old word, and new")]
+    assert {"old", "word,", "and", "new"} == set(codec._young)
+
+
+def test_equal_words_have_one_number():
+    rng = random.Random(2)
+    words = [bytes(rng.choice(b"ab\0") for _ in range(rng.choice([1, 2, 7, 8, 9, 15, 16, 17, 40]) - 1)) + b"e" for _ in range(3000)]
+    words += [w.rstrip(b"e") + b"\0" for w in words[:500]]
+    ends = np.cumsum([len(w) for w in words])
+    code, one = _same_words(b"".join(words), np.append(0, ends[:-1]), ends)
+    assert len(one) == len(set(words)) == len(set(code.tolist()))
+    assert [words[one[k]] for k in code] == words
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 16, 17, 31, 32])
 def test_pack_round_trip(bits):
     ids = np.random.default_rng(bits).integers(0, 1 << bits, 1001, dtype=np.uint64).astype("<u4")
