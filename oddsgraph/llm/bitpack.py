@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from oddsgraph.llm.common import cut, file_system, read_documents, slices, texts, utf8
-from oddsgraph.llm.tokens import byte_bpe, encoder
+from oddsgraph.llm.tokens import AT_ONCE_BYTES, byte_bpe, encoder
 from oddsgraph.session import checkpoint_folder
 
 MAGIC = b"FIXBITS1"
@@ -166,7 +166,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int, bloc
         path, writer = f"{folder}/shard-{shard:06d}-{uuid.uuid4().hex}.bits", None
         for batch in batches:
             column, ids = batch.column("text"), batch.column("doc_id")
-            for a, b in slices(utf8(column)[1]):
+            for a, b in slices(utf8(column)[1], AT_ONCE_BYTES):
                 for doc_id, got in zip(ids.slice(a, b - a).to_pylist(), codec.encode(column.slice(a, b - a).to_pylist()), strict=True):
                     writer = writer or ShardWriter(path, width(codec.vocabulary), block)
                     writer.add(doc_id, np.append(np.frombuffer(got, "<u4"), np.uint32(end_id)))
