@@ -447,17 +447,20 @@ def overlapping_bands(markets: DataFrame) -> DataFrame:
     return earlier.join(later, [*keys, "cell"]).where(first & (F.col("b_low") < F.col("a_high"))).select(*keys, "a_condition_id", "b_condition_id")
 
 
-def verify_exclusive(pairs: DataFrame, markets: DataFrame) -> DataFrame:
+def verify_exclusive(pairs: DataFrame, markets: DataFrame, parts: int | None = None) -> DataFrame:
     """``pairs`` (a_condition_id, b_condition_id, ...) with ``finding``: what the questions say of a proposed exclusion.
 
     exclusive: bands of one subject and date that cannot both hold; overlapping: bands of one
     subject and date that can; unrelated: bands of different ones; unproven: a question
-    without a band, or a market that isn't there.
+    without a band, or a market that isn't there. ``pairs`` that are dealt by a_condition_id
+    over ``parts`` partitions are dealt by b_condition_id over as many, so that a task's share
+    stays the same however many pairs there are.
     """
     bands = band_markets(markets).select("condition_id", F.coalesce("event_id", F.lit("")).alias("scope"), "band")
     a = bands.select(F.col("condition_id").alias("a_condition_id"), F.struct("scope", "band").alias("__a"))
     b = bands.select(F.col("condition_id").alias("b_condition_id"), F.struct("scope", "band").alias("__b"))
-    both = pairs.join(a, "a_condition_id", "left").join(b, "b_condition_id", "left")
+    both = pairs.join(a, "a_condition_id", "left")
+    both = (both.repartition(parts, "b_condition_id") if parts else both).join(b, "b_condition_id", "left")
     one, two = F.col("__a"), F.col("__b")
     family = (one["scope"] == two["scope"]) & (one["band"]["prefix"] == two["band"]["prefix"]) & (one["band"]["suffix"] == two["band"]["suffix"])
     finding = (
