@@ -402,6 +402,9 @@ def relations_from(edges: DataFrame, condition_id: str) -> DataFrame:
 
 # --- bands ----------------------------------------------------------------------------------
 
+BLOCK = 500
+"""Bands with one interval that meet others as one row, about."""
+
 
 def band_markets(markets: DataFrame) -> DataFrame:
     """Markets asking for a value inside an interval, with the interval."""
@@ -429,22 +432,30 @@ def exclusive_neighbours(markets: DataFrame, buckets: int | None = None) -> Data
 def overlapping_bands(markets: DataFrame) -> DataFrame:
     """(scope, prefix, suffix, a_condition_id, b_condition_id): bands of one family that can both hold.
 
-    An interval join by cells. The value line of a family is cut into cells as wide as its
+    Bands with one interval stand together in blocks of about ``BLOCK`` ids, which meet in an
+    interval join by cells. The value line of a family is cut into cells as wide as its
     bands are on average, so all bands together cover about two cells each, however wide one
-    is. A band stands in every cell it covers and meets the bands that start in that cell: a
-    pair is found once, where the later one starts (of equal starts the larger id), and bands
-    far apart never meet. A hot family is split over its cells.
+    is. A block stands in every cell it covers and meets the blocks that start in that cell:
+    a pair is found once, where the later one starts (of equal starts the larger id), and bands
+    far apart never meet. Pairs of blocks are dealt over all tasks before they are expanded.
     """
     keys = ["scope", "prefix", "suffix"]
-    bands = band_markets(markets).select("condition_id", F.coalesce("event_id", F.lit("")).alias("scope"), "band.*")
+    # Read once: the questions' patterns cost more than all that follows but the pairs.
+    bands = cut(band_markets(_spread(markets)).select("condition_id", F.coalesce("event_id", F.lit("")).alias("scope"), "band.*"))
+    same = [*keys, "low", "high"]
     width = bands.groupBy(*keys).agg(F.min("low").alias("origin"), F.avg(F.col("high") - F.col("low")).alias("width"))
-    placed = bands.join(width, keys).withColumn("home", F.floor((F.col("low") - F.col("origin")) / F.col("width")))
+    size = bands.groupBy(*same).agg(F.ceil(F.count("*") / BLOCK).alias("parts"))
+    blocks = bands.join(size, same).groupBy(*same, F.pmod(F.xxhash64("condition_id"), "parts").alias("part")).agg(F.collect_list("condition_id").alias("ids"))
+    placed = blocks.join(width, keys).withColumn("home", F.floor((F.col("low") - F.col("origin")) / F.col("width")))
     last = F.floor((F.col("high") - F.col("origin")) / F.col("width"))
     cover = F.explode(F.sequence("home", F.greatest("home", last))).alias("cell")
-    earlier = placed.select(*keys, cover, F.col("condition_id").alias("a_condition_id"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
-    later = placed.select(*keys, F.col("home").alias("cell"), F.col("condition_id").alias("b_condition_id"), F.col("low").alias("b_low"))
-    first = (F.col("a_low") < F.col("b_low")) | ((F.col("a_low") == F.col("b_low")) & (F.col("a_condition_id") < F.col("b_condition_id")))
-    return earlier.join(later, [*keys, "cell"]).where(first & (F.col("b_low") < F.col("a_high"))).select(*keys, "a_condition_id", "b_condition_id")
+    earlier = placed.select(*keys, cover, F.col("ids").alias("a_ids"), F.col("low").alias("a_low"), F.col("high").alias("a_high"))
+    later = placed.select(*keys, F.col("home").alias("cell"), F.col("ids").alias("b_ids"), F.col("low").alias("b_low"))
+    met = earlier.join(later, [*keys, "cell"]).where((F.col("a_low") <= F.col("b_low")) & (F.col("b_low") < F.col("a_high")))
+    met = met.select(*keys, "a_ids", "b_ids", (F.col("a_low") < F.col("b_low")).alias("sure"))
+    met = met.repartition(4 * int(markets.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    pairs = met.withColumn("a_condition_id", F.explode("a_ids")).withColumn("b_condition_id", F.explode("b_ids"))
+    return pairs.where(F.col("sure") | (F.col("a_condition_id") < F.col("b_condition_id"))).select(*keys, "a_condition_id", "b_condition_id")
 
 
 def verify_exclusive(pairs: DataFrame, markets: DataFrame, parts: int | None = None) -> DataFrame:

@@ -39,6 +39,19 @@ def test_overlaps_and_findings_equal_all_pairs(spark):
     assert relations.overlapping_bands(df.limit(0)).count() == 0
 
 
+def test_equal_bands_meet_as_blocks(spark, monkeypatch):
+    """Of 300 bands with three intervals, the join sees blocks; the pairs are all there."""
+    monkeypatch.setattr(relations, "BLOCK", 40)
+    data = [(f"m{k:03d}", 5 + k % 3, 7 + k % 3) for k in range(300)]
+    df = spark.createDataFrame([market(*d) for d in data], "condition_id string, event_id string, question string")
+    found = relations.overlapping_bands(df)
+    want = sorted((a, b) for a, la, ha in data for b, lb, hb in data if (la, a) < (lb, b) and lb < ha)
+    assert rows(found, "a_condition_id", "b_condition_id") == want
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join Inner") :]  # what meets by cell are the blocks' lists of ids
+    assert "a_ids" in join and "a_condition_id" not in join
+
+
 def test_a_task_of_exclusions_keeps_its_share(spark, monkeypatch, tmp_path):
     """More lines are dealt over more tasks, at each grouping and join."""
     monkeypatch.setattr(queries, "LINES_AT_ONCE", 100)
