@@ -214,6 +214,7 @@ EPISODE_CHANGE = (
     "kind string, members int, reason string, ever_confirmed boolean, screen_magnitude double, peak_magnitude double, peak_net_profit double"
 )
 _CHANGE_COLUMNS = [c.strip().split(" ")[0] for c in EPISODE_CHANGE.split(",")]
+_CHECK_COLUMNS = ["check_ts", "violated", "unscreenable", "magnitude", "confirmed", "net_profit", "reason", "kind", "members"]
 
 
 class EpisodeProcessor(StatefulProcessor):
@@ -226,8 +227,12 @@ class EpisodeProcessor(StatefulProcessor):
         )
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values("check_ts", kind="stable")
-        current = list(self.open.get()) if self.open.exists() else None
+        parts = list(rows)
+        batch = (parts[0] if len(parts) == 1 else pd.concat(parts))[_CHECK_COLUMNS]
+        if not batch["check_ts"].is_monotonic_increasing:
+            batch = batch.sort_values("check_ts", kind="stable")
+        held = self.open.get()  # each question to the state is a round trip
+        current = None if held is None else list(held)
         out = []
 
         def told(change: str, at: pd.Timestamp) -> None:
@@ -235,32 +240,32 @@ class EpisodeProcessor(StatefulProcessor):
             ended = at if change == "closed" else None
             out.append((key[0], change, at, pd.Timestamp(detected, unit="us"), ended, checks, *rest))
 
-        for r in batch.itertuples(index=False):
-            if r.unscreenable:
+        for at, violated, unscreenable, magnitude, confirmed, profit, reason, kind, members in batch.itertuples(index=False, name=None):
+            if unscreenable:
                 continue
-            if not r.violated:
+            if not violated:
                 if current is not None:
-                    told("closed", r.check_ts)
+                    told("closed", at)
                     current = None
                 continue
-            magnitude = None if pd.isna(r.magnitude) else float(r.magnitude)
-            profit = None if pd.isna(r.net_profit) else float(r.net_profit)
-            reason = None if pd.isna(r.reason) else r.reason
+            magnitude = None if pd.isna(magnitude) else float(magnitude)
+            profit = None if pd.isna(profit) else float(profit)
+            reason = None if pd.isna(reason) else reason
             opened = current is None
             if opened:
-                members = None if pd.isna(r.members) else int(r.members)
-                current = [int(r.check_ts.value // 1000), 0, r.kind, members, reason, False, magnitude, None, None]
+                members = None if pd.isna(members) else int(members)
+                current = [int(at.value // 1000), 0, kind, members, reason, False, magnitude, None, None]
             before = current[4], current[5]
             current[1] += 1
-            current[4], current[5] = reason, current[5] or bool(r.confirmed)
+            current[4], current[5] = reason, current[5] or bool(confirmed)
             current[7] = _larger(current[7], magnitude)
             current[8] = _larger(current[8], profit)
             if opened or before != (current[4], current[5]):
-                told("opened" if opened else "changed", r.check_ts)
-        if current is None:
-            self.open.clear()
-        else:
+                told("opened" if opened else "changed", at)
+        if current is not None:
             self.open.update(tuple(current))
+        elif held is not None:
+            self.open.clear()
         if out:
             yield pd.DataFrame(out, columns=_CHANGE_COLUMNS)
 
@@ -277,8 +282,7 @@ def stream_episode_changes(checks: DataFrame, delay: str = "10 minutes") -> Data
 
     The watermark is handed on, so a stateful operator may follow in the same query.
     """
-    cols = ["constraint_key", "check_ts", "violated", "unscreenable", "magnitude", "confirmed", "net_profit", "reason", "kind", "members"]
-    return checks.select(*cols).withWatermark("check_ts", delay).groupBy("constraint_key").transformWithStateInPandas(
+    return checks.select("constraint_key", *_CHECK_COLUMNS).withWatermark("check_ts", delay).groupBy("constraint_key").transformWithStateInPandas(
         statefulProcessor=EpisodeProcessor(), outputStructType=EPISODE_CHANGE, outputMode="Append", timeMode="EventTime", eventTimeColumnName="at"
     )
 
@@ -288,61 +292,36 @@ def stream_episodes(checks: DataFrame, delay: str = "10 minutes") -> DataFrame:
     return stream_episode_changes(checks, delay).where("change = 'closed'").drop("change", "at")
 
 
-DIGEST = "hour timestamp, reason string, n long, worst double"
-
-
-class DigestProcessor(StatefulProcessor):
-    """The episodes of one hour by their latest class; told once, when the hour and its grace are over."""
-
-    def __init__(self, grace_ms: int):
-        self.wait = 3_600_000 + grace_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entries = handle.getMapState("entries", "constraint string, detected long", "reason string, magnitude double, at long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        due = int(pd.Timestamp(key[0]).value // 1_000_000) + self.wait
-        self.handle.registerTimer(due)
-        for part in rows:
-            newest = part.sort_values("at_ms", kind="stable").drop_duplicates(["constraint_key", "detected_us"], keep="last")
-            for r in newest.itertuples(index=False):
-                place = (r.constraint_key, int(r.detected_us))
-                held = self.entries.getValue(place) if self.entries.containsKey(place) else None
-                if held is None or held[2] <= r.at_ms:
-                    self.entries.updateValue(place, (r.reason, None if pd.isna(r.screen_magnitude) else float(r.screen_magnitude), int(r.at_ms)))
-        return iter(())
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        found: dict[str, list] = {}
-        for _, (reason, magnitude, _) in self.entries.iterator():
-            counted = found.setdefault(reason, [0, None])
-            counted[0] += 1
-            counted[1] = _larger(counted[1], magnitude)
-        self.entries.clear()
-        if found:
-            yield pd.DataFrame([(pd.Timestamp(key[0]), reason, n, worst) for reason, (n, worst) in found.items()], columns=["hour", "reason", "n", "worst"])
-
-    def close(self) -> None:
-        pass
-
-
 def stream_digest(changes: DataFrame, grace: str = "1 hour") -> DataFrame:
     """(hour, reason, n, worst): each hour's episodes by class once the hour and ``grace`` are over.
 
     ``changes`` is ``stream_episode_changes``. An episode belongs to the hour it opened in, under
     its class at the end of the grace; what it does later changes nothing, in whatever batches it
     arrives. See ``digests_by_hour`` for the batch form.
+
+    The newest change of each episode and then the counts of each class are Spark's own aggregates
+    over a window that ends with the grace, so an hour is spread over all tasks. Session time zones other
+    than UTC may have hours that begin within a window; theirs is an hour longer and tells them later.
     """
     grace_ms = int(pd.Timedelta(grace).total_seconds() * 1000)
+    aligned = changes.sparkSession.conf.get("spark.sql.session.timeZone") in ("UTC", "Etc/UTC", "Z", "GMT")
+    length = f"{3_600_000 * (1 if aligned else 2) + grace_ms} milliseconds"
     why = F.when(F.col("ever_confirmed"), "confirmed").otherwise(reason_class(F.col("reason")))
     hour = F.date_trunc("hour", "detected_at")
     in_time = changes.select(
-        hour.alias("hour"), "constraint_key", F.unix_micros("detected_at").alias("detected_us"), F.unix_millis("at").alias("at_ms"), why.alias("reason"), "screen_magnitude", "at"
-    ).where(F.col("at_ms") < F.unix_millis("hour") + 3_600_000 + grace_ms)
-    return in_time.drop("at").groupBy("hour").transformWithStateInPandas(
-        statefulProcessor=DigestProcessor(grace_ms), outputStructType=DIGEST, outputMode="Append", timeMode="EventTime"
+        F.window("at", length, "1 hour").alias("open"), hour.alias("hour"), "constraint_key", "detected_at", "at", "checks", why.alias("reason"), "screen_magnitude"
+    ).where(
+        (F.col("open.start") <= F.col("hour")) & (F.col("hour") < F.col("open.start") + F.expr("interval 1 hour"))
+        & (F.unix_millis("at") < F.unix_millis("hour") + 3_600_000 + grace_ms)
+    )
+    # A check that changes an episode counts one more, so changes at one time have an order.
+    newest = in_time.groupBy("open", "hour", "constraint_key", "detected_at").agg(
+        F.max_by(F.struct("reason", "screen_magnitude"), F.struct("at", "checks")).alias("last")
+    )
+    told = newest.groupBy("open", "hour", "last.reason").agg(
+        F.count("*").alias("n"), F.max("last.screen_magnitude").alias("worst")
     )
+    return told.select("hour", "reason", "n", "worst")
 
 
 def received_ms(ts: Column) -> Column:

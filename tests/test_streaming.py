@@ -288,3 +288,23 @@ def test_counts_of_a_run_equal_counts_of_its_landed_frames(spark, tmp_path):
     assert tuple(got[k] for k in ("events", "books", "changes", "unusable", "untimed", "nameless")) == tuple(want) and want[3] > 0 and want[5] == 4
     counted = books.stream_quality(updates).head()
     assert all(listener.totals[quality.BOOKS][k] == counted[k] for k in ("applied", "unseeded", "hints")) and counted["applied"] > 0
+
+
+def test_an_hours_digest_keeps_no_state_in_python(spark, tmp_path):
+    """One crowded hour: changes at one time, a late batch, and Spark's own aggregates over all of it."""
+    start = datetime(2025, 1, 1, 8)
+    steps = [(f"k{i}", start + timedelta(seconds=i % 50), True, False, 0.5 + i / 1000, False, 1.0, "too thin to be worth taking", "implies", 2) for i in range(300)]
+    steps += [(f"k{i}", start + timedelta(seconds=i % 50), True, False, 0.1, i % 2 == 0, 1.0, "no order book", "implies", 2) for i in range(300)]
+    steps.append(("end", start + timedelta(days=1), False, False, 0.0, False, 1.0, None, "implies", 2))
+    df = spark.createDataFrame(
+        steps,
+        "constraint_key string, check_ts timestamp, violated boolean, unscreenable boolean, magnitude double, confirmed boolean, net_profit double, reason string, kind string, members int",
+    ).withColumn("reason", F.col("reason"))
+    src = tmp_path / "crowd"
+    land(df, src, 3)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(src))
+    digest = watch.stream_digest(watch.stream_episode_changes(stream), "30 minutes")
+    assert digest._jdf.queryExecution().analyzed().toString().count("TransformWithState") == 1
+    out = run(digest, "crowd", "append", tmp_path)
+    assert [(h, n) for h, _, n, _ in rows(out)] == [(start, 150), (start, 150)]
+    assert max(r.worst for r in out.collect()) == 0.5 + 299 / 1000
