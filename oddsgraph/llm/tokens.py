@@ -3,45 +3,29 @@
 from __future__ import annotations
 
 import os
-import re
 from array import array
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 
 BYTE_BPE = "byte_bpe_50k.json"
-GENERATION = 500_000
+GENERATION = 100_000
 """Words in each of the two cache generations of a worker."""
 LONGEST_KEPT = 48
 AT_ONCE_BYTES = 4 << 20
 """Text handed to ``encode`` at a call: the more, the fewer distinct words to look up."""
 _AT_ONCE = 64
-_RUNS = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]+|[^A-Za-zÀ-ÖØ-öø-ɏ]+")
+_SPACE, _APOSTROPHE = 32, 39
+_ALPHA = np.array([c < 128 and chr(c).isalpha() for c in range(256)])
+_OTHER = np.array([c < 128 and not chr(c).isalpha() for c in range(256)])
+_ENDS = _OTHER & (np.arange(256) != _SPACE) & (np.arange(256) != _APOSTROPHE)
+"""What may stand before a letter and is sure to be cut from it."""
 _VISIBLE = np.array([not chr(c).isspace() for c in range(128)] + [True] * 128)
 _WIDE_BLANKS = np.array([int.from_bytes(c.encode()[:3].ljust(3, b"\0")) for c in map(chr, range(128, 0x3001)) if c.isspace()])
 """White space beyond ASCII as three bytes, the last 0 where it has two."""
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
-_LETTER = re.compile("[A-Za-zÀ-ÖØ-öø-ɏ]")
-
-
-def _runs(word: str) -> list[str] | None:
-    """Letters and other characters in turn, if the tokenizer is sure to cut between them.
-
-    It isn't where a space or an apostrophe (as in ``'s``) joins the letters behind it,
-    where white space runs on, or beyond ASCII, where more letters might follow.
-    """
-    runs = _RUNS.findall(word)
-    if len(runs) < 2:
-        return None
-    first = 1 if _LETTER.match(word) else 0
-    for k in range(first, len(runs), 2):
-        other = runs[k]
-        if not other.isascii():
-            return None
-        if k + 1 < len(runs) and (other[-1] in " '" or other[-2:].isspace() and len(other) > 1):
-            return None
-    return runs
 
 
 class Encoder:
@@ -50,9 +34,9 @@ class Encoder:
     A byte-level tokenizer never merges across a space that a visible character follows,
     so texts are cut there and each word goes through the tokenizer once while it stays
     in the cache. The words of a call are numbered as whole arrays, so that only distinct ones
-    become Python strings, and ids are put together by one gather. A new word with punctuation is put together from its parts where that is
-    sure to be the same. The cache holds two generations of bounded size; very long words
-    are never kept.
+    become Python strings, and ids are put together by one gather. New words are cut between letters and
+    other characters where the tokenizer is sure to, and only distinct pieces of them are tokenized.
+    The cache holds two generations of bounded size; very long words are never kept.
     """
 
     def __init__(self, path: str) -> None:
@@ -66,37 +50,50 @@ class Encoder:
         self._opens[[k for token, k in self.tokenizer.get_vocab().items() if token[0] == "Ġ"]] = True
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
-        self._inner: dict[str, bytes] = {}
 
     def _tokenize(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
 
-    def _tokenize_words(self, words: list[str]) -> list[bytes]:
-        """Ids of each word after a space; many at a call, told apart by the tokens that begin with one."""
-        if not words or any(" " in w for w in words):
-            return self._tokenize([" " + w for w in words])
-        calls = [" " + " ".join(words[k : k + _AT_ONCE]) for k in range(0, len(words), _AT_ONCE)]
-        data = b"".join(self._tokenize(calls))
-        starts = np.flatnonzero(self._opens[np.frombuffer(data, np.uint32)]) * 4
-        if len(starts) != len(words):
-            return self._tokenize([" " + w for w in words])
-        places = starts.tolist()
-        return [data[a:b] for a, b in zip(places, [*places[1:], len(data)], strict=True)]
-
-    def _learn(self, missing: list[str]) -> None:
-        """Bring distinct words that the young generation lacks into it."""
-        known, old = self._young, self._old
-        if old:
-            known.update([(p, old[p]) for p in missing if p in old])
-            missing = [p for p in missing if p not in old]
-        split = {p: runs for p in missing if not p.isalpha() and (runs := _runs(p))}
-        inner = self._inner
-        plain = list({p for p in missing if p not in split} | {r[0] for r in split.values() if r[0] not in known})
-        within = {x for r in split.values() for x in r[1:]}.difference(inner)
-        known.update(zip(plain, self._tokenize_words(plain), strict=True))
-        inner.update(zip(within, self._tokenize(list(within)), strict=True))
-        for p, (first, *rest) in split.items():
-            known[p] = b"".join([known[first], *map(inner.__getitem__, rest)])
+    def _tokenize_words(self, words: list[bytes]) -> list[bytes]:
+        """Ids of pieces that begin with their only space; many at a call, told apart by the tokens that begin with one."""
+        out: list[bytes] = []
+        groups = [words[k : k + _AT_ONCE] for k in range(0, len(words), _AT_ONCE)]
+        for group, data in zip(groups, self._tokenize([b"".join(g).decode() for g in groups]), strict=True):
+            places = (np.flatnonzero(self._opens[np.frombuffer(data, np.uint32)]) * 4).tolist()
+            if len(places) == len(group):
+                out += [data[a:b] for a, b in zip(places, [*places[1:], len(data)], strict=True)]
+            else:
+                out += self._tokenize([w.decode() for w in group])
+        return out
+
+    def _learn(self, words: list[str], ids: list[bytes | None], body: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> None:
+        """Fill ``ids`` for the distinct words that the young generation lacks, and bring these into it.
+
+        Each lies in ``body`` from the space before it on.
+        """
+        missing = new = [k for k, x in enumerate(ids) if x is None]
+        if self._old:
+            for k, x in zip(missing, map(self._old.get, map(words.__getitem__, missing)), strict=True):
+                ids[k] = x
+            new = [k for k in missing if ids[k] is None]
+        if new:
+            places = np.array(new)
+            size = ends[places] - starts[places]
+            edges = np.concatenate([[0], np.cumsum(size)])
+            data = body[np.repeat(starts[places] - edges[:-1], size) + np.arange(edges[-1])].tobytes()
+            cuts = _letter_cuts(data, edges)
+            stops = np.append(cuts[1:], len(data))
+            code, one = _same_words(data, cuts, stops)
+            pieces = [data[a:b] for a, b in zip(cuts[one].tolist(), stops[one].tolist(), strict=True)]
+            alone = [p.rfind(b" ") == 0 and p != b" " for p in pieces]
+            led = iter(self._tokenize_words([p for p, x in zip(pieces, alone, strict=True) if x]))
+            rest = iter(self._tokenize([p.decode() for p, x in zip(pieces, alone, strict=True) if not x]))
+            out, after = _gather([next(led if x else rest) for x in alone], code)
+            bounds = (after[np.searchsorted(cuts, edges)] * 4).tolist()
+            for k, a, b in zip(new, bounds, bounds[1:]):
+                ids[k] = out[a:b]
+        kept = [k for k in missing if len(words[k]) <= LONGEST_KEPT]
+        self._young.update(zip(map(words.__getitem__, kept), map(ids.__getitem__, kept), strict=True))
 
     def encode(self, bodies: list[str]) -> list[bytes]:
         """For each text its ids as little-endian unsigned 32-bit integers."""
@@ -112,29 +109,27 @@ class Encoder:
         ends[first[filled + 1] - 1] = edges[filled + 1]
         code, one = _same_words(data, cuts + 1, ends)
         words = [data[a:b].decode() for a, b in zip((cuts[one] + 1).tolist(), ends[one].tolist(), strict=True)]
-        known = self._young
-        ids = list(map(known.get, words))
-        fresh = [k for k, x in enumerate(ids) if x is None]
-        self._learn([words[k] for k in fresh])
-        for k in fresh:
-            ids[k] = known[words[k]]
-            if len(words[k]) > LONGEST_KEPT:
-                del known[words[k]]
+        ids = list(map(self._young.get, words))
+        self._learn(words, ids, np.frombuffer(data, np.uint8), cuts[one], ends[one])
         ids += self._tokenize(heads)
-        sizes = np.array([len(x) for x in ids], np.int64) // 4
-        order = np.insert(code, first[:-1], np.arange(len(words), len(ids)))
-        length = sizes[order]
-        after = np.concatenate([[0], np.cumsum(length)])
-        place = (np.cumsum(sizes) - sizes)[order] - after[:-1]
-        out = np.frombuffer(b"".join(ids), "<u4")[np.repeat(place, length) + np.arange(after[-1])].tobytes()
-        if len(self._inner) > GENERATION // 5:
-            self._inner.clear()
-        if len(known) > GENERATION:
-            self._old, self._young = known, {}
+        out, after = _gather(ids, np.insert(code, first[:-1], np.arange(len(words), len(ids))))
+        if len(self._young) > GENERATION:
+            self._old, self._young = self._young, {}
         bounds = (after[first + np.arange(len(first))] * 4).tolist()
         return [out[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
+def _gather(ids: list[bytes], order: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """``ids`` put together in ``order``, and the number of ids before each place and after the last."""
+    sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    length = sizes[order]
+    after = np.concatenate([[0], np.cumsum(length)])
+    kind = np.int32 if max(after[-1], sizes.sum()) < 1 << 31 else np.int64  # half the memory
+    place = np.repeat(((np.cumsum(sizes) - sizes)[order] - after[:-1]).astype(kind), length)
+    place += np.arange(after[-1], dtype=kind)
+    return np.frombuffer(b"".join(ids), "<u4")[place].tobytes(), after
+
+
 def _cuts(data: bytes, edges: np.ndarray) -> np.ndarray:
     """Places of the spaces that a visible character of the same text follows."""
     body = np.frombuffer(data + bytes(4), np.uint8)
@@ -148,6 +143,37 @@ def _cuts(data: bytes, edges: np.ndarray) -> np.ndarray:
     return cuts[~np.isin(cuts, last)]
 
 
+def _letter_cuts(data: bytes, edges: np.ndarray) -> np.ndarray:
+    """Where pieces of words begin: at each word, and between letters and ASCII characters that are
+    none, where the tokenizer is sure to cut.
+
+    It isn't after a space or an apostrophe (as in ``'s``), where white space runs on, or
+    beyond ASCII, where more letters might follow.
+    """
+    body = np.frombuffer(data + b"\0", np.uint8)
+    n = len(data)
+    letter = _ALPHA[body[:n]]
+    if len(lead := np.flatnonzero((body[:n] >= 0xC3) & (body[:n] <= 0xC9))):  # À to ɏ but × and ÷
+        one, two = body[lead], body[lead + 1]
+        latin = lead[np.where(one == 0xC3, (two != 0x97) & (two != 0xB7), (one < 0xC9) | (two <= 0x8F))]
+        letter[latin] = letter[latin + 1] = True
+    begins = np.zeros(n, bool)
+    begins[1:] = letter[:-1] & _OTHER[body[1:n]]
+    opens = np.flatnonzero(letter[1:] & _ENDS[body[: n - 1]]) + 1
+    before = body[np.maximum(opens - 2, 0)]
+    begins[opens[_VISIBLE[body[opens - 1]] | _VISIBLE[before] & (before < 128)]] = True
+    begins[edges[:-1]] = True
+    return np.flatnonzero(begins)
+
+
+def _numbered(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each key, equal for equal keys, and a place of each number."""
+    found = pa.array(keys).dictionary_encode()
+    code, one = found.indices.to_numpy(), np.empty(len(found.dictionary), np.int64)
+    one[code] = np.arange(len(code))
+    return code, one
+
+
 def _same_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A number for each word, equal for equal bytes, and a place of each number.
 
@@ -162,13 +188,13 @@ def _same_words(data: bytes, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
         long[holds[holds >= 0]] = True
     code, ones, count = np.zeros(len(n), np.int64), [], 0
     short, middle = np.flatnonzero((n <= 8) & ~long), np.flatnonzero((n > 8) & ~long)
-    low = eight[starts[short]] & _MASKS[n[short]]
+    both = np.zeros(0, np.int64)
     if len(middle):
-        _, lead = np.unique(eight[starts[middle]], return_inverse=True)
-        tails, tail = np.unique(eight[starts[middle] + 8] & _MASKS[n[middle] - 8], return_inverse=True)
-        both = lead * len(tails) + tail
-    for at, keys in ((short, low), (middle, both if len(middle) else low[:0])):
-        _, one, which = np.unique(keys, return_index=True, return_inverse=True)
+        lead, _ = _numbered(eight[starts[middle]])
+        tail, tails = _numbered(eight[starts[middle] + 8] & _MASKS[n[middle] - 8])
+        both = lead.astype(np.int64) * len(tails) + tail
+    for at, keys in ((short, eight[starts[short]] & _MASKS[n[short]]), (middle, both)):
+        which, one = _numbered(keys)
         code[at] = which + count
         ones.append(at[one])
         count += len(one)

@@ -170,3 +170,18 @@ def test_sum_of_squares_rule():
         options = [g for g in range(size, 20) if before[g]] or [20]
         packer.place(size)
         assert (packer.counts**2).sum() == min(map(after, options))
+
+
+def test_new_words_are_cut_where_the_tokenizer_cuts(plain):
+    """Words of letters, marks, digits, contractions and runs of white space, many of them new; only distinct pieces are tokenized."""
+    rng = random.Random(11)
+    bits = ["a", "B", "é", "ß", "×", "ɏ", "ɐ", "ª", "Ω", "漢", "́", "1", "²", "'", "'s", "'ll", "’", ",", ".", "_", "-", "(", "\n", "\t", "\xa0", "\x1c", "\r\n", " ", "  ", "\0", "word", "<|endoftext|>"]
+    codec = Encoder(byte_bpe())
+    for _ in range(30):
+        some = ["".join(rng.choice(bits) for _ in range(rng.randint(0, 40))) for _ in range(60)] + ["", " ", "\n"]
+        assert [np.frombuffer(x, "<u4").tolist() for x in codec.encode(some)] == [plain(t) for t in some]
+    seen = []
+    tokenize = codec._tokenize
+    codec._tokenize = lambda chunks: (seen.extend(chunks), tokenize(chunks))[1]
+    codec.encode(["x " + " ".join(f"{a}{b}" for a in ("qwerty", "asdf", "don't") for b in (",", ".", "!", "?\"", "-asdf"))])
+    assert sum(len(s) for s in seen) < 60  # the words are 122 characters
