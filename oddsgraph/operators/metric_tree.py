@@ -11,9 +11,11 @@ and by the plane between the cell's pivot and the vector's nearest one. Vectors
 equal-key join on the cell; pairs of cells are never listed. A cell that pivots cannot divide
 (its vectors are all about as near to one another) is dealt into parts of bounded size.
 
-Where a few vectors of a scope, sent down first, reach most of its rows, the tree saves nothing
-and a copy of each vector for each cell would only fill the disk: such a scope is compared in
-blocks of ``PART_ROWS`` instead, with the same result.
+Whether a tree would divide a scope is asked before it is grown: a few vectors are compared with
+all rows, and their reach goes down the tree of a sample. Where it takes in most of the sample the
+scope is compared in blocks of ``PART_ROWS`` instead, with the same result. A task holds a bounded
+rectangle of blocks, its best lists rise while it goes on, and only their rows leave it; products
+in single precision pass over what is surely below them, the rest is scored in double precision.
 """
 
 from __future__ import annotations
@@ -24,6 +26,7 @@ from functools import partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,11 +40,18 @@ STUCK = 0.9
 """A child cell with more than this share of its parent is not split again."""
 PART_ROWS = 8192
 """Rows of a block where a scope is compared without the tree."""
+ASKING_BLOCKS, HELD_BLOCKS = 4, 32
+"""Most blocks on either side of a task's rectangle."""
+RECTANGLES = 64
+"""A scope of fewer blocks is dealt into about so many smaller rectangles."""
 SCORED_AT_ONCE = 256
+EXACT_AT_ONCE = 1 << 16
 PROBES = 64
-"""About so many vectors of a scope tell whether its tree divides it; they decide the way, not the result."""
+"""About so many vectors of a scope tell whether a tree divides it; they decide the way, not the result."""
+SAMPLE_ROWS = 8192
+"""About so many rows of a scope make the tree that the probes go down."""
 BLUNT = 0.5
-"""A scope whose probes reach more than this share of its rows is compared in blocks."""
+"""A scope whose probes reach more than this share of the sample is compared in blocks."""
 DIGITS = 9  # similarity is compared and ordered at this precision
 SLACK = 1e-7
 _KEY = ["scope", "cell"]
@@ -205,22 +215,123 @@ def compare(asking: DataFrame, homes: DataFrame, k: int, threshold: float, cell_
 
 def reaches(found: DataFrame, vectors: DataFrame, k: int, threshold: float) -> DataFrame:
     """(scope, rep, vector, reach): how far a partner may be that could still belong to the best k."""
+    best = F.row_number().over(Window.partitionBy("scope", "rep").orderBy(F.desc("similarity"), "other"))
+    found = found.withColumn("place", best).where(F.col("place") <= k)
     kth = found.groupBy("scope", "rep").agg(F.count("*").alias("n"), F.min("similarity").alias("least"))
     floor = F.when(F.col("n") >= k, F.greatest("least", F.lit(threshold))).otherwise(threshold)
     widest: Column = F.acos(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.coalesce(floor, F.lit(threshold)) - 2 * 10.0**-DIGITS)))
     return vectors.join(kth, ["scope", "rep"], "left").select("scope", "rep", "vector", (widest + SLACK).alias("reach"))
 
 
-def blunt_scopes(tree: MetricTree, bounded: DataFrame) -> DataFrame:
-    """(scope): those of (scope, rep, vector, reach) whose tree leaves a vector most of the rows to compare."""
+def blunt_scopes(tree: MetricTree, probes: DataFrame) -> DataFrame:
+    """(scope): those whose tree leaves the probes (scope, rep, vector, reach) most of the rows to compare."""
     sizes = tree.homes.groupBy(*_KEY).agg(F.count("*").alias("held"))
     whole = sizes.groupBy("scope").agg(F.sum("held").alias("n"))
-    probes = cut(bounded.join(whole, "scope").where(F.expr(f"pmod(xxhash64(rep), ceil(n / {PROBES})) = 0")))
-    met = descend(tree, probes.drop("n")).join(sizes, _KEY).groupBy("scope").agg(F.sum("held").alias("met"))
-    asked = probes.groupBy("scope").agg(F.count("*").alias("probes"), F.first("n").alias("n"))
+    met = descend(tree, probes).join(sizes, _KEY).groupBy("scope").agg(F.sum("held").alias("met"))
+    asked = probes.groupBy("scope").agg(F.count("*").alias("probes")).join(whole, "scope")
     return met.join(asked, "scope").where(F.col("met") > BLUNT * F.col("probes") * F.col("n")).select("scope")
 
 
+def _pack(rows: pa.Table) -> pa.Table:
+    """The vectors of a group as one row of plain numbers."""
+    values = [chunk.flatten().to_numpy(zero_copy_only=False) for chunk in rows.column("vector").chunks]
+    reps = pa.array([rows.column("rep").to_pylist()], pa.list_(pa.string()))
+    return pa.table({"scope": rows.column("scope")[:1], "part": rows.column("part")[:1], "reps": reps, "data": pa.array([np.concatenate(values).tobytes()], pa.binary())})
+
+
+def packed(vectors: DataFrame) -> DataFrame:
+    """(scope, part, reps, data): the vectors of each scope in blocks of about PART_ROWS."""
+    kind = "float" if dict(vectors.dtypes)["vector"] == "array<float>" else "double"
+    parts = vectors.groupBy("scope").agg(F.ceil(F.count("*") / PART_ROWS).alias("parts"))
+    rows = vectors.join(parts, "scope").select("scope", F.expr("pmod(xxhash64(rep), parts)").alias("part"), "rep", F.col("vector").cast(f"array<{kind}>").alias("vector"))
+    return rows.groupBy("scope", "part").applyInArrow(_pack, "scope string, part long, reps array<string>, data binary")
+
+
+def _unpack(reps: list[str], data: bytes, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """Names and unit rows of a block, without rows that have no direction to compare (null, NaN, infinite)."""
+    values = np.frombuffer(data, kind)
+    with np.errstate(invalid="ignore", over="ignore"):
+        rows = unit_rows(values.reshape(len(reps), len(values) // len(reps)).astype(np.float64))
+    whole = np.isfinite(rows).all(axis=1)
+    return np.array(reps, object)[whole], rows[whole]
+
+
+def _put(best: np.ndarray, who: np.ndarray, row: np.ndarray, score: np.ndarray, name: np.ndarray) -> None:
+    """Hits put into the lists of their rows, the highest first, ties by name."""
+    touched, at = np.unique(row, return_inverse=True)
+    k = best.shape[1]
+    at = np.concatenate([np.repeat(np.arange(len(touched)), k), at])
+    score, name = np.concatenate([best[touched].ravel(), score]), np.concatenate([who[touched].ravel(), name])
+    order = np.lexsort((name, -score, at))
+    at = at[order]
+    kept = order[np.arange(len(at)) - np.searchsorted(at, at) < k]
+    best[touched], who[touched] = score[kept].reshape(-1, k), name[kept].reshape(-1, k)
+
+
+def _rectangle(group: pa.Table, k: int, threshold: float, kind: str) -> pa.Table:
+    """Of each vector of the asking blocks the best k others among the held blocks."""
+    asks, reps, data = (group.column(c).to_pylist() for c in ("asks", "reps", "data"))
+    own = [_unpack(r, d, kind) for a, r, d in zip(asks, reps, data, strict=True) if a]
+    held = [(r, d) for a, r, d in zip(asks, reps, data, strict=True) if not a]
+    names = np.array(sorted({x for r, _ in held for x in r}), object)
+    rank = {x: n for n, x in enumerate(names)}
+    asked = np.concatenate([x for x, _ in own]) if own else np.array([], object)
+    itself = np.array([rank.get(x, -1) for x in asked], np.int64)
+    best, who = np.full((len(asked), k), -np.inf), np.full((len(asked), k), -1, np.int64)
+    for block in held if len(asked) else []:
+        others, columns = _unpack(*block, kind)
+        if not len(others):
+            continue
+        ranks, thin = np.array([rank[x] for x in others], np.int64), columns.astype(np.float32)
+        margin = (columns.shape[1] + 8) * 2.0**-22  # several times what single precision can be off
+        start = 0
+        for _, mine in own:
+            for a in range(0, len(mine), SCORED_AT_ONCE):
+                rows = mine[a : a + SCORED_AT_ONCE]
+                here = slice(start + a, start + a + len(rows))
+                scores = rows.astype(np.float32) @ thin.T
+                floor = np.maximum(best[here, -1], threshold) - margin
+                hits = scores >= floor.astype(np.float32)[:, None]
+                if len(others) > k + 1 and np.count_nonzero(hits) > 2 * k * len(rows):
+                    # The row itself may be one of these k + 1.
+                    floor = np.maximum(floor, np.partition(scores, -k - 1, axis=1)[:, -k - 1] - 2 * margin)
+                    hits = scores >= floor.astype(np.float32)[:, None]
+                row, column = np.divmod(np.flatnonzero(hits), len(others))
+                for at in range(0, len(row), EXACT_AT_ONCE):
+                    r, c = row[at : at + EXACT_AT_ONCE], column[at : at + EXACT_AT_ONCE]
+                    exact = np.round(np.einsum("ij,ij->i", rows[r], columns[c]), DIGITS)
+                    right = (exact >= np.maximum(best[here, -1][r], threshold)) & (ranks[c] != itself[here][r])
+                    _put(best[here], who[here], r[right], exact[right], ranks[c[right]])
+            start += len(mine)
+    row, place = np.nonzero(best > -np.inf)
+    scope = pa.array([group.column("scope")[0].as_py()] * len(row), pa.string())
+    found = [pa.array(asked[row], pa.string()), pa.array(names[who[row, place]], pa.string()), pa.array(best[row, place])]
+    return pa.Table.from_arrays([scope, *found], ["scope", "rep", "other", "similarity"])
+
+
+def compare_blocks(asking: DataFrame, held: DataFrame, k: int, threshold: float, kind: str) -> DataFrame:
+    """(scope, rep, other, similarity): the best k of each rectangle of ``packed`` blocks of a scope."""
+    counts = [rows.groupBy("scope").agg((F.max("part") + 1).alias(n)) for rows, n in ((asking, "q"), (held, "p"))]
+    high = F.greatest(F.lit(1), F.least(F.lit(ASKING_BLOCKS), F.floor(F.col("q") / 16)))
+    wide = F.greatest(F.lit(1), F.least(F.lit(HELD_BLOCKS), F.floor(F.col("p") * F.col("q") / (F.col("high") * RECTANGLES))))
+    grid = counts[0].join(counts[1], "scope").withColumn("high", high).withColumn("wide", wide)
+    grid = cut(grid.select("scope", "high", "wide", F.ceil(F.col("q") / F.col("high")).alias("chunks"), F.ceil(F.col("p") / F.col("wide")).alias("slabs")))
+    tasks = grid.agg(F.sum(F.col("chunks") * F.col("slabs"))).head()[0] or 1
+
+    def dealt(rows: DataFrame, asks: bool) -> DataFrame:
+        size, own, other, count = ("high", "chunk", "slab", "slabs") if asks else ("wide", "slab", "chunk", "chunks")
+        numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1)).alias(other)
+        return rows.join(grid, "scope").select("scope", F.floor(F.col("part") / F.col(size)).alias(own), "reps", "data", F.lit(asks).alias("asks"), numbers)
+
+    both = dealt(asking, True).unionByName(dealt(held, False))
+    at = ["scope", "chunk", "slab"]
+    # As many partitions as rectangles: their work is the square of their bytes, by which they would be put together.
+    work = partial(_rectangle, k=k, threshold=threshold, kind=kind)
+    return both.repartition(int(min(tasks, 4096)), *at).groupBy(*at).applyInArrow(
+        lambda group: work(group), "scope string, rep string, other string, similarity double"
+    )
+
+
 def nearest(vectors: DataFrame, k: int, threshold: float, cell_rows: int = CELL_ROWS, pivots: int = PIVOTS) -> DataFrame:
     """(scope, rep, other, similarity): at least the best k others of each vector in its scope, at or above the threshold.
 
@@ -231,18 +342,22 @@ def nearest(vectors: DataFrame, k: int, threshold: float, cell_rows: int = CELL_
     if threshold <= 0:
         flat = vectors.select("scope", F.lit(0).cast("long").alias("cell"), "rep", "vector")
         return compare(flat, flat, k, threshold, cell_rows)
-    tree = grow(vectors, cell_rows, pivots)
-    found = compare(tree.homes, tree.homes, k, threshold, cell_rows)
-    if not tree.levels:
-        return found
-    found = cut(found)
-    best = F.row_number().over(Window.partitionBy("scope", "rep").orderBy(F.desc("similarity"), "other"))
-    bounded = reaches(found.withColumn("place", best).where(F.col("place") <= k), vectors, k, threshold)
-    bounded = cut(bounded)
-    blunt = cut(blunt_scopes(tree, bounded))
-    flat = cut(vectors.join(blunt, "scope", "left_semi").select("scope", F.lit(0).cast("long").alias("cell"), "rep", "vector"))
-    visits = cut(descend(tree, bounded.join(blunt, "scope", "left_anti")))
+    kind = "f4" if dict(vectors.dtypes)["vector"] == "array<float>" else "f8"
+    wide = cut(vectors.groupBy("scope").agg(F.count("*").alias("n")).where(F.col("n") > cell_rows))
+    counted = vectors.join(wide, "scope")
+    blocks = cut(packed(counted.drop("n")))
+    probes = counted.where(F.expr(f"pmod(xxhash64(rep), ceil(n / {PROBES})) = 0")).drop("n")
+    reach = cut(reaches(compare_blocks(packed(probes), blocks, k, threshold, kind), probes, k, threshold))
+    sample = cut(counted.where(F.expr(f"pmod(xxhash64(rep, 1), ceil(n / {SAMPLE_ROWS})) = 0")).drop("n"))
+    blunt = cut(blunt_scopes(grow(sample, cell_rows, pivots), reach))
+
+    sharp = vectors.join(blunt, "scope", "left_anti")
+    tree = grow(sharp, cell_rows, pivots)
+    found = cut(compare(tree.homes, tree.homes, k, threshold, cell_rows))
+    bounded = cut(reaches(found, sharp.join(wide, "scope", "left_semi"), k, threshold))
+    visits = cut(descend(tree, bounded))
     # At home the vector was compared already.
     away = visits.join(tree.homes.select(*_KEY, "rep"), [*_KEY, "rep"], "left_anti")
-    sharp = found.join(blunt, "scope", "left_anti").unionByName(compare(away, tree.homes, k, threshold, cell_rows))
-    return sharp.unionByName(compare(flat, flat, k, threshold, PART_ROWS))
+    found = found.unionByName(compare(away, tree.homes, k, threshold, cell_rows))
+    blocks = blocks.join(blunt, "scope", "left_semi")
+    return found.unionByName(compare_blocks(blocks, blocks, k, threshold, kind))

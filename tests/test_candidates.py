@@ -64,3 +64,29 @@ def test_vectors_that_a_tree_cannot_divide_are_not_copied_to_its_cells(spark, mo
         want = sorted((-row[j], f"m{j:03d}") for j in range(400) if j != i and row[j] >= floor)[:3]
         assert [n for _, n in sorted(best.get(f"m{i:03d}", ()))[:3]] == [n for _, n in want]
     assert sent[0] < 200 and (sent[1] == 0 or not alike)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_unlike_vectors_are_searched_in_blocks_before_a_tree_is_grown(spark, monkeypatch, kind):
+    r = np.random.default_rng(7)
+    made = r.normal(size=(420, 24)).astype(np.float32).astype(np.float64)
+    made[400:410] = 2 * made[0]  # equal directions: ties go by name
+    made[410:415] = 0
+    made[415:420, 3] = np.nan
+    data = [("s", f"m{(11 * i) % 420:03d}", [float(x) for x in v]) for i, v in enumerate(made)]
+    grown, grow = [], metric_tree.grow
+    monkeypatch.setattr(metric_tree, "grow", lambda vectors, *a: (grown.append(vectors.count()), grow(vectors, *a))[1])
+    for name, value in (("PART_ROWS", 40), ("SAMPLE_ROWS", 100), ("SCORED_AT_ONCE", 7), ("EXACT_AT_ONCE", 11), ("ASKING_BLOCKS", 2), ("HELD_BLOCKS", 3), ("RECTANGLES", 8)):
+        monkeypatch.setattr(metric_tree, name, value, raising=False)
+    df = spark.createDataFrame(data, f"scope string, rep string, vector array<{kind}>")
+    best = {}
+    for x in metric_tree.nearest(df, 4, 0.2, cell_rows=16, pivots=8).collect():
+        best.setdefault(x.rep, []).append((-x.similarity, x.other))
+    unit = metric_tree.unit_rows(made)
+    scores = np.round(unit @ unit.T, 9)
+    names = [n for _, n, _ in data]
+    for i, row in enumerate(scores):
+        want = sorted((-row[j], names[j]) for j in range(420) if j != i and row[j] >= 0.2)[:4]
+        got = sorted(best.get(names[i], ()))[:4]
+        assert [n for _, n in got] == [n for _, n in want] and np.allclose([s for s, _ in got], [s for s, _ in want], atol=2e-9)
+    assert sum(grown) < 250
